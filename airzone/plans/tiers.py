@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from airzone.functions.geodesy import with_bng
 from airzone.functions.labels import tier
@@ -11,7 +11,15 @@ from airzone.functions.polygon import crossed_odd, edge_distance, zone_edges
 from airzone.functions.wkt import dimensions_of, kind_of
 
 EDGE_METRES = 1e-6     # closer than this to an edge counts as on it
+
+# Reference systems and type names of the spatial tables.
 POINT_SRID, ZONE_SRID = 27700, 4326
+TYPE_NAMES = {"POINT": "ST_Point", "POLYGON": "ST_Polygon", "MULTIPOLYGON": "ST_MultiPolygon"}
+
+
+def _type_name(wkt: Column) -> Column:
+    names = F.create_map(*[F.lit(text) for pair in TYPE_NAMES.items() for text in pair])
+    return F.try_element_at(names, kind_of(wkt))
 
 
 def with_tier(places: DataFrame, zone: DataFrame, *, straddle: bool = False) -> DataFrame:
@@ -57,16 +65,21 @@ def tier_distribution(entities: dict[str, DataFrame]) -> DataFrame:
 
 def geometry_audit(zone: DataFrame, sites: DataFrame) -> DataFrame:
     """Reference system, dimensions and geometry type of each spatial row."""
-    def st_name(word):
-        return F.concat(F.lit("ST_"), F.initcap(word))
-
     outlines = zone.select(
         F.lit("caz_polygon").alias("spatial_table"), F.col("name").alias("id"), "name",
         F.lit(ZONE_SRID).alias("srid"), dimensions_of(F.col("wkt")).alias("dimensions"),
-        st_name(kind_of(F.col("wkt"))).alias("geom_type"))
+        _type_name(F.col("wkt")).alias("geom_type"))
     located = F.col("longitude").isNotNull() & F.col("latitude").isNotNull()
     points = sites.select(
         F.lit("monitoring_sites").alias("spatial_table"), F.col("site_id").cast("string").alias("id"),
         F.col("site_name").alias("name"), F.when(located, POINT_SRID).alias("srid"),
-        F.when(located, 2).alias("dimensions"), F.when(located, F.lit("ST_Point")).alias("geom_type"))
+        F.when(located, 2).alias("dimensions"), F.when(located, F.lit(TYPE_NAMES["POINT"])).alias("geom_type"))
     return outlines.unionByName(points)
+
+
+def outline_audit(geometries: DataFrame, key: str, wkt: str, table: str, srid: int = ZONE_SRID) -> DataFrame:
+    """Rows per geometry type and dimension of a table of outlines."""
+    return (geometries.groupBy(F.lit(table).alias("spatial_table"), F.lit(srid).alias("srid"),
+                               dimensions_of(F.col(wkt)).alias("dimensions"),
+                               _type_name(F.col(wkt)).alias("geom_type"))
+            .agg(F.count(key).alias("geometries")))
