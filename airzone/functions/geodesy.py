@@ -1,9 +1,8 @@
 """WGS84 longitude/latitude to British National Grid metres.
 
 Published Ordnance Survey formulae: a Helmert datum shift to OSGB36 followed by
-a Transverse Mercator projection, about 5 m from a grid-shift transform. The
-work is split over a few projections because each stage reuses the one before
-several times; every stage is plain arithmetic inside whole-stage codegen.
+a Transverse Mercator projection, about 5 m from a grid-shift transform. It is
+one column expression of built-in functions.
 """
 
 from __future__ import annotations
@@ -12,6 +11,8 @@ from math import radians
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from airzone.functions.binding import bind
+
 # Ellipsoids (semi-axes, metres).
 WGS84 = (6378137.0, 6356752.314245)
 AIRY_1830 = (6377563.396, 6356256.909)
@@ -46,67 +47,77 @@ def _meridian_arc(latitude: Column) -> Column:
     return terms * (b * CENTRAL_SCALE)
 
 
-def with_bng(df: DataFrame, longitude: str = "longitude", latitude: str = "latitude",
-             x: str = "x_m", y: str = "y_m") -> DataFrame:
-    """Add easting ``x`` and northing ``y``; NULL coordinates stay NULL."""
-    c = F.col
-    kept = [c(f"`{name}`") for name in df.columns]
+def bng(longitude: Column, latitude: Column) -> Column:
+    """Struct of easting ``x`` and northing ``y``; NULL coordinates stay NULL."""
+    return bind(_geocentric, phi=F.radians(latitude), lam=F.radians(longitude))
+
 
-    # Geocentric position on WGS84.
-    phi, lam = F.radians(c(latitude)), F.radians(c(longitude))
+def _geocentric(v: Column) -> Column:
+    """Position on WGS84."""
     a, e2 = WGS84[0], _eccentricity2(WGS84)
-    nu = a / F.sqrt(1 - F.sin(phi) * F.sin(phi) * e2)
-    s1 = df.select(
-        *kept,
-        (nu * F.cos(phi) * F.cos(lam)).alias("_gx"),
-        (nu * F.cos(phi) * F.sin(lam)).alias("_gy"),
-        (nu * (1 - e2) * F.sin(phi)).alias("_gz"),
-    )
+    return bind(
+        lambda w: bind(_datum_shift, x=w["nu"] * F.cos(w["phi"]) * F.cos(w["lam"]),
+                       y=w["nu"] * F.cos(w["phi"]) * F.sin(w["lam"]),
+                       z=w["nu"] * F.sin(w["phi"]) * (1 - e2)),
+        phi=v["phi"], lam=v["lam"], nu=a / F.sqrt(1 - F.sin(v["phi"]) * F.sin(v["phi"]) * e2))
+
 
-    # Datum shift.
+def _datum_shift(v: Column) -> Column:
+    x, y, z = v["x"], v["y"], v["z"]
     tx, ty, tz = SHIFT_METRES
     rx, ry, rz = (radians(seconds / 3600) for seconds in ROTATION_SECONDS)
     k = 1 + SCALE_PPM * 1e-6
-    s2 = s1.select(
-        *kept,
-        (c("_gx") * k - c("_gy") * rz + c("_gz") * ry + tx).alias("_ax"),
-        (c("_gx") * rz + c("_gy") * k - c("_gz") * rx + ty).alias("_ay"),
-        (c("_gy") * rx - c("_gx") * ry + c("_gz") * k + tz).alias("_az"),
-    )
+    return bind(_geodetic, x=x * k - y * rz + z * ry + tx,
+                y=x * rz + y * k - z * rx + ty,
+                z=y * rx - x * ry + z * k + tz)
 
-    # Latitude and longitude on Airy 1830 (Bowring's closed form).
+
+def _geodetic(v: Column) -> Column:
+    """Latitude and longitude on Airy 1830, by Bowring's closed form."""
     a, b = AIRY_1830
-    e2 = _eccentricity2(AIRY_1830)
-    second_e2 = (a * a - b * b) / (b * b)
-    p = F.sqrt(c("_ax") * c("_ax") + c("_ay") * c("_ay"))
-    s3 = s2.select(*kept, c("_az"), p.alias("_p"),
-                   (F.atan2(c("_ay"), c("_ax")) - radians(ORIGIN_LONGITUDE)).alias("_dl"),
-                   F.atan2(c("_az") * a, p * b).alias("_theta"))
-    sin_t, cos_t = F.sin(c("_theta")), F.cos(c("_theta"))
-    s4 = s3.select(*kept, c("_dl"), F.atan2(
-        c("_az") + sin_t * sin_t * sin_t * (second_e2 * b),
-        c("_p") - cos_t * cos_t * cos_t * (e2 * a)).alias("_phi"))
-
-    # Transverse Mercator series.
-    sin_p = F.sin(c("_phi"))
-    curve = 1 - sin_p * sin_p * e2
-    s5 = s4.select(
-        *kept, c("_dl"), sin_p.alias("_sin"), F.cos(c("_phi")).alias("_cos"),
-        (F.tan(c("_phi")) * F.tan(c("_phi"))).alias("_t2"),
-        (F.lit(a * CENTRAL_SCALE) / F.sqrt(curve)).alias("_nu"),
-        (curve / (1 - e2)).alias("_ratio"),                       # nu / rho
-        (_meridian_arc(c("_phi")) + FALSE_NORTHING).alias("_arc"),
-    )
-    dl2, t2, nu, ratio = c("_dl") * c("_dl"), c("_t2"), c("_nu"), c("_ratio")
-    cos1, eta2 = c("_cos"), c("_ratio") - 1
-    cos3 = cos1 * cos1 * cos1
-    cos5 = cos3 * cos1 * cos1
-    north = c("_arc") + dl2 * nu * c("_sin") * (
-        cos1 / 2
-        + dl2 * cos3 * (5 - t2 + eta2 * 9) / 24
-        + dl2 * dl2 * cos5 * (61 - t2 * 58 + t2 * t2) / 720)
-    east = FALSE_EASTING + c("_dl") * nu * (
-        cos1
-        + dl2 * cos3 * (ratio - t2) / 6
-        + dl2 * dl2 * cos5 * (5 - t2 * 18 + t2 * t2 + eta2 * 14 - t2 * eta2 * 58) / 120)
-    return s5.select(*kept, east.alias(x), north.alias(y))
+    e2, second_e2 = _eccentricity2(AIRY_1830), (a * a - b * b) / (b * b)
+
+    def cube(c: Column) -> Column:
+        return c * c * c
+
+    def latitude(w: Column) -> Column:
+        phi = F.atan2(w["z"] + cube(F.sin(w["theta"])) * (second_e2 * b),
+                      w["p"] - cube(F.cos(w["theta"])) * (e2 * a))
+        return bind(_series, dl=w["dl"], phi=phi)
+
+    p = F.sqrt(v["x"] * v["x"] + v["y"] * v["y"])
+    return bind(lambda w: bind(latitude, z=w["z"], p=w["p"], dl=w["dl"],
+                               theta=F.atan2(w["z"] * a, w["p"] * b)),
+                z=v["z"], p=p, dl=F.atan2(v["y"], v["x"]) - radians(ORIGIN_LONGITUDE))
+
+
+def _series(v: Column) -> Column:
+    """Transverse Mercator easting and northing."""
+    a, e2 = AIRY_1830[0], _eccentricity2(AIRY_1830)
+    sin, cos, tan = F.sin(v["phi"]), F.cos(v["phi"]), F.tan(v["phi"])
+
+    def project(w: Column) -> Column:
+        dl2, t2, nu, cos1, ratio = w["dl"] * w["dl"], w["t2"], w["nu"], w["cos"], w["ratio"]
+        cos3, eta2 = cos1 * cos1 * cos1, ratio - 1
+        cos5 = cos3 * cos1 * cos1
+        north = w["arc"] + dl2 * nu * w["sin"] * (
+            cos1 / 2
+            + dl2 * cos3 * (5 - t2 + eta2 * 9) / 24
+            + dl2 * dl2 * cos5 * (61 - t2 * 58 + t2 * t2) / 720)
+        east = FALSE_EASTING + w["dl"] * nu * (
+            cos1
+            + dl2 * cos3 * (ratio - t2) / 6
+            + dl2 * dl2 * cos5 * (5 - t2 * 18 + t2 * t2 + eta2 * 14 - t2 * eta2 * 58) / 120)
+        return F.struct(east.alias("x"), north.alias("y"))
+
+    return bind(project, dl=v["dl"], sin=sin, cos=cos, t2=tan * tan,
+                nu=F.lit(a * CENTRAL_SCALE) / F.sqrt(1 - sin * sin * e2),
+                ratio=(1 - sin * sin * e2) / (1 - e2),               # nu / rho
+                arc=_meridian_arc(v["phi"]) + FALSE_NORTHING)
+
+
+def with_bng(df: DataFrame, longitude: str = "longitude", latitude: str = "latitude",
+             x: str = "x_m", y: str = "y_m") -> DataFrame:
+    """Add easting ``x`` and northing ``y``."""
+    return (df.withColumn("_bng", bng(F.col(longitude), F.col(latitude)))
+            .withColumns({x: F.col("_bng.x"), y: F.col("_bng.y")}).drop("_bng"))

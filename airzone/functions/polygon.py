@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from airzone.functions.binding import bind
 from airzone.functions.geodesy import with_bng
 from airzone.functions.wkt import vertices
 
@@ -34,8 +35,8 @@ def zone_edges(zone: DataFrame, key: str = "name", wkt: str = "wkt") -> DataFram
 def _edge_distance(e: Column, px: Column, py: Column) -> Column:
     dx, dy = e["x2"] - e["x1"], e["y2"] - e["y1"]
     along = F.try_divide((px - e["x1"]) * dx + (py - e["y1"]) * dy, dx * dx + dy * dy)
-    t = F.greatest(F.lit(0.0), F.least(F.lit(1.0), along))
-    return F.hypot(px - e["x1"] - t * dx, py - e["y1"] - t * dy)
+    return bind(lambda v: F.hypot(px - e["x1"] - v["t"] * dx, py - e["y1"] - v["t"] * dy),
+                t=F.greatest(F.lit(0.0), F.least(F.lit(1.0), along)))
 
 
 def edge_distance(edges: Column, px: Column, py: Column) -> Column:

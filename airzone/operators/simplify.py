@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, functions as F
 
 from airzone.functions.wkt import GEOMETRY_TYPE
@@ -32,24 +32,24 @@ def kept_vertices(xs: np.ndarray, ys: np.ndarray, tolerance: float) -> np.ndarra
 
 
 def simplify(geometry: Column, tolerance: float) -> Column:
-    """Drop vertices within ``tolerance`` of the simplified outline.
+    """Drop vertices within ``tolerance`` of the simplified outline of each polygon.
 
     Rings stay closed. A hole that falls below four vertices goes; so does a part
     whose outer ring does, and a geometry without parts becomes NULL.
     """
     def ring(raw: dict) -> dict | None:
-        xs, ys = np.asarray(raw["xs"], dtype=float), np.asarray(raw["ys"], dtype=float)
+        xs, ys = np.array(raw["xs"]), np.array(raw["ys"])
         keep = kept_vertices(xs, ys, tolerance)
         return {"xs": xs[keep], "ys": ys[keep]} if keep.sum() >= 4 else None
 
-    def outline(parts):
+    def outline(parts: list | None) -> list | None:
         if parts is None:
             return None
         reduced = ([ring(r) for r in rings] for rings in parts)
         return [[r for r in rings if r is not None] for rings in reduced if rings[0] is not None] or None
 
-    @F.pandas_udf(GEOMETRY_TYPE)
-    def run(column: pd.Series) -> pd.Series:
-        return column.map(outline)
+    @F.arrow_udf(GEOMETRY_TYPE)
+    def run(column: pa.Array) -> pa.Array:
+        return pa.array([outline(parts.as_py()) for parts in column], type=column.type)
 
     return run(geometry)

@@ -70,10 +70,10 @@ def _ring(corners: list[tuple[str, str]]) -> str:
     return "concat('(', " + ", ', ', ".join(points) + ", ')')"
 
 
-# Some corners sit within the simplification tolerance of their neighbours' chord, some do not.
+# Some corners sit within the simplification tolerance of a chord, some do not; none are equally far from one.
 _OUTER = _ring([("-4000", "-3000"), ("0", "-3000 + c % 160 - 80"), ("4000", "-3000"),
-                ("4000 + c*7 % 400 - 200", "0"), ("4000", "3000"), ("1500", "3000 + c*3 % 300"),
-                ("-1500", "3000 + c*11 % 300"), ("-4000", "3000"), ("-4000 - c*5 % 250", "500")])
+                ("4000 + c*7 % 400 - 200", "0"), ("4000", "3000"), ("1500", "3000 + c*3 % 150 * 2"),
+                ("-1500", "3001 + c*11 % 150 * 2"), ("-4000", "3000"), ("-4000 - c*5 % 250", "500")])
 _HOLE = _ring([("-500", "-500"), ("-500", "500"), ("500 + c % 90", "500"), ("500", "-500")])
 _ISLAND = _ring([("9000", "0"), ("9500", "c % 70"), ("10000", "0"), ("9500", "800")])
 
