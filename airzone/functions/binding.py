@@ -1,18 +1,20 @@
-"""Naming an intermediate value inside one column expression."""
+"""Naming intermediate values inside one SQL expression."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
 
-from pyspark.sql import Column, functions as F
+def named_values(values: dict[str, str]) -> str:
+    return "named_struct(" + ", ".join(f"'{name}', {text}" for name, text in values.items()) + ")"
 
 
-def bind(body: Callable[[Column], Column], **values: Column) -> Column:
-    """``body`` applied to a struct of ``values``, each computed once.
+def bind(levels: dict[str, dict[str, str]], result: str) -> str:
+    """``result`` with every level's values computed once and read as ``level.name``.
 
-    Long formulas use every intermediate result several times. Written as a
-    chain of projections they grow exponentially whenever Catalyst substitutes
-    the chain into a filter or a join key; a bound value keeps them linear.
+    A level may use the levels before it. Long formulas need each intermediate
+    value several times; as a chain of projections they grow exponentially when
+    Catalyst substitutes the chain into a filter or a join key, bound they stay
+    linear.
     """
-    named = F.struct(*[value.alias(name) for name, value in values.items()])
-    return F.transform(F.array(named), body)[0]
+    for level, values in reversed(levels.items()):
+        result = f"transform(array({named_values(values)}), {level} -> {result})[0]"
+    return result

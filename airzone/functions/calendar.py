@@ -41,4 +41,4 @@ def month_hours(year: Column, month: Column) -> Column:
 def parse_timestamp(text: Column) -> Column:
     """``DD/MM/YYYY HH24:MI`` text to a zone-less timestamp; NULL when it is not one."""
     iso = F.regexp_replace(text, C.TIMESTAMP_PATTERN, "$3-$2-$1 $4:$5")
-    return F.when(text.rlike(C.TIMESTAMP_PATTERN), iso.try_cast("timestamp_ntz"))
+    return F.nullif(iso, text).try_cast("timestamp_ntz")     # text that does not match is left as it was

@@ -1,4 +1,4 @@
-"""Point against polygon, as column expressions over an array of edges.
+"""Point against polygon, as expressions over an array of edges.
 
 An edge is ``struct<x1,y1,x2,y2>`` in planar metres. Holes and several parts
 need no special case: crossings are counted over all edges.
@@ -8,10 +8,12 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from airzone.functions.binding import bind
-from airzone.functions.geodesy import with_bng
+from airzone.functions.binding import bind, named_values
+from airzone.functions.geodesy import bng_levels, with_bng
 from airzone.functions.wkt import vertices
 
+EDGE_METRES = 1e-6     # closer than this to an edge counts as on it
+
 
 def zone_edges(zone: DataFrame, key: str = "name", wkt: str = "wkt") -> DataFrame:
     """Projected edges of each zone, one row per zone.
@@ -22,33 +24,31 @@ def zone_edges(zone: DataFrame, key: str = "name", wkt: str = "wkt") -> DataFram
     corner = F.struct("part", "ring", "seq", "x_m", "y_m")
     outline = (with_bng(vertices(zone, key, wkt), "x", "y")
                .groupBy(key).agg(F.sort_array(F.collect_list(corner)).alias("_v")))
-
-    def edge(i: Column) -> Column:
-        a, b = F.get("_v", i - 1), F.get("_v", i)
-        return F.when((a["part"] == b["part"]) & (a["ring"] == b["ring"]), F.struct(
-            a["x_m"].alias("x1"), a["y_m"].alias("y1"), b["x_m"].alias("x2"), b["y_m"].alias("y2")))
-
-    pairs = F.transform(F.sequence(F.lit(1), F.size("_v") - 1), edge)
-    return outline.select(key, F.filter(pairs, lambda e: e.isNotNull()).alias("edges"))
-
-
-def _edge_distance(e: Column, px: Column, py: Column) -> Column:
-    dx, dy = e["x2"] - e["x1"], e["y2"] - e["y1"]
-    along = F.try_divide((px - e["x1"]) * dx + (py - e["y1"]) * dy, dx * dx + dy * dy)
-    return bind(lambda v: F.hypot(px - e["x1"] - v["t"] * dx, py - e["y1"] - v["t"] * dy),
-                t=F.greatest(F.lit(0.0), F.least(F.lit(1.0), along)))
-
-
-def edge_distance(edges: Column, px: Column, py: Column) -> Column:
-    """Distance to the nearest edge."""
-    return F.array_min(F.transform(edges, lambda e: _edge_distance(e, px, py)))
-
-
-def crossed_odd(edges: Column, px: Column, py: Column) -> Column:
-    """Even-odd rule: a ray to the right meets an odd number of edges."""
-    def meets(e: Column) -> Column:
-        spans = (e["y1"] > py) != (e["y2"] > py)
-        at = F.try_divide((e["x2"] - e["x1"]) * (py - e["y1"]), e["y2"] - e["y1"]) + e["x1"]
-        return spans & (px < at)
-
-    return F.size(F.filter(edges, meets)) % 2 == 1
+    pairs = F.expr("""zip_with(_v, slice(_v, 2, size(_v)), (a, b) ->
+        if(a.part = b.part and a.ring = b.ring,
+           named_struct('x1', a.x_m, 'y1', a.y_m, 'x2', b.x_m, 'y2', b.y_m), null))""")
+    return outline.select(key, F.array_compact(pairs).alias("edges"))
+
+
+# Where along an edge the foot of the perpendicular falls, clamped to the edge.
+_FOOT = """greatest(0D, least(1D, try_divide(
+    (at.x - e.x1)*(e.x2 - e.x1) + (at.y - e.y1)*(e.y2 - e.y1),
+    (e.x2 - e.x1)*(e.x2 - e.x1) + (e.y2 - e.y1)*(e.y2 - e.y1))))"""
+_GAP = bind({"foot": {"t": _FOOT}},
+            "hypot(at.x - e.x1 - foot.t*(e.x2 - e.x1), at.y - e.y1 - foot.t*(e.y2 - e.y1))")
+# A ray to the right of the point meets the edge.
+_MEETS = """((e.y1 > at.y) != (e.y2 > at.y)
+    and at.x < try_divide((e.x2 - e.x1)*(at.y - e.y1), e.y2 - e.y1) + e.x1)"""
+
+
+def position_in(edges: str, longitude: str = "longitude", latitude: str = "latitude") -> Column:
+    """Struct ``inside``, ``on_edge``, ``distance`` of a point; distance is 0 within the outline."""
+    levels = {
+        **bng_levels(longitude, latitude),
+        "near": {"gap": f"array_min(transform({edges}, e -> {_GAP}))",
+                 "odd": f"size(filter({edges}, e -> {_MEETS})) % 2 = 1"},
+    }
+    return F.expr(bind(levels, named_values({
+        "inside": f"near.odd and near.gap > {EDGE_METRES!r}",
+        "on_edge": f"near.gap <= {EDGE_METRES!r}",
+        "distance": "if(near.odd, 0D, near.gap)"})))

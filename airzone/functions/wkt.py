@@ -19,22 +19,20 @@ def kind_of(wkt: Column) -> Column:
 
 def _compact_body(wkt: Column) -> Column:
     bare = F.regexp_replace(wkt, r"^\s*[A-Za-z]+\s*", "")
-    return F.regexp_replace(F.trim(bare), r"\s*([(),])\s*", "$1")
+    return F.regexp_replace(F.regexp_replace(F.trim(bare), r"\s+", " "), " ?([(),]) ?", "$1")
 
 
 def dimensions_of(wkt: Column) -> Column:
     """Number of ordinates of the first vertex."""
     first = F.regexp_extract(_compact_body(wkt), r"^\(+([^(),]*)", 1)
-    return F.size(F.split(first, r"\s+"))
+    return F.size(F.split(first, " "))
 
 
 def _ring(text: Column) -> Column:
     vertices = F.split(text, ",")
-
-    def ordinate(n: int) -> Column:
-        return F.transform(vertices, lambda v: F.split(F.trim(v), r"\s+").getItem(n).cast("double"))
-
-    return F.struct(ordinate(0).alias("xs"), ordinate(1).alias("ys"))
+    x = F.transform(vertices, lambda v: F.substring_index(v, " ", 1).cast("double"))
+    y = F.transform(vertices, lambda v: F.substring_index(F.substring_index(v, " ", 2), " ", -1).cast("double"))
+    return F.struct(x.alias("xs"), y.alias("ys"))
 
 
 def parse_wkt(wkt: Column) -> Column:
@@ -49,7 +47,7 @@ def parse_wkt(wkt: Column) -> Column:
 def number_text(value: Column, digits: int) -> Column:
     """Rounded decimal text without trailing zeros or exponent."""
     fixed = F.round(value.cast(f"decimal(28,{max(digits, 10)})"), digits).cast("string")
-    return F.rtrim(F.regexp_replace(fixed, r"(\.[0-9]*?)0+$", "$1"), F.lit("."))
+    return F.rtrim(F.rtrim(fixed, F.lit("0")), F.lit("."))     # digits > 0, so a point is there
 
 
 def to_wkt(geometry: Column, kind: Column, digits: int) -> Column:

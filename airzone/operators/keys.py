@@ -12,12 +12,14 @@ def rows_per_key(df: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column] | None = None) -> DataFrame:
-    """One row per key, the first in ``order`` (default: every other column ascending).
+    """One row per key, the first in ``order`` (default: every other column ascending, NULL last).
 
-    ``rank = 1`` lets Spark drop all but one row per key inside each map task,
-    so repeated keys are gone before the shuffle.
+    Repeats of a key are dropped inside each map task, before the shuffle: by a
+    partial minimum when one column decides, else by the ``rank = 1`` limit.
     """
     rest = [n for n in df.columns if n not in keys]
+    if order is None and len(rest) == 1:
+        return df.groupBy(*keys).agg(F.min(rest[0]).alias(rest[0])).select(*df.columns)
     order = order or [F.asc_nulls_last(n) for n in rest] or [F.col(keys[0])]
     ranked = df.withColumn("_rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
     return ranked.filter(F.col("_rank") == 1).drop("_rank")

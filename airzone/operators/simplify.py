@@ -4,31 +4,62 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, functions as F
 
 from airzone.functions.wkt import GEOMETRY_TYPE
 
+MIN_RING = 4      # a closed triangle
 
-def kept_vertices(xs: np.ndarray, ys: np.ndarray, tolerance: float) -> np.ndarray:
-    """Mask of the vertices that stay: ends, and any farther than ``tolerance`` from its chord."""
+
+def kept_vertices(xs: np.ndarray, ys: np.ndarray, starts: np.ndarray, ends: np.ndarray,
+                  tolerance: float) -> np.ndarray:
+    """Mask of the vertices that stay in each line ``starts[i]:ends[i]``.
+
+    Every round looks at all open chords of the batch at once: a chord whose
+    farthest vertex (the first, on ties) lies beyond ``tolerance`` is split there.
+    """
     keep = np.zeros(len(xs), dtype=bool)
-    keep[[0, -1]] = True
-    spans = [(0, len(xs) - 1)]
-    while spans:
-        lo, hi = spans.pop()
-        if hi - lo < 2:
-            continue
-        dx, dy = xs[hi] - xs[lo], ys[hi] - ys[lo]
-        px, py = xs[lo + 1:hi] - xs[lo], ys[lo + 1:hi] - ys[lo]
+    keep[starts], keep[ends - 1] = True, True
+    lo, hi = starts, ends - 1
+    while True:
+        open_ = hi - lo >= 2
+        lo, hi = lo[open_], hi[open_]
+        if not len(lo):
+            return keep
+        inner = hi - lo - 1
+        first = np.cumsum(inner) - inner
+        chord = np.repeat(np.arange(len(lo)), inner)
+        at = np.arange(len(chord)) - first[chord] + lo[chord] + 1
+
+        dx, dy = (xs[hi] - xs[lo])[chord], (ys[hi] - ys[lo])[chord]
+        px, py = xs[at] - xs[lo][chord], ys[at] - ys[lo][chord]
         length2 = dx * dx + dy * dy
-        along = np.clip((px * dx + py * dy) / length2, 0.0, 1.0) if length2 else 0.0
+        along = np.clip((px * dx + py * dy) / np.where(length2 > 0, length2, 1.0), 0.0, 1.0)
         gap2 = (px - along * dx) ** 2 + (py - along * dy) ** 2
-        far = int(np.argmax(gap2))
-        if gap2[far] > tolerance * tolerance:
-            split = lo + 1 + far
-            keep[split] = True
-            spans += [(lo, split), (split, hi)]
-    return keep
+
+        farthest = np.maximum.reduceat(gap2, first)
+        hits = np.flatnonzero(gap2 == farthest[chord])
+        split_at = at[hits[np.unique(chord[hits], return_index=True)[1]]]
+        split = farthest > tolerance * tolerance
+        keep[split_at[split]] = True
+        lo, hi = np.r_[lo[split], split_at[split]], np.r_[split_at[split], hi[split]]
+
+
+def _sizes(lists: pa.Array) -> np.ndarray:
+    return pc.fill_null(pc.list_value_length(lists), 0).to_numpy().astype(np.int64)
+
+
+def _sums(flags: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Number of set flags in each consecutive run."""
+    running = np.r_[0, np.cumsum(flags)]
+    ends = np.cumsum(sizes)
+    return running[ends] - running[ends - sizes]
+
+
+def _lists(sizes: np.ndarray, values: pa.Array, nulls: np.ndarray | None = None) -> pa.Array:
+    offsets = pa.array(np.r_[0, np.cumsum(sizes)], pa.int32())
+    return pa.ListArray.from_arrays(offsets, values, mask=None if nulls is None else pa.array(nulls))
 
 
 def simplify(geometry: Column, tolerance: float) -> Column:
@@ -37,19 +68,27 @@ def simplify(geometry: Column, tolerance: float) -> Column:
     Rings stay closed. A hole that falls below four vertices goes; so does a part
     whose outer ring does, and a geometry without parts becomes NULL.
     """
-    def ring(raw: dict) -> dict | None:
-        xs, ys = np.array(raw["xs"]), np.array(raw["ys"])
-        keep = kept_vertices(xs, ys, tolerance)
-        return {"xs": xs[keep], "ys": ys[keep]} if keep.sum() >= 4 else None
-
-    def outline(parts: list | None) -> list | None:
-        if parts is None:
-            return None
-        reduced = ([ring(r) for r in rings] for rings in parts)
-        return [[r for r in rings if r is not None] for rings in reduced if rings[0] is not None] or None
-
     @F.arrow_udf(GEOMETRY_TYPE)
     def run(column: pa.Array) -> pa.Array:
-        return pa.array([outline(parts.as_py()) for parts in column], type=column.type)
+        parts = column.flatten()
+        rings = parts.flatten()
+        ring_xs, ring_ys = rings.flatten()
+        part_count, ring_count, point_count = _sizes(column), _sizes(parts), _sizes(ring_xs)
+        xs, ys = ring_xs.flatten().to_numpy(), ring_ys.flatten().to_numpy()
+        ends = np.cumsum(point_count)
+        keep = kept_vertices(xs, ys, ends - point_count, ends, tolerance)
+
+        ring_kept = _sums(keep, point_count)
+        outer = np.cumsum(ring_count) - ring_count
+        part_stays = ring_kept[outer] >= MIN_RING
+        ring_stays = (ring_kept >= MIN_RING) & np.repeat(part_stays, ring_count)
+        keep &= np.repeat(ring_stays, point_count)
+
+        points = ring_kept[ring_stays]
+        lines = pa.StructArray.from_arrays(
+            [_lists(points, pa.array(xs[keep])), _lists(points, pa.array(ys[keep]))], ["xs", "ys"])
+        polygons = _lists(_sums(ring_stays, ring_count)[part_stays], lines)
+        remaining = _sums(part_stays, part_count)
+        return _lists(remaining, polygons, nulls=remaining == 0)
 
     return run(geometry)

@@ -4,15 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from airzone.functions.binding import bind
-from airzone.functions.geodesy import bng
 from airzone.functions.labels import tier
 from airzone.functions.numeric import round_half_up
-from airzone.functions.polygon import crossed_odd, edge_distance, zone_edges
+from airzone.functions.polygon import position_in, zone_edges
 from airzone.functions.wkt import dimensions_of, kind_of
 
-EDGE_METRES = 1e-6     # closer than this to an edge counts as on it
-
 # Reference systems and type names of the spatial tables.
 POINT_SRID, ZONE_SRID = 27700, 4326
 TYPE_NAMES = {"POINT": "ST_Point", "POLYGON": "ST_Polygon", "MULTIPOLYGON": "ST_MultiPolygon"}
@@ -30,23 +26,13 @@ def with_tier(places: DataFrame, zone: DataFrame, *, straddle: bool = False) ->
     classified where it is, without a join. A zone table of several rows is an error.
     ``straddle`` gives places on the outline their own label.
     """
-    def classify(v: Column) -> Column:
-        on_edge = v["edge"] <= EDGE_METRES
-        return bind(
-            lambda w: F.struct(
-                tier(v["odd"] & ~on_edge, w["distance"], on_edge if straddle else None).alias("tier"),
-                round_half_up(w["distance"], 2).cast("decimal(10,2)").alias("distance")),
-            distance=F.when(v["odd"], F.lit(0.0)).otherwise(v["edge"]))
-
-    def measure(v: Column) -> Column:
-        x, y = v["at"]["x"], v["at"]["y"]
-        return bind(classify, edge=edge_distance(v["edges"], x, y), odd=crossed_odd(v["edges"], x, y))
-
-    found = bind(measure, at=bng(F.col("longitude"), F.col("latitude")), edges=F.col("_edges"))
-    return (places.withColumn("_edges", zone_edges(zone).select("edges").scalar())
-            .withColumn("_found", found)
-            .withColumns({"caz_tier": F.col("_found.tier"),
-                          "distance_to_caz_metres": F.col("_found.distance")}).drop("_found", "_edges"))
+    found = places.withColumn("_edges", zone_edges(zone).select("edges").scalar()).withColumn(
+        "_at", position_in("_edges"))
+    distance, on_edge = F.col("_at.distance"), F.col("_at.on_edge")
+    return found.withColumns({
+        "caz_tier": tier(F.col("_at.inside"), distance, on_edge if straddle else None),
+        "distance_to_caz_metres": round_half_up(distance, 2).cast("decimal(10,2)"),
+    }).drop("_at", "_edges")
 
 
 def site_tiers(sites: DataFrame, zone: DataFrame) -> DataFrame:

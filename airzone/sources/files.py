@@ -20,10 +20,14 @@ def read_csv(spark: SparkSession, paths: str | Sequence[str], schema: StructType
 
 
 def split_staging(staging: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Text timestamps parsed: (readings, rows whose text is not a timestamp)."""
-    parsed = staging.withColumn("_ts", parse_timestamp(F.col("date_time")))
-    readings = parsed.filter(F.col("_ts").isNotNull()).select("site_id", F.col("_ts").alias("date_time"), "no2")
-    return readings, parsed.filter(F.col("_ts").isNull()).drop("_ts")
+    """Text timestamps parsed: (readings, rows whose text is not a timestamp).
+
+    A row explodes into its one parsed timestamp or into nothing, so each text
+    is parsed once; a filter would parse it again ahead of the projection.
+    """
+    parsed = F.array_compact(F.array(parse_timestamp(F.col("date_time"))))
+    readings = staging.select("site_id", F.explode(parsed).alias("date_time"), "no2")
+    return readings, staging.filter(parse_timestamp(F.col("date_time")).isNull())
 
 
 def load_staged_readings(staging: DataFrame, target: DataFrame | None = None) -> DataFrame:
