@@ -13,7 +13,8 @@ BUCKETS_PER_E_FOLD = 256
 def _bucket(value: Column) -> Column:
     """Order-keeping bucket: linear near zero, logarithmic away from it."""
     scaled = F.signum(value) * F.log1p(F.abs(value)) * BUCKETS_PER_E_FOLD
-    return F.when(F.isnan(value), F.lit(2**63 - 1)).otherwise(F.floor(scaled))
+    bucket = F.when(F.isnan(value), F.lit(2**63 - 1)).otherwise(F.floor(scaled))
+    return F.coalesce(bucket, F.lit(0))     # never NULL: both uses of the counts then share one shuffle
 
 
 def grouped_quantiles(df: DataFrame, keys: Sequence[str], value: str,
@@ -23,10 +24,11 @@ def grouped_quantiles(df: DataFrame, keys: Sequence[str], value: str,
     A group is never gathered in one task. Equal values are counted in the map
     tasks; the counts are spread over (group, bucket); a small histogram per
     group tells which buckets hold the wanted ranks, and only those are sorted.
-    Keys must not be NULL; NULL values are ignored.
+    Rows with a NULL key or value are ignored.
     """
     keys, bucket = list(keys), [*keys, "_b"]
-    counts = (df.filter(F.col(value).isNotNull())
+    known = reduce(Column.__and__, [F.col(n).isNotNull() for n in [*keys, value]])
+    counts = (df.filter(known)
               .select(*keys, F.col(value).cast("double").alias("_v"))
               .groupBy(*keys, _bucket(F.col("_v")).alias("_b"), "_v").agg(F.count(F.lit(1)).alias("_c")))
 

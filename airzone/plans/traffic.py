@@ -83,22 +83,20 @@ def yearly_traffic_summary(imputed: DataFrame, *, baseline_year: int = C.BASELIN
                            other_weight: float = C.OTHER_TOTAL_WEIGHT) -> DataFrame:
     """Per year and vehicle type: volumes, non-compliant share, change and load index.
 
-    Changes are against the all-type total of ``baseline_year``, read as two
-    single values rather than by a window over every row.
+    Changes are against the all-type total of ``baseline_year``, read as one
+    value rather than by a window over every row.
     """
-    base = imputed.filter(F.year("date") == baseline_year)
     clean, polluting = F.col("total_compliant_vehicles"), F.col("total_non_compliant_vehicles")
-
-    def baseline(name: str) -> Column:
-        return base.agg(F.sum(name)).scalar()
+    baseline = imputed.filter(F.year("date") == baseline_year).agg(F.struct(
+        F.sum("noncompliant_vehicles").alias("polluting"), F.sum("compliant_vehicles").alias("clean"))).scalar()
 
     yearly = imputed.groupBy(F.year("date").alias("year"), "vehicle_type").agg(
         F.sum("compliant_vehicles").alias("total_compliant_vehicles"),
         F.sum("noncompliant_vehicles").alias("total_non_compliant_vehicles"),
         F.sum("total_vehicles").alias("total_caz_vehicles"))
-    return yearly.select(
-        "*", percent(polluting, F.col("total_caz_vehicles")).alias("overall_non_compliant_pct"),
-        (polluting - baseline("noncompliant_vehicles")).alias(f"absolute_change_vs_{baseline_year}_polluters"),
-        (clean - baseline("compliant_vehicles")).alias(f"absolute_change_vs_{baseline_year}_clean"),
+    return yearly.withColumn("_baseline", baseline).select(
+        *yearly.columns, percent(polluting, F.col("total_caz_vehicles")).alias("overall_non_compliant_pct"),
+        (polluting - F.col("_baseline.polluting")).alias(f"absolute_change_vs_{baseline_year}_polluters"),
+        (clean - F.col("_baseline.clean")).alias(f"absolute_change_vs_{baseline_year}_clean"),
         _load_index(compliant_weights, total_weights, noncompliant_weight, other_weight)
         .alias("estimated_total_pollution_load"))

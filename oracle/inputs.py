@@ -87,7 +87,8 @@ class Inputs:
 
     @cached_property
     def imputed(self) -> DataFrame:
-        return fleet.impute_unrecognised(self.traffic)
+        """Stored counts: imputation reads its input twice, and the yearly summary reads that twice."""
+        return fleet.impute_unrecognised(tables.stage(self.traffic, "traffic"))
 
     @cached_property
     def yearly_traffic(self) -> DataFrame:
