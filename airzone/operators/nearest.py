@@ -4,7 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from airzone.sources.tables import stage
+
 DIRECT_LIMIT = 512        # places per group that are compared one by one
+BROADCAST_ROWS = 100_000  # places or cells that may be sent to every task, a few megabytes
 LEAF_LIMIT = 16           # wanted places per finest grid cell
 FANOUT = 8                # grid refinement per axis and level
 MAX_DEPTH = 10
@@ -20,21 +23,22 @@ def nearest_place(points: DataFrame, places: DataFrame, group: str, place_id: st
     """Distinct (group, x, y) of ``points`` with the closest ``place_id``; smallest id on ties.
 
     Points and places at one spot are merged first, so crowded spots count once.
-    ``places`` is read more than once and should be a stored table: its largest
-    group decides the method. Small groups are compared directly, as a list of
-    checked length beside each point. Larger ones go through a grid that is
-    refined level by level, dropping the cells that cannot hold the nearest place.
+    ``places`` is read more than once and should be a stored table: its counts
+    decide the method. Few places are compared directly, as a list of checked
+    length beside each point. More go through a grid that is refined level by
+    level, dropping the cells that cannot hold the nearest place.
     """
     spots = points.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).select(
         F.col(group).alias("_g"), F.col(x).alias("_x"), F.col(y).alias("_y")).distinct()
     stops = (places.filter(F.col(x).isNotNull() & F.col(y).isNotNull())
              .groupBy(F.col(group).alias("_g"), F.col(x).alias("_px"), F.col(y).alias("_py"))
              .agg(F.min(place_id).alias("_id")))
-    largest = stops.groupBy("_g").count().agg(F.max("count")).first()[0] or 0
-    if largest <= direct_limit:
+    total, largest = stops.groupBy("_g").count().agg(
+        F.coalesce(F.sum("count"), F.lit(0)), F.coalesce(F.max("count"), F.lit(0))).first()
+    if largest <= direct_limit and total <= BROADCAST_ROWS:
         best = _compare_directly(spots, stops)
     else:
-        best = _search_grid(spots, stops, root_cell, leaf_limit)
+        best = _search_grid(spots, stage(stops, "places"), root_cell, leaf_limit)
     return best.select(F.col("_g").alias(group), F.col("_x").alias(x), F.col("_y").alias(y),
                        F.col("_best._id").alias(place_id))
 
@@ -49,58 +53,56 @@ def _compare_directly(spots: DataFrame, stops: DataFrame) -> DataFrame:
     listed = stops.groupBy("_g").agg(F.collect_list(F.struct("_px", "_py", "_id")).alias("_stops"))
     closest = F.array_min(F.transform(
         "_stops", lambda s: _candidate(s["_px"], s["_py"], s["_id"])))
-    return spots.join(listed, "_g").select("_g", "_x", "_y", closest.alias("_best"))
+    return spots.join(F.broadcast(listed), "_g").select("_g", "_x", "_y", closest.alias("_best"))
+
 
+def _cell_counts(stops: DataFrame, size: float) -> DataFrame:
+    cell = [F.floor(F.col(p) / size).alias(c) for p, c in (("_px", "_cx"), ("_py", "_cy"))]
+    return stops.groupBy("_g", *cell).agg(F.count(F.lit(1)).alias("_stops"))
 
-def _cells(df: DataFrame, size: float, x: str, y: str) -> list[Column]:
-    return [F.floor(F.col(x) / size).alias("_cx"), F.floor(F.col(y) / size).alias("_cy")]
 
+def _nearer_cells(found: DataFrame, size: float) -> DataFrame:
+    """Candidate (spot, cell) rows without the cells that cannot hold the nearest place.
 
-def _leaf_depth(stops: DataFrame, root_cell: float, leaf_limit: int) -> int:
-    """First level whose fullest cell is small enough; one number per level is read."""
-    for depth in range(1, MAX_DEPTH):
-        cells = _cells(stops, root_cell / FANOUT**depth, "_px", "_py")
-        if stops.groupBy("_g", *cells).count().agg(F.max("count")).first()[0] <= leaf_limit:
-            return depth
-    return MAX_DEPTH
+    Every cell listed is occupied, so the farthest corner of any candidate
+    bounds the nearest place from above.
+    """
+    def reach(at: str, cell: str) -> tuple[Column, Column]:
+        low, at = F.col(cell) * size, F.col(at)
+        near = F.greatest(low - at, at - (low + size), F.lit(0.0))
+        return near, F.greatest(F.abs(at - low), F.abs(at - (low + size)))
+
+    (nx, fx), (ny, fy) = reach("_x", "_cx"), reach("_y", "_cy")
+    spot = Window.partitionBy("_g", "_x", "_y")
+    # The margin keeps cells whose bounds tie within float rounding.
+    bound = F.min(_square(fx) + _square(fy)).over(spot) * (1 + 1e-9)
+    return (found.withColumns({"_near": _square(nx) + _square(ny), "_bound": bound})
+            .filter(F.col("_near") <= F.col("_bound")).select("_g", "_x", "_y", "_cx", "_cy"))
 
 
 def _search_grid(spots: DataFrame, stops: DataFrame, root_cell: float, leaf_limit: int) -> DataFrame:
-    """Branch and bound over occupied cells.
+    """Branch and bound over occupied cells, coarse to fine.
 
-    At each level a spot keeps a cell only while the cell's closest edge is no
-    farther than the farthest corner of some other candidate: that corner bounds
-    the nearest place from above, because every listed cell is occupied.
+    Two numbers per level reach the driver: how many cells are occupied and how
+    full the fullest is. Few cells are broadcast; many are joined by cell, where
+    a crowded cell meets at most FANOUT squared children.
     """
-    depth = _leaf_depth(stops, root_cell, leaf_limit)
-    per_spot = Window.partitionBy("_g", "_x", "_y")
-
-    def bounded(found: DataFrame, size: float) -> DataFrame:
-        left, low = F.col("_cx") * size, F.col("_cy") * size
-
-        def reach(at: Column, start: Column) -> tuple[Column, Column]:
-            near = F.greatest(start - at, at - (start + size), F.lit(0.0))
-            far = F.greatest(F.abs(at - start), F.abs(at - (start + size)))
-            return near, far
-
-        (nx, fx), (ny, fy) = reach(F.col("_x"), left), reach(F.col("_y"), low)
-        # The margin keeps cells whose bound ties within float rounding.
-        limit = F.min(_square(fx) + _square(fy)).over(per_spot) * (1 + 1e-9)
-        return (found.withColumn("_near", _square(nx) + _square(ny)).withColumn("_limit", limit)
-                .filter(F.col("_near") <= F.col("_limit")).select("_g", "_x", "_y", "_cx", "_cy"))
-
-    # At the root a group has only as many cells as the extent has root cells.
-    found = spots.join(stops.select("_g", *_cells(stops, root_cell, "_px", "_py")).distinct(), "_g")
-    found = bounded(found, root_cell)
-    for level in range(1, depth + 1):
-        size = root_cell / FANOUT**level
-        children = (stops.select("_g", *_cells(stops, size, "_px", "_py")).distinct()
-                    .withColumn("_ux", F.floor(F.col("_cx") / FANOUT))
-                    .withColumn("_uy", F.floor(F.col("_cy") / FANOUT)))
+    # Root cells (64 degrees, or 1,000 km) are so large that a group has only the handful its extent covers.
+    roots = _cell_counts(stops, root_cell).drop("_stops")
+    found = _nearer_cells(spots.join(F.broadcast(roots), "_g"), root_cell)
+    size = root_cell
+    for _ in range(MAX_DEPTH):
+        size /= FANOUT
+        cells = _cell_counts(stops, size)
+        occupied, fullest = cells.agg(F.count(F.lit(1)), F.max("_stops")).first()
+        children = cells.select("_g", "_cx", "_cy", F.floor(F.col("_cx") / FANOUT).alias("_ux"),
+                                F.floor(F.col("_cy") / FANOUT).alias("_uy"))
+        if occupied <= BROADCAST_ROWS:
+            children = F.broadcast(children)
         parents = found.withColumnsRenamed({"_cx": "_ux", "_cy": "_uy"})
-        found = bounded(parents.join(children, ["_g", "_ux", "_uy"]), size)
-
-    leaves = stops.select("*", *_cells(stops, root_cell / FANOUT**depth, "_px", "_py"))
-    pairs = found.join(leaves, ["_g", "_cx", "_cy"])
-    return pairs.groupBy("_g", "_x", "_y").agg(
+        found = _nearer_cells(parents.join(children, ["_g", "_ux", "_uy"]), size)
+        if fullest <= leaf_limit:
+            break
+    leaves = stops.withColumns({"_cx": F.floor(F.col("_px") / size), "_cy": F.floor(F.col("_py") / size)})
+    return found.join(leaves, ["_g", "_cx", "_cy"]).groupBy("_g", "_x", "_y").agg(
         F.min(_candidate(F.col("_px"), F.col("_py"), F.col("_id"))).alias("_best"))

@@ -7,14 +7,17 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-BUCKETS_PER_E_FOLD = 256
+# Buckets per e-fold at each level, as powers of two. The second level splits a
+# bucket of the first into 2**20, so the values finally sorted side by side
+# agree to 28 bits.
+BUCKET_BITS = (8, 28)
 
 
-def _bucket(value: Column) -> Column:
-    """Order-keeping bucket: linear near zero, logarithmic away from it."""
-    scaled = F.signum(value) * F.log1p(F.abs(value)) * BUCKETS_PER_E_FOLD
+def _bucket(value: Column, bits: int) -> Column:
+    """Order-keeping bucket: linear near zero, logarithmic away from it. Never NULL."""
+    scaled = F.signum(value) * F.log1p(F.abs(value)) * float(2**bits)
     bucket = F.when(F.isnan(value), F.lit(2**63 - 1)).otherwise(F.floor(scaled))
-    return F.coalesce(bucket, F.lit(0))     # never NULL: both uses of the counts then share one shuffle
+    return F.coalesce(bucket, F.lit(0))
 
 
 def grouped_quantiles(df: DataFrame, keys: Sequence[str], value: str,
@@ -22,35 +25,41 @@ def grouped_quantiles(df: DataFrame, keys: Sequence[str], value: str,
     """``PERCENTILE_CONT`` of ``value`` per group, one column for each name in ``quantiles``.
 
     A group is never gathered in one task. Equal values are counted in the map
-    tasks; the counts are spread over (group, bucket); a small histogram per
-    group tells which buckets hold the wanted ranks, and only those are sorted.
-    Rows with a NULL key or value are ignored.
+    tasks and the counts are shuffled by (group, value). A histogram per group
+    tells which buckets hold the wanted ranks; only their values go on, to a
+    finer histogram of each and then to a sort. Rows with a NULL key or value
+    are ignored.
     """
-    keys, bucket = list(keys), [*keys, "_b"]
     known = reduce(Column.__and__, [F.col(n).isNotNull() for n in [*keys, value]])
-    counts = (df.filter(known)
-              .select(*keys, F.col(value).cast("double").alias("_v"))
-              .groupBy(*keys, _bucket(F.col("_v")).alias("_b"), "_v").agg(F.count(F.lit(1)).alias("_c")))
-
-    group = Window.partitionBy(*keys)
-    histogram = (counts.groupBy(*bucket).agg(F.sum("_c").alias("_size"))
-                 .withColumn("_last", F.sum("_size").over(
-                     group.orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)))
-                 .withColumn("_n", F.sum("_size").over(group)))
+    counts = (df.filter(known).select(*keys, F.col(value).cast("double").alias("_v"))
+              .groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_c")))
 
     def position(q: float) -> Column:
         return (F.col("_n") - 1) * F.lit(q)
 
     def holds(rank: Column, size: str) -> Column:
+        """Ranks count from 0; ``_last`` rows of the group end with this one."""
         return (F.col("_last") > rank) & (F.col("_last") - F.col(size) <= rank)
 
     wanted = [rank(position(q)) for q in quantiles.values() for rank in (F.floor, F.ceil)]
-    picked = (histogram.filter(reduce(Column.__or__, [holds(r, "_size") for r in wanted]))
-              .select(*bucket, (F.col("_last") - F.col("_size")).alias("_before"), "_n"))
 
-    running = Window.partitionBy(*bucket).orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = (counts.join(picked, bucket)
-              .withColumn("_last", F.col("_before") + F.sum("_c").over(running)))
+    def up_to_here(group: list[str], order: str, size: str) -> Column:
+        rows = Window.partitionBy(*group).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+        return F.col("_before") + F.sum(size).over(rows)
+
+    group, ranked, carried = list(keys), counts.withColumn("_before", F.lit(0)), ["_before"]
+    for level, bits in enumerate(BUCKET_BITS):
+        bucket = f"_b{level}"
+        ranked = ranked.withColumn(bucket, _bucket(F.col("_v"), bits))
+        histogram = (ranked.groupBy(*group, *carried, bucket).agg(F.sum("_c").alias("_size"))
+                     .withColumn("_last", up_to_here(group, bucket, "_size")))
+        if level == 0:
+            histogram = histogram.withColumn("_n", F.sum("_size").over(Window.partitionBy(*keys)))
+        picked = (histogram.filter(reduce(Column.__or__, [holds(r, "_size") for r in wanted]))
+                  .select(*group, bucket, (F.col("_last") - F.col("_size")).alias("_before"), "_n"))
+        ranked = ranked.drop(*carried).join(picked, [*group, bucket])
+        group, carried = [*group, bucket], ["_before", "_n"]
+    ranked = ranked.withColumn("_last", up_to_here(group, "_v", "_c"))
 
     def at(rank: Column) -> Column:
         return F.max(F.when(holds(rank, "_c"), F.col("_v")))

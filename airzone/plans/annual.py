@@ -127,9 +127,10 @@ def nearest_reference(site_years: DataFrame, sites: DataFrame, period: str = "ca
     closest = nearest_place(targets, eligible, year, "assigned_reference_site_id", **search)
 
     # A missing coordinate on either side makes every distance NULL: any reference will do.
+    # One row per year, so its size is bounded by the calendar.
     fallback = eligible.groupBy(year).agg(F.min("assigned_reference_site_id").alias("_any"))
     assigned = F.coalesce("assigned_reference_site_id", "_any")
-    return (targets.join(closest, [year, "x", "y"], "left").join(fallback, year)
+    return (targets.join(closest, [year, "x", "y"], "left").join(F.broadcast(fallback), year)
             .select("site_id", year, assigned.alias("assigned_reference_site_id")))
 
 
