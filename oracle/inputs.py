@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from functools import cached_property
+from functools import cached_property, reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from airzone.operators.audits import orphans
 from airzone.plans import annual, layers, tiers, traffic as fleet
 from airzone.sources import dimensions, files, schemas, tables
 from oracle import bindings
@@ -120,22 +121,17 @@ class Inputs:
         return df.withColumn(key, F.col(key).cast("string"))
 
     def constraint_audit(self) -> DataFrame:
-        from airzone.operators.audits import orphans
+        """Every declared reference. The summary has one row per site-year of the metrics."""
         years = dimensions.years(self.spark, 1996, 2001)
-        percentiles = annual.p998_by_site_year(self.readings)
-        summary = annual.site_yearly_summary(self.annualised(), percentiles)
-        checks = [
+        metrics = annual.site_yearly_metrics(annual.site_years(self.monthly), self.sites)
+        return reduce(DataFrame.unionByName, [
             orphans(self.readings, "site_id", self.sites, "site_id", "readings site"),
             orphans(self.admissions, "area_code", self.wards, "area_code", "admissions ward"),
             orphans(self.ward_tiers, "caz_tier", self.tiers, "caz_tier", "ward tier"),
             orphans(self.site_tiers, "caz_tier", self.tiers, "caz_tier", "site tier"),
             orphans(self.yearly_traffic, "year", years, "calendar_year", "traffic summary year"),
-            orphans(summary, "year", years, "calendar_year", "site summary year"),
-        ]
-        result = checks[0]
-        for check in checks[1:]:
-            result = result.unionByName(check)
-        return result
+            orphans(metrics, "reading_year", years, "calendar_year", "site summary year"),
+        ])
 
     def keyed(self) -> dict[str, tuple[DataFrame, list[str]]]:
         frames = {"readings": self.readings, "sites": self.sites, "wards": self.wards,

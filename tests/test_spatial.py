@@ -9,10 +9,10 @@ from airzone.plans import layers, tiers
 from airzone.sources import dimensions
 
 PLACES = {   # latitude, longitude -> tier number, metres
-    "BCA1": (52.481789, -1.898739, "1", 0), "BCA2": (52.486101, -1.986791, "4", 4759.01),
-    "BCA3": (52.476824, -1.902129, "1", 0), "UKA00655": (52.481346, -1.918235, "2", 141.29),
-    "UKA00626": (52.476145, -1.874978, "1", 0), "BCA5": (52.44, -1.94, "4", 3645.82),
-    "BCA6": (52.459227, -1.871616, "3", 1207.36), "BCA4": (52.568194, -1.786267, "5", 10859.53)}
+    "centre": (52.481789, -1.898739, "1", 0), "west": (52.486101, -1.986791, "4", 4759.01),
+    "south-centre": (52.476824, -1.902129, "1", 0), "by the ring": (52.481346, -1.918235, "2", 141.29),
+    "on the ring": (52.476145, -1.874978, "1", 0), "south-west": (52.44, -1.94, "4", 3645.82),
+    "south-east": (52.459227, -1.871616, "3", 1207.36), "far north-east": (52.568194, -1.786267, "5", 10859.53)}
 
 
 def places(spark, entries):
