@@ -56,6 +56,8 @@ def _definitions() -> dict[str, Callable[[Inputs], DataFrame]]:
     q["dedup_first_wins"] = lambda t: files.load_staged_readings(t.staging)
     q["insert_ignore"] = lambda t: files.load_staged_readings(
         t.staging, t.readings.filter(F.col("no2").isNull()).select("site_id", "date_time"))
+    q["enrich_sites"] = lambda t: _comparable(keys.enrich(
+        t.sites, t.site_tiers.select("site_id", "caz_tier", "distance_to_caz_metres"), ["site_id"]))
     q["fiscal_year_from_start"] = lambda t: t.admissions.select(
         "health_condition", "area_code", "fiscal_start_date", "fiscal_year")
     q["dim_years"] = lambda t: dimensions.years_of(t.readings, F.col("date_time"))

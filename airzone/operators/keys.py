@@ -41,3 +41,23 @@ def top_n(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int,
     """
     rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
     return df.withColumn(rank_name, rank).filter(F.col(rank_name) <= n)
+
+
+def enrich(dim: DataFrame, computed: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """``dim`` with the columns of ``computed`` written over it by key.
+
+    Matched rows take the computed values, NULLs included; the others keep what
+    they had. ``computed`` must have one row per key.
+    """
+    new = [n for n in computed.columns if n not in keys]
+    incoming = computed.select(*keys, F.struct(*new).alias("_new"))
+    joined = dim.join(incoming, list(keys), "left")
+
+    def value(name: str) -> Column:
+        if name not in new:
+            return F.col(name)
+        old = F.col(name) if name in dim.columns else F.lit(None)
+        return F.when(F.col("_new").isNotNull(), F.col("_new")[name]).otherwise(old).alias(name)
+
+    added = [n for n in new if n not in dim.columns]
+    return joined.select(*[value(n) for n in [*dim.columns, *added]])

@@ -7,9 +7,10 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-# Buckets per e-fold at each level, as powers of two. The second level splits a
-# bucket of the first into 2**20, so the values finally sorted side by side
-# agree to 28 bits.
+# Buckets per e-fold at each level, as powers of two. All doubles together fall
+# into under 400,000 buckets of the first level, each of which the second splits
+# into 2**20: both histograms are bounded, and values finally sorted side by
+# side agree to 28 bits.
 BUCKET_BITS = (8, 28)
 
 
@@ -67,7 +68,8 @@ def grouped_quantiles(df: DataFrame, keys: Sequence[str], value: str,
     ends = ranked.groupBy(*keys).agg(F.max("_n").alias("_n"), *[
         c for i, q in enumerate(quantiles.values())
         for c in (at(F.floor(position(q))).alias(f"_lo{i}"), at(F.ceil(position(q))).alias(f"_hi{i}"))])
-    return ends.select(*keys, *[
-        (F.col(f"_lo{i}") + (F.col(f"_hi{i}") - F.col(f"_lo{i}"))
-         * (position(q) - F.floor(position(q)))).alias(name)
-        for i, (name, q) in enumerate(quantiles.items())])
+    def between(i: int, q: float) -> Column:
+        low, high, at_rank = F.col(f"_lo{i}"), F.col(f"_hi{i}"), position(q)
+        return F.when(low == high, low).otherwise(low + (high - low) * (at_rank - F.floor(at_rank)))
+
+    return ends.select(*keys, *[between(i, q).alias(name) for i, (name, q) in enumerate(quantiles.items())])

@@ -42,3 +42,20 @@ def test_the_counts_are_shuffled_once(spark):
     result.collect()
     plan = result._jdf.queryExecution().executedPlan().toString()
     assert "ReusedExchange" in plan and "CartesianProduct" not in plan
+
+
+def test_many_distinct_values_in_one_coarse_bucket(spark):
+    """A continuous, narrow, crowded group: the second level splits it."""
+    frame = spark.range(90000).select(
+        F.when(F.col("id") % 3 == 0, "hot").otherwise("cold").alias("k"),
+        F.when(F.col("id") % 3 == 0, 400 + F.rand(7) / 4).otherwise(F.rand(8) * 1e-4).alias("v"))
+    want = {r["k"]: r["p"] for r in frame.groupBy("k").agg(F.percentile("v", 0.37).alias("p")).collect()}
+    got = {r["k"]: r["p"] for r in grouped_quantiles(frame, ["k"], "v", {"p": 0.37}).collect()}
+    assert got == pytest.approx(want, rel=1e-14)
+
+
+def test_not_a_number_and_infinity_sort_last(spark):
+    inf, nan = float("inf"), float("nan")
+    frame = spark.createDataFrame([("a", v) for v in (-inf, 1.0, 2.0, inf, nan)], "k string, v double")
+    got = grouped_quantiles(frame, ["k"], "v", {"lo": 0.0, "q1": 0.25, "q3": 0.75, "hi": 1.0}).first()
+    assert (got["q1"], got["q3"]) == (1.0, inf)
