@@ -1,7 +1,7 @@
 """Spark-native analytics for urban air quality, traffic and public health.
 
 Everything is a function from DataFrames to a DataFrame. Nothing runs until the
-caller writes, shows or stages a result.
+caller writes or shows a result, apart from intermediate tables whose size is read.
 
 - ``airzone.sources``    typed loads, literal dimensions, staged tables
 - ``airzone.functions``  column expressions (calendar, rounding, geodesy, WKT)

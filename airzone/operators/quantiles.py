@@ -7,6 +7,8 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from airzone.sources.tables import stage
+
 # Buckets per e-fold at each level, as powers of two. All doubles together fall
 # into under 400,000 buckets of the first level, each of which the second splits
 # into 2**20: both histograms are bounded, and values finally sorted side by
@@ -14,6 +16,9 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 BUCKET_BITS = (8, 28)
 
 
+BROADCAST_ROWS = 100_000     # wanted buckets that may be sent to every task, a few megabytes
+
+
 def _bucket(value: Column, bits: int) -> Column:
     """Order-keeping bucket: linear near zero, logarithmic away from it. Never NULL."""
     scaled = F.signum(value) * F.log1p(F.abs(value)) * float(2**bits)
@@ -21,19 +26,20 @@ def _bucket(value: Column, bits: int) -> Column:
     return F.coalesce(bucket, F.lit(0))
 
 
-def grouped_quantiles(df: DataFrame, keys: Sequence[str], value: str,
-                      quantiles: Mapping[str, float]) -> DataFrame:
+def grouped_quantiles(df: DataFrame, keys: Sequence[str], value: str, quantiles: Mapping[str, float], *,
+                      broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """``PERCENTILE_CONT`` of ``value`` per group, one column for each name in ``quantiles``.
 
-    A group is never gathered in one task. Equal values are counted in the map
-    tasks and the counts are shuffled by (group, value). A histogram per group
-    tells which buckets hold the wanted ranks; only their values go on, to a
-    finer histogram of each and then to a sort. Rows with a NULL key or value
-    are ignored.
+    A group is never gathered in one task. A first pass counts rows per (group,
+    bucket), mostly inside the map tasks, and stores the few buckets that hold
+    the wanted ranks. If that list is short it is sent to a second pass, which
+    drops every other row before any shuffle; if there are too many groups for
+    that, values are counted and joined by (group, bucket). Either way only the
+    values of those buckets go on, to a finer histogram and then to a sort.
+    Rows with a NULL key or value are ignored.
     """
     known = reduce(Column.__and__, [F.col(n).isNotNull() for n in [*keys, value]])
-    counts = (df.filter(known).select(*keys, F.col(value).cast("double").alias("_v"))
-              .groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_c")))
+    values = df.filter(known).select(*keys, F.col(value).cast("double").alias("_v"))
 
     def position(q: float) -> Column:
         return (F.col("_n") - 1) * F.lit(q)
@@ -45,22 +51,32 @@ def grouped_quantiles(df: DataFrame, keys: Sequence[str], value: str,
     wanted = [rank(position(q)) for q in quantiles.values() for rank in (F.floor, F.ceil)]
 
     def up_to_here(group: list[str], order: str, size: str) -> Column:
-        rows = Window.partitionBy(*group).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-        return F.col("_before") + F.sum(size).over(rows)
-
-    group, ranked, carried = list(keys), counts.withColumn("_before", F.lit(0)), ["_before"]
-    for level, bits in enumerate(BUCKET_BITS):
-        bucket = f"_b{level}"
-        ranked = ranked.withColumn(bucket, _bucket(F.col("_v"), bits))
-        histogram = (ranked.groupBy(*group, *carried, bucket).agg(F.sum("_c").alias("_size"))
-                     .withColumn("_last", up_to_here(group, bucket, "_size")))
-        if level == 0:
-            histogram = histogram.withColumn("_n", F.sum("_size").over(Window.partitionBy(*keys)))
-        picked = (histogram.filter(reduce(Column.__or__, [holds(r, "_size") for r in wanted]))
-                  .select(*group, bucket, (F.col("_last") - F.col("_size")).alias("_before"), "_n"))
-        ranked = ranked.drop(*carried).join(picked, [*group, bucket])
-        group, carried = [*group, bucket], ["_before", "_n"]
-    ranked = ranked.withColumn("_last", up_to_here(group, "_v", "_c"))
+        return F.sum(size).over(
+            Window.partitionBy(*group).orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
+
+    def wanted_buckets(histogram: DataFrame, bucket: list[str]) -> DataFrame:
+        holding = histogram.filter(reduce(Column.__or__, [holds(r, "_size") for r in wanted]))
+        return holding.select(*bucket, (F.col("_last") - F.col("_size")).alias("_before"), "_n")
+
+    coarse, fine = [*keys, "_b0"], [*keys, "_b0", "_b1"]
+    first = (values.groupBy(*keys, _bucket(F.col("_v"), BUCKET_BITS[0]).alias("_b0"))
+             .agg(F.count(F.lit(1)).alias("_size"))
+             .withColumns({"_last": up_to_here(list(keys), "_b0", "_size"),
+                           "_n": F.sum("_size").over(Window.partitionBy(*keys))}))
+    picked = stage(wanted_buckets(first, coarse), "quantile_buckets")
+    in_bucket = _bucket(F.col("_v"), BUCKET_BITS[0])
+    if picked.count() <= broadcast_rows:
+        rows = values.withColumn("_b0", in_bucket).join(F.broadcast(picked), coarse)
+        counts = rows.groupBy(*coarse, "_before", "_n", "_v").agg(F.count(F.lit(1)).alias("_c"))
+    else:
+        counted = values.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_c"))
+        counts = counted.withColumn("_b0", in_bucket).join(picked, coarse)
+
+    split = counts.withColumn("_b1", _bucket(F.col("_v"), BUCKET_BITS[1]))
+    second = (split.groupBy(*fine, "_before", "_n").agg(F.sum("_c").alias("_size"))
+              .withColumn("_last", F.col("_before") + up_to_here(coarse, "_b1", "_size")))
+    ranked = (split.drop("_before", "_n").join(wanted_buckets(second, fine), fine)
+              .withColumn("_last", F.col("_before") + up_to_here(fine, "_v", "_c")))
 
     def at(rank: Column) -> Column:
         return F.max(F.when(holds(rank, "_c"), F.col("_v")))

@@ -5,10 +5,10 @@ from pyspark.sql import functions as F
 from airzone.operators.quantiles import grouped_quantiles
 
 
-def check(spark, groups, quantiles):
+def check(spark, groups, quantiles, **options):
     data = [(k, None if v is None else float(v)) for k, values in groups.items() for v in values]
     got = {r["k"]: r for r in grouped_quantiles(
-        spark.createDataFrame(data, "k string, v double"), ["k"], "v", quantiles).collect()}
+        spark.createDataFrame(data, "k string, v double"), ["k"], "v", quantiles, **options).collect()}
     for k, values in groups.items():
         known = [v for v in values if v is not None]
         if not known:
@@ -18,13 +18,14 @@ def check(spark, groups, quantiles):
             assert got[k][name] == pytest.approx(np.quantile(known, q), rel=1e-12, abs=1e-12), (k, name)
 
 
-def test_against_numpy(spark):
+@pytest.mark.parametrize("options", [{}, {"broadcast_rows": 0}])
+def test_against_numpy(spark, options):
     rng = np.random.default_rng(5)
     check(spark, {
         "normal": rng.normal(40, 15, 3001), "negative": -rng.exponential(5, 500), "signs": rng.normal(0, 1e-3, 777),
         "one": [3.25], "two": [1, 2], "equal": [7] * 50, "nulls": [None, None], "mixed": [None, 5, 1, None],
         "wide": 10.0 ** rng.uniform(-12, 12, 999), "steps": rng.integers(-3, 90, 5000),
-    }, {"lo": 0.0, "median": 0.5, "p998": 0.998, "hi": 1.0})
+    }, {"lo": 0.0, "median": 0.5, "p998": 0.998, "hi": 1.0}, **options)
 
 
 def test_group_with_a_third_of_the_rows_is_split(spark):
@@ -36,7 +37,7 @@ def test_group_with_a_third_of_the_rows_is_split(spark):
     assert got == pytest.approx(hot)
 
 
-def test_the_counts_are_shuffled_once(spark):
+def test_wanted_values_are_shuffled_once(spark):
     frame = spark.range(1000).select((F.col("id") % 7).alias("k"), F.col("id").cast("double").alias("v"))
     result = grouped_quantiles(frame, ["k"], "v", {"p": 0.5})
     result.collect()
