@@ -19,6 +19,13 @@ from airzone.sources import dimensions, files, schemas, tables
 from oracle.inputs import Inputs
 from oracle.sql import ORACLE
 
+try:
+    from airzone.llm import queries as llm
+except ModuleNotFoundError as missing:
+    if (missing.name or "").split(".")[:2] not in (["airzone", "llm"], ["corpus_pipeline"]):
+        raise
+    llm = None
+
 SMOKE_DIR = "/root/testdata/sf0.001"
 
 
@@ -170,8 +177,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     def bind(define: Callable[[Inputs], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
         return lambda spark, folder: define(Inputs(spark, folder))
 
-    return {name: bind(define) for name, define in _definitions().items()}
+    return {name: bind(define) for name, define in _definitions().items()} | (llm.queries() if llm else {})
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(ORACLE)
+    return ORACLE | (llm.oracle_sql() if llm else {})

