@@ -26,6 +26,8 @@ class Tiling:
 
 #: Room for rounding in the rotated space; every pair it lets through is settled on the given components.
 ROUNDING = 1e-9
+#: Pairs of a tile that are followed beyond the first step at a time.
+STRIP = 50_000
 
 
 def _rows(vectors: DataFrame) -> DataFrame:
@@ -85,12 +87,21 @@ def similar(x: np.ndarray, y: np.ndarray, axes: np.ndarray, tiling: Tiling) -> t
     of the two suffix norms, so a pair is dropped as soon as sum and bound together stay below the cosine.
     """
     u, v = unit(x) @ axes, unit(y) @ axes
-    size, at = u.shape[1], min(tiling.step, u.shape[1])
+    at = min(tiling.step, u.shape[1])
     least = tiling.cosine - ROUNDING
     tail = lambda w, k: np.sqrt((w[:, k:] ** 2).sum(axis=1))
     total = u[:, :at] @ v[:, :at].T
     i, j = np.nonzero(total + np.multiply.outer(tail(u, at), tail(v, at)) >= least)
-    total, step = total[i, j], tiling.step
+    total, found = total[i, j], [(i[:0], j[:0])]
+    for some in range(0, len(i), STRIP):        # memory of a strip of pairs, also where every pair of a tile is close
+        found.append(_settled(x, y, u, v, i[some:some + STRIP], j[some:some + STRIP], total[some:some + STRIP], at, tiling))
+    return np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
+
+
+def _settled(x, y, u, v, i, j, total, at: int, tiling: Tiling) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs (i, j) with the wanted cosine, given their products along the first ``at`` axes."""
+    size, step, least = u.shape[1], tiling.step, tiling.cosine - ROUNDING
+    tail = lambda w, k: np.sqrt((w[:, k:] ** 2).sum(axis=1))
     while at < size and len(i):
         step *= 2
         to = min(at + step, size)
