@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
-
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from airzone.sources.tables import stage
@@ -72,13 +70,13 @@ def components(edges: DataFrame, left: str = "a", right: str = "b", most: int =
         links.select(F.col("lo").alias("node"), F.col("lo").alias("component")).distinct())
 
 
-def batched(values: Iterable, size: int):
-    """Lists of at most ``size`` values."""
-    block: list = []
-    for value in values:
-        block.append(value)
-        if len(block) >= size:
-            yield block
-            block = []
-    if block:
-        yield block
+#: Rows of a key list that are still sent to every executor: two long columns of a million rows are 16 MB.
+BROADCAST_ROWS = 1_000_000
+
+
+def picked(rows: DataFrame, keys: DataFrame, on: str, how: str = "inner") -> DataFrame:
+    """``rows`` joined with a list of keys, which is broadcast if its row count, read here, is small enough.
+
+    Wide rows such as texts then stay where they are; beyond the bound both sides are shuffled as usual.
+    """
+    return rows.join(F.broadcast(keys) if keys.count() <= BROADCAST_ROWS else keys, on, how)

@@ -16,7 +16,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from airzone.llm.common import components, only
+from airzone.llm.common import components, only, picked
 from airzone.sources.tables import stage
 
 MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -262,7 +262,7 @@ def _confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, sketch: Sket
     """
     pairs = stage(pairs, "pairs")
     wanted = pairs.select(F.col("tile").alias("place"), F.explode(F.array_distinct(F.concat("lefts", "rights"))).alias("node")).distinct()
-    needed = wanted.select("node").distinct().join(nodes.select("node", "doc_id", "set_id"), "node")
+    needed = stage(wanted.select("node").distinct().join(nodes.select("node", "doc_id", "set_id"), "node"), "needed")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -271,7 +271,7 @@ def _confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, sketch: Sket
                 [batch.column("node"), batch.column("set_id"), pa.array([xxhash.xxh3_128_digest(s) for s in sets], pa.binary()),
                  pa.array(sets, pa.binary())], names=["node", "set_id", "own", "hashes"])
 
-    texts = docs.join(needed, "doc_id").select("node", "set_id", F.col("text").cast("binary").alias("text"))
+    texts = picked(docs, needed, "doc_id").select("node", "set_id", F.col("text").cast("binary").alias("text"))
     sets = (texts.mapInArrow(run, "node long, set_id binary, own binary, hashes binary")
             .where("set_id = own").select("node", "hashes"))
 
