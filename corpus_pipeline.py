@@ -11,7 +11,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from airzone.llm import hyperminhash, mixing, pieces, quality, surrogates
-from airzone.sources.tables import new_path
+from airzone.llm.common import picked
+from airzone.sources.tables import new_path, stage
 
 #: Key of the surrogates: whoever holds it can tell which surrogate an entity got.
 KEY = "corpus surrogates 1"
@@ -29,11 +30,11 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of every group of near duplicates, and one row of every id."""
-    found = hyperminhash.near_duplicates(docs)
-    gone = found.where("NOT kept").select("doc_id").distinct()
+    found = stage(hyperminhash.near_duplicates(docs), "groups")
     repeated = found.where("kept AND doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id")
-    once = docs.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return docs.join(gone.unionByName(repeated), "doc_id", "left_anti").unionByName(once).select(*docs.columns)
+    gone = found.where("NOT kept").select("doc_id").distinct().unionByName(repeated)
+    once = picked(docs, repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return picked(docs, gone, "doc_id", "left_anti").unionByName(once).select(*docs.columns)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -69,9 +70,9 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES:
+    for name, function in STAGES:
         path = new_path(spark, f"corpus-{name.replace(' ', '-')}")
-        stage(spark, docs, sf_dir).write.parquet(path)
+        function(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
     return docs
 
