@@ -60,9 +60,12 @@ def _definitions() -> dict[str, Callable[[Inputs], DataFrame]]:
                             "readings", split=F.col("no2") < 20), schemas.READINGS_STAGING)
     q["parse_timestamp"] = lambda t: files.split_staging(t.staging)[0]
     q["rejected_timestamps"] = lambda t: files.split_staging(t.staging)[1].select("site_id", "date_time", "no2")
-    q["dedup_first_wins"] = lambda t: files.load_staged_readings(t.staging)
+    q["dedup_first_wins"] = lambda t: files.load_staged_readings(t.staging, rejects="skip")
     q["insert_ignore"] = lambda t: files.load_staged_readings(
-        t.staging, t.readings.filter(F.col("no2").isNull()).select("site_id", "date_time"))
+        t.staging, t.readings.filter(F.col("no2").isNull()).select("site_id", "date_time"), rejects="skip")
+    q["appended_readings"] = lambda t: _appended(t)
+    q["load_report"] = lambda t: files.load_report(
+        t.staging, files.load_staged_readings(t.staging.filter(F.col("site_id") % 2 == 0), rejects="skip"))
     q["enrich_sites"] = lambda t: _comparable(keys.enrich(
         t.sites, t.site_tiers.select("site_id", "caz_tier", "distance_to_caz_metres"), ["site_id"]))
     q["fiscal_year_from_start"] = lambda t: t.admissions.select(
@@ -165,6 +168,14 @@ def _ratios(t: Inputs) -> DataFrame:
     return annual.annualisation_ratios(years, annual.nearest_reference(years, t.sites))
 
 
+def _appended(t: Inputs) -> DataFrame:
+    """Half of the sites loaded into a stored fact, then everything, then everything again."""
+    path = tables.new_path(t.spark, "readings")
+    for batch in (t.staging.filter(F.col("site_id") % 2 == 0), t.staging, t.staging):
+        files.append_readings(batch, path, rejects="skip")
+    return tables.read_table(t.spark, path)
+
+
 def _stored(t: Inputs) -> DataFrame:
     """The monthly profile written by year, sorted for pruning, and read back."""
     path = tables.new_path(t.spark, "hourly_monthly_profile")

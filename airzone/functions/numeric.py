@@ -6,8 +6,11 @@ from pyspark.sql import Column, functions as F
 
 
 def round_half_up(value: Column, digits: int) -> Column:
-    """Round half away from zero after fixing binary noise at ten decimals."""
-    return F.round(value.cast("decimal(28,10)"), digits)
+    """Round half away from zero after fixing binary noise at ten decimals.
+
+    NaN, infinities and values of more than 28 whole digits give NULL, so one bad reading cannot stop a report.
+    """
+    return F.round(value.try_cast("decimal(38,10)"), digits)
 
 
 def percent(part: Column, whole: Column, digits: int = 2) -> Column:

@@ -28,8 +28,24 @@ def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column] |
 def insert_ignore(new: DataFrame, target: DataFrame | None, keys: Sequence[str],
                   order: Sequence[Column] | None = None) -> DataFrame:
     """Rows of ``new`` to append to ``target``: known keys and repeats are skipped."""
-    fresh = first_per_key(new, keys, order)
-    return fresh if target is None else fresh.join(target.select(*keys), list(keys), "left_anti")
+    return unknown_rows(first_per_key(new, keys, order), target, keys)
+
+
+def unknown_rows(fresh: DataFrame, target: DataFrame | None, keys: Sequence[str]) -> DataFrame:
+    """Rows of ``fresh`` whose key ``target`` lacks.
+
+    A target with ``date_time`` in its key is first cut down to the times of the batch, and one partitioned by
+    ``year`` to its years, so the history is not read; the two bounds are the only values the driver reads.
+    """
+    if target is None:
+        return fresh
+    if "date_time" in keys:
+        low, high = fresh.agg(F.min("date_time"), F.max("date_time")).first()
+        if low is not None:
+            target = target.filter(F.col("date_time").between(F.lit(low), F.lit(high)))
+            if "year" in target.columns:
+                target = target.filter(F.col("year").between(low.year, high.year))
+    return fresh.join(target.select(*keys), list(keys), "left_anti")
 
 
 def top_n(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int,

@@ -47,7 +47,8 @@ def _with_validity(monthly: DataFrame, period: str, threshold: float, expected:
 
 
 def laqm_capture_audit(monthly: DataFrame, period: str = "calendar", *,
-                       threshold: float = C.CAPTURE_THRESHOLD, expected: str = "rows") -> DataFrame:
+                       threshold: float = C.CAPTURE_THRESHOLD, expected: str = "rows",
+                       pass_months: int = C.PASS_MONTHS, annualise_months: int = C.ANNUALISE_MONTHS) -> DataFrame:
     """Months seen, valid months, mean monthly capture and status of each site-year."""
     share = _capture(expected)
     months = (_with_validity(monthly, period, threshold, expected)
@@ -56,18 +57,20 @@ def laqm_capture_audit(monthly: DataFrame, period: str = "calendar", *,
             .agg(F.count("reading_month").alias("total_monitored_months"),
                  F.count_if("is_valid_month").alias("valid_months_count"),
                  round_half_up(F.avg("_pct"), 2).alias("yearly_avg_monthly_capture_pct"))
-            .withColumn("laqm_annual_mean_status", capture_status(F.col("valid_months_count"))))
+            .withColumn("laqm_annual_mean_status",
+                        capture_status(F.col("valid_months_count"), pass_months, annualise_months)))
 
 
 def percentile_eligibility(monthly: DataFrame, period: str = "calendar", *,
-                           threshold: float = C.CAPTURE_THRESHOLD, expected: str = "rows") -> DataFrame:
+                           threshold: float = C.CAPTURE_THRESHOLD, expected: str = "rows",
+                           pass_months: int = C.PASS_MONTHS, annualise_months: int = C.ANNUALISE_MONTHS) -> DataFrame:
     """Whether a site-year may report its 99.8th percentile, and what to do otherwise."""
     valid = F.col("valid_months_count")
     return (_with_validity(monthly, period, threshold, expected)
             .groupBy("site_id", PERIOD_COLUMN[period])
             .agg(F.count_if("is_valid_month").alias("valid_months_count"))
-            .withColumn("percentile_99_8_status", percentile_status(valid))
-            .withColumn("remediation_instruction", percentile_directive(valid)))
+            .withColumn("percentile_99_8_status", percentile_status(valid, pass_months))
+            .withColumn("remediation_instruction", percentile_directive(valid, pass_months, annualise_months)))
 
 
 def site_years(monthly: DataFrame, period: str = "calendar", *,
@@ -86,12 +89,14 @@ def site_years(monthly: DataFrame, period: str = "calendar", *,
                  F.avg("monthly_mean").alias("raw_direct_mean"), means.alias("month_means")))
 
 
-def site_yearly_metrics(site_years: DataFrame, sites: DataFrame, period: str = "calendar") -> DataFrame:
+def site_yearly_metrics(site_years: DataFrame, sites: DataFrame, period: str = "calendar", *,
+                        pass_months: int = C.PASS_MONTHS, annualise_months: int = C.ANNUALISE_MONTHS) -> DataFrame:
     """Months, direct mean of monthly means and status of each known site's years."""
     return (site_years.join(sites.select("site_id", "site_name"), "site_id")
             .select("site_id", "site_name", PERIOD_COLUMN[period], "total_monitored_months",
                     "valid_months_count", "raw_direct_mean",
-                    capture_status(F.col("valid_months_count")).alias("laqm_annual_mean_status")))
+                    capture_status(F.col("valid_months_count"), pass_months, annualise_months)
+                    .alias("laqm_annual_mean_status")))
 
 
 def valid_site_years(metrics: DataFrame, period: str = "calendar") -> DataFrame:
@@ -130,7 +135,7 @@ def nearest_reference(site_years: DataFrame, sites: DataFrame, period: str = "ca
     # One row per year, so its size is bounded by the calendar.
     fallback = eligible.groupBy(year).agg(F.min("assigned_reference_site_id").alias("_any"))
     assigned = F.coalesce("assigned_reference_site_id", "_any")
-    return (targets.join(closest, [year, "x", "y"], "left").join(F.broadcast(fallback), year)
+    return (targets.join(closest, [year, "x", "y"], "left").join(fallback, year)
             .select("site_id", year, assigned.alias("assigned_reference_site_id")))
 
 
@@ -162,7 +167,8 @@ def annualised_means(site_years: DataFrame, sites: DataFrame, mapping: DataFrame
                      annualise_months: int = C.ANNUALISE_MONTHS) -> DataFrame:
     """Final mean per site-year: direct, scaled by the reference, or NULL."""
     year = PERIOD_COLUMN[period]
-    metrics = site_yearly_metrics(site_years, sites, period)
+    metrics = site_yearly_metrics(site_years, sites, period, pass_months=pass_months,
+                                  annualise_months=annualise_months)
     ratios = annualisation_ratios(site_years, mapping, period)
     valid, direct = F.col("valid_months_count"), F.col("raw_direct_mean")
     scaled = direct * (F.col("ref_full_year_mean") / F.col("ref_period_mean"))

@@ -22,7 +22,7 @@ def _with_month_totals(traffic: DataFrame, unrecognised: str) -> DataFrame:
     months = traffic.groupBy("date").agg(
         F.sum(F.when(kind != unrecognised, total)).alias("_recognised"),
         F.sum(F.when(kind == unrecognised, total)).alias("_pool"))
-    return traffic.filter(kind != unrecognised).join(F.broadcast(months), "date")
+    return traffic.filter(kind != unrecognised).join(months, "date")
 
 
 def traffic_shares(traffic: DataFrame, unrecognised: str = C.UNRECOGNISED) -> DataFrame:

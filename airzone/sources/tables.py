@@ -59,3 +59,17 @@ def write_table(df: DataFrame, path: str, *, partition_by: Sequence[str] = (),
 
 def read_table(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
+
+
+def append_table(df: DataFrame, path: str, *, partition_by: Sequence[str] = (), sort_by: Sequence[str] = ()) -> None:
+    """Add rows to a Parquet table with the layout of ``write_table``."""
+    order = [*partition_by, *sort_by]
+    laid_out = df.repartitionByRange(*order).sortWithinPartitions(*order) if order else df
+    laid_out.write.mode("append").partitionBy(*partition_by).parquet(path)
+
+
+def read_if_there(spark: SparkSession, path: str, schema: str) -> DataFrame | None:
+    """The table at ``path``, or None before its first load."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    there = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop)
+    return spark.read.schema(schema).parquet(path) if there else None

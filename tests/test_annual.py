@@ -107,3 +107,14 @@ def test_peaks_and_profiles_use_only_passing_years(spark, rows):
     assert weekly.count() == 18                                            # the sentinel hour is gone
     first = weekly.filter("month = 1 and hour = 0").first()
     assert (first["day_of_week_num"], first["day_of_week_name"], first["sample_count"]) == (1, "Monday", 1)
+
+
+def test_label_and_mean_agree_for_other_limits(spark):
+    nine = frame(spark, *[hours("a", 2024, m, [5] * 4) for m in range(1, 10)])
+    places = sites(spark, ("a", "A", "Roadside", 52.0, -1.9))
+    years = annual.site_years(annual.monthly_means(nine))
+    nearest = annual.nearest_reference(years, places, pass_months=10)
+    row = annual.annualised_means(years, places, nearest, pass_months=10).first()
+    assert not row["laqm_annual_mean_status"].startswith("PASS") and row["final_annualised_mean"] is None
+    row = annual.annualised_means(years, places, nearest, pass_months=9).first()
+    assert row["laqm_annual_mean_status"].startswith("PASS") and float(row["final_annualised_mean"]) == 5.0

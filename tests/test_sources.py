@@ -32,12 +32,40 @@ def test_many_files_to_clean_readings(spark, tmp_path, rows):
     (tmp_path / "a.csv").write_text(header + "A,31/10/2021 01:00,12.5\nA,31/10/2021 01:00,11.5\nA,31/10/2021 02:00,\n")
     (tmp_path / "b.csv").write_text(header + "B,31/10/2021 01:00,3\nB,bad,4\n")
     staging = files.read_csv(spark, [str(tmp_path / "a.csv"), str(tmp_path / "b.csv")], schemas.READINGS_STAGING)
-    clean = files.load_staged_readings(staging)
+    with pytest.raises(Exception, match="not a timestamp: bad"):
+        files.load_staged_readings(staging).collect()
+    clean = files.load_staged_readings(staging, rejects="skip")
     one, two = datetime.datetime(2021, 10, 31, 1), datetime.datetime(2021, 10, 31, 2)
     assert rows(clean) == sorted([("A", one, 11.5), ("A", two, None), ("B", one, 3.0)], key=repr)
     assert rows(files.split_staging(staging)[1]) == [("B", "bad", 4.0)]
     known = clean.filter("site_id = 'A'")
-    assert rows(files.load_staged_readings(staging, known)) == [("B", one, 3.0)]
+    assert rows(files.load_staged_readings(staging, known, rejects="skip")) == [("B", one, 3.0)]
+    assert rows(files.load_report(staging, known)) == [(5, 1, 1, 2, 1)]
+
+
+def test_valid_reading_wins_over_an_instrument_error(spark, rows):
+    hour = datetime.datetime(2021, 10, 31, 1)
+    staging = spark.createDataFrame([("A", "31/10/2021 01:00", v) for v in (-9999.0, 35.0, 36.0, None)], "site_id string, date_time string, no2 double")
+    assert rows(files.load_staged_readings(staging)) == [("A", hour, 35.0)]
+
+
+def test_second_load_adds_nothing_and_reads_only_its_years(spark, rows, tmp_path):
+    staging = spark.createDataFrame([("A", f"31/10/{y} 01:00", 1.0) for y in (2019, 2020, 2021)], "site_id string, date_time string, no2 double")
+    path = str(tmp_path / "fact")
+    for _ in range(2):
+        files.append_readings(staging, path)
+    stored = spark.read.parquet(path)
+    assert stored.count() == 3
+    plan = files.load_staged_readings(staging.filter("date_time LIKE '%2020%'"), stored)._jdf.queryExecution().toString()
+    assert "PartitionFilters: [isnotnull(year" in plan and "2020" in plan
+
+
+@pytest.mark.parametrize("value,expected", [(float("nan"), None), (float("inf"), None), (-float("inf"), None), (1e19, 1e19), (2.004, 2.0), (2.005, 2.01)])
+def test_rounding_never_stops_a_report(spark, value, expected):
+    from pyspark.sql import functions as F
+    from airzone.functions.numeric import round_half_up
+    got = spark.createDataFrame([(value,)], "x double").select(round_half_up(F.col("x"), 2)).first()[0]
+    assert (None if got is None else float(got)) == expected
 
 
 def test_insert_ignore_keeps_whole_rows(spark, rows):
