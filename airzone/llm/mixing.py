@@ -88,13 +88,13 @@ def mixed(docs: DataFrame, domain: Column, lang: Column, source: Column, mix: Mi
 
     A leaf of any size is put in order in slices: documents are counted by slices of the digest's range first, and only the
     documents of one slice are ordered together, by one task. Null names are a node "" of their own; null text has no
-    tokens and is never chosen; rows with one id (also null) follow each other; empty tables give no row.
+    tokens and is never chosen; rows that share an id (also null) share its room in the order; empty tables give no row.
     """
     weight = F.coalesce(tokens if tokens is not None else F.size(words(docs[text_col])), F.lit(0)).cast("long")
     names = {n: F.coalesce(c.cast("string"), F.lit("")) for n, c in (("domain", domain), ("lang", lang), ("source", source))}
     levels = list(names)
     rows = docs.select(F.struct("*").alias("r"), docs[id_col].cast("string").alias("id"), weight.alias("n_tokens"), *[c.alias(n) for n, c in names.items()]).where("n_tokens > 0")
-    key = rows.select(*levels, "id", "n_tokens")
+    key = stage(rows.select(*levels, "id", "n_tokens"), "token-counts")      # texts are counted once for all sums
     leaves = stage(budgets(key.groupBy(*levels).agg(F.sum("n_tokens").alias("tokens"), F.count(F.lit(1)).alias("rows")), levels, mix), "leaf-budgets")
     # epochs that are taken whole, and the one that is cut
     plan = leaves.where("budget > 0").select(
