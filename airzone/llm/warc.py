@@ -258,7 +258,9 @@ def look_up(requests: DataFrame, folder: str, parts: list[tuple[str, str]]) -> D
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [()] * 9, kinds)], names=FOUND_NAMES)
 
     keys = requests.select("url", "page_id").mapInArrow(keyed, "key string").distinct()
-    return keys.repartitionByRange("key").sortWithinPartitions("key").mapInArrow(run, FOUND)
+    # a fixed number of tasks: keys are small, so adaptive coalescing would leave all the reading to one
+    tasks = max(len(parts), 2 * requests.sparkSession.sparkContext.defaultParallelism)
+    return keys.repartitionByRange(tasks, "key").sortWithinPartitions("key").mapInArrow(run, FOUND)
 
 
 FOUND = ("page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, "
