@@ -74,9 +74,11 @@ def best_paths(nodes: DataFrame, per_root: int = 1, most: int = 40) -> DataFrame
         if now.where("up IS NOT NULL").isEmpty():
             break
         above = now.select(F.col("node").alias("up"), F.col("up").alias("up2"), F.col("top").alias("top2"), F.col("score").alias("score2"), F.col("steps").alias("steps2"))
-        levels.append(stage(now.join(above, "up", "left").select(
-            "node", F.col("up2").alias("up"), F.coalesce("top2", "top").alias("top"),
-            (F.col("score") + F.coalesce("score2", F.lit(0.0))).alias("score"), (F.col("steps") + F.coalesce("steps2", F.lit(0))).alias("steps")), "reply-level"))
+        # only nodes still below their root are joined
+        longer = now.where("up IS NOT NULL").join(above, "up").select(
+            "node", F.col("up2").alias("up"), F.col("top2").alias("top"), (F.col("score") + F.col("score2")).alias("score"),
+            (F.col("steps") + F.col("steps2")).alias("steps"))
+        levels.append(stage(longer.unionByName(now.where("up IS NULL")), "reply-level"))
     whole = levels[-1].where("up IS NULL")
     parents = own.select(F.col("parent").alias("node")).where("node IS NOT NULL").distinct()
     leaves = whole.join(parents, "node", "left_anti")
