@@ -103,12 +103,14 @@ def _definitions() -> dict[str, Callable[[Inputs], DataFrame]]:
     q["ward_name_check"] = lambda t: quality.ward_name_check(t.wards)
     q["ward_bounds"] = lambda t: quality.ward_bounds(t.wards)
     q["fiscal_year_check"] = lambda t: quality.fiscal_year_check(t.admissions)
-    q["admission_ranges"] = lambda t: _comparable(quality.admission_ranges(t.admissions))
+    q["admission_ranges"] = lambda t: _comparable(quality.admission_ranges(t.loose("admissions")))
     q["panel_balance"] = lambda t: quality.panel_balance(t.admissions)
     q["duplicate_reading_keys"] = lambda t: audits.duplicate_keys(t.readings, schemas.KEYS["readings"])
     q["key_uniqueness"] = lambda t: audits.key_uniqueness(t.keyed())
     q["fk_orphans"] = lambda t: t.constraint_audit()
-    q["check_violations"] = lambda t: constraints.check_violations(t.traffic, t.wards, t.admissions)
+    q["check_violations"] = lambda t: constraints.check_violations(
+        t.loose("traffic"), t.loose("wards"), t.loose("admissions"), sites=t.loose("sites"), readings=t.loose("readings"),
+        boundaries=t.loose("boundaries"))
 
     # Annual means.
     q["site_yearly_metrics"] = lambda t: _comparable(

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from airzone.sources.tables import stage
 
 DIRECT_LIMIT = 512        # places per group that are compared one by one
-BROADCAST_ROWS = 100_000  # places or cells that may be sent to every task, a few megabytes
+BROADCAST_ROWS = 100_000  # places that may be sent to every task, a few megabytes
 LEAF_LIMIT = 16           # wanted places per finest grid cell
 FANOUT = 8                # grid refinement per axis and level
 MAX_DEPTH = 10
@@ -61,10 +61,6 @@ def _cell_counts(stops: DataFrame, size: float) -> DataFrame:
     return stops.groupBy("_g", *cell).agg(F.count(F.lit(1)).alias("_stops"))
 
 
-def _to_all_if_few(cells: DataFrame, rows: int) -> DataFrame:
-    return F.broadcast(cells) if rows <= BROADCAST_ROWS else cells
-
-
 def _nearer_cells(found: DataFrame, size: float) -> DataFrame:
     """Candidate (spot, cell) rows without the cells that cannot hold the nearest place.
 
@@ -87,22 +83,21 @@ def _nearer_cells(found: DataFrame, size: float) -> DataFrame:
 def _search_grid(spots: DataFrame, stops: DataFrame, root_cell: float, leaf_limit: int) -> DataFrame:
     """Branch and bound over occupied cells, coarse to fine.
 
-    Two counts per level reach the driver: how many cells are occupied and how
-    full the fullest is. Few cells are broadcast; many are joined by cell, where
-    a crowded cell meets at most FANOUT squared children.
+    One count per level reaches the driver: how full the fullest cell is. A
+    crowded cell meets at most FANOUT squared children. The joins are left to
+    Catalyst, which sees the true size of the cells when it runs them.
     """
     # Root cells (64 degrees, or 1,000 km) are so large that a group has only the handful its extent covers.
     roots = _cell_counts(stops, root_cell).drop("_stops")
-    found = _nearer_cells(spots.join(_to_all_if_few(roots, roots.count()), "_g"), root_cell)
+    found = _nearer_cells(spots.join(roots, "_g"), root_cell)
     size = root_cell
     for _ in range(MAX_DEPTH):
         size /= FANOUT
         cells = _cell_counts(stops, size)
-        occupied, fullest = cells.agg(F.count(F.lit(1)), F.max("_stops")).first()
+        fullest = cells.agg(F.coalesce(F.max("_stops"), F.lit(0))).first()[0]
         children = cells.select("_g", "_cx", "_cy", F.floor(F.col("_cx") / FANOUT).alias("_ux"),
                                 F.floor(F.col("_cy") / FANOUT).alias("_uy"))
         parents = found.withColumnsRenamed({"_cx": "_ux", "_cy": "_uy"})
-        children = _to_all_if_few(children, occupied)
         found = _nearer_cells(parents.join(children, ["_g", "_ux", "_uy"]), size)
         if fullest <= leaf_limit:
             break

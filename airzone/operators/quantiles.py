@@ -16,9 +16,6 @@ from airzone.sources.tables import stage
 BUCKET_BITS = (8, 28)
 
 
-BROADCAST_ROWS = 100_000     # wanted buckets that may be sent to every task, a few megabytes
-
-
 def _bucket(value: Column, bits: int) -> Column:
     """Order-keeping bucket: linear near zero, logarithmic away from it. Never NULL."""
     scaled = F.signum(value) * F.log1p(F.abs(value)) * float(2**bits)
@@ -26,16 +23,15 @@ def _bucket(value: Column, bits: int) -> Column:
     return F.coalesce(bucket, F.lit(0))
 
 
-def grouped_quantiles(df: DataFrame, keys: Sequence[str], value: str, quantiles: Mapping[str, float], *,
-                      broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+def grouped_quantiles(df: DataFrame, keys: Sequence[str], value: str, quantiles: Mapping[str, float]) -> DataFrame:
     """``PERCENTILE_CONT`` of ``value`` per group, one column for each name in ``quantiles``.
 
     A group is never gathered in one task. A first pass counts rows per (group,
     bucket), mostly inside the map tasks, and stores the few buckets that hold
-    the wanted ranks. If that list is short it is sent to a second pass, which
-    drops every other row before any shuffle; if there are too many groups for
-    that, values are counted and joined by (group, bucket). Either way only the
-    values of those buckets go on, to a finer histogram and then to a sort.
+    the wanted ranks. A second pass keeps only the values of those buckets, by a
+    semi join with the stored list. Catalyst knows its size: a short list goes to
+    the rows ahead of the count, a long one meets the counted values. What is left
+    goes to a finer histogram and then to a sort.
     Rows with a NULL key or value are ignored.
     """
     known = reduce(Column.__and__, [F.col(n).isNotNull() for n in [*keys, value]])
@@ -64,18 +60,13 @@ def grouped_quantiles(df: DataFrame, keys: Sequence[str], value: str, quantiles:
              .withColumns({"_last": up_to_here(list(keys), "_b0", "_size"),
                            "_n": F.sum("_size").over(Window.partitionBy(*keys))}))
     picked = stage(wanted_buckets(first, coarse), "quantile_buckets")
-    in_bucket = _bucket(F.col("_v"), BUCKET_BITS[0])
-    if picked.count() <= broadcast_rows:
-        rows = values.withColumn("_b0", in_bucket).join(F.broadcast(picked), coarse)
-        counts = rows.groupBy(*coarse, "_before", "_n", "_v").agg(F.count(F.lit(1)).alias("_c"))
-    else:
-        counted = values.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_c"))
-        counts = counted.withColumn("_b0", in_bucket).join(picked, coarse)
+    counts = (values.groupBy(*keys, _bucket(F.col("_v"), BUCKET_BITS[0]).alias("_b0"), "_v").agg(F.count(F.lit(1)).alias("_c"))
+              .join(picked.select(*coarse), coarse, "left_semi"))
 
     split = counts.withColumn("_b1", _bucket(F.col("_v"), BUCKET_BITS[1]))
-    second = (split.groupBy(*fine, "_before", "_n").agg(F.sum("_c").alias("_size"))
+    second = (split.groupBy(*fine).agg(F.sum("_c").alias("_size")).join(picked, coarse)
               .withColumn("_last", F.col("_before") + up_to_here(coarse, "_b1", "_size")))
-    ranked = (split.drop("_before", "_n").join(wanted_buckets(second, fine), fine)
+    ranked = (split.join(wanted_buckets(second, fine), fine)
               .withColumn("_last", F.col("_before") + up_to_here(fine, "_v", "_c")))
 
     def at(rank: Column) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from airzone.operators.audits import not_null_rules, rule_violations
@@ -19,8 +21,13 @@ def _required(schema) -> dict[str, Column]:
     return not_null_rules([f.name for f in schema.fields if not f.nullable])
 
 
-def check_violations(traffic: DataFrame, wards: DataFrame, admissions: DataFrame) -> DataFrame:
+def check_violations(traffic: DataFrame, wards: DataFrame, admissions: DataFrame, *, sites: DataFrame | None = None,
+                     readings: DataFrame | None = None, boundaries: DataFrame | None = None) -> DataFrame:
     """Violations of every CHECK and NOT NULL rule, one scan per table."""
-    return (rule_violations(traffic, "traffic", traffic_rules())
-            .unionByName(rule_violations(wards, "wards", _required(schemas.WARDS)))
-            .unionByName(rule_violations(admissions, "admissions", _required(schemas.ADMISSIONS))))
+    found = [rule_violations(traffic, "traffic", traffic_rules())]
+    for name, df, schema in (("wards", wards, schemas.WARDS), ("admissions", admissions, schemas.ADMISSIONS),
+                             ("sites", sites, schemas.SITES), ("readings", readings, schemas.READINGS),
+                             ("ward_boundaries", boundaries, schemas.WARD_BOUNDARIES)):
+        if df is not None:
+            found.append(rule_violations(df, name, _required(schema)))
+    return reduce(DataFrame.unionByName, found)

@@ -1,18 +1,19 @@
-"""All derived tables in build order, stored, from the base tables.
+"""Base and derived tables in build order, stored.
 
-Each stage is written before the next one reads it, so every later plan starts
-from Parquet with known sizes, column pruning and row-group skipping, and the
-raw readings are scanned once per consumer and never recomputed.
+Every base table is evaluated once and stored first; each later table is built
+from stored ones, so its plan starts from Parquet with known sizes, column
+pruning and row-group skipping, and no input is parsed or deduplicated again.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from airzone import constants as C
 from airzone.plans import annual, layers, profiles, tiers, traffic
+from airzone.sources import dimensions
 from airzone.sources.tables import read_table, write_table
 
 
@@ -27,6 +28,7 @@ class BaseTables:
     boundaries: DataFrame
     zone: DataFrame
     tiers: DataFrame
+    admissions: DataFrame | None = None
 
 
 @dataclass
@@ -55,6 +57,18 @@ class Warehouse:
             df.createOrReplaceTempView(name)
 
 
+def _store_base(house: Warehouse, base: BaseTables) -> BaseTables:
+    """The base tables as stored ones. Readings lie by year, site and time; sites and wards are stored with their tier."""
+    readings = house.refresh("no2_readings", base.readings.withColumn("reading_year", F.year("date_time")),
+                             partition_by=["reading_year"], sort_by=["site_id", "date_time"])
+    house.refresh("dim_years", dimensions.years_of(readings, F.col("date_time")))
+    if base.admissions is not None:
+        house.refresh("hospital_admissions", base.admissions)
+    return replace(base, readings=readings.drop("reading_year"),
+                   traffic=house.refresh("caz_traffic_compliance", base.traffic, sort_by=["date", "vehicle_type"]),
+                   boundaries=house.refresh("ward_boundaries", base.boundaries))
+
+
 def _build_places(house: Warehouse, base: BaseTables) -> None:
     sites = house.refresh("monitoring_sites", tiers.site_tiers(base.sites, base.zone))
     wards = house.refresh("wards_metadata", tiers.ward_tiers(base.wards, base.zone))
@@ -102,8 +116,9 @@ def _build_traffic(house: Warehouse, base: BaseTables, baseline_year: int) -> No
 
 def build(spark: SparkSession, base: BaseTables, folder: str,
           baseline_year: int = C.BASELINE_YEAR) -> Warehouse:
-    """Build or refresh every derived table under ``folder``."""
+    """Build or refresh every table under ``folder``, which must not hold the inputs themselves."""
     house = Warehouse(spark, folder)
+    base = _store_base(house, base)
     _build_places(house, base)
     _build_annual(house, base)
     _build_profiles(house, base)

@@ -55,5 +55,6 @@ KEYS = {
     "ward_boundaries": ["wd23nm"],
     "tiers": ["caz_tier"],
     "years": ["calendar_year"],
+    "years (fiscal)": ["fiscal_year"],
     "yearly_traffic_summary": ["year", "vehicle_type"],
 }

@@ -48,13 +48,17 @@ def write_table(df: DataFrame, path: str, *, partition_by: Sequence[str] = (),
                 sort_by: Sequence[str] = ()) -> None:
     """Full refresh of a Parquet table, laid out for pruning.
 
+    ``df`` is evaluated once: the range bounds are sampled from a stored copy.
+
     Rows are range-partitioned on partition and sort columns together, so a file
     covers a narrow key range, a hot key spreads over several files, and no
     partition folder is fed by every task.
     """
-    order = [*partition_by, *sort_by]
-    laid_out = df.repartitionByRange(*order).sortWithinPartitions(*order) if order else df
-    laid_out.write.mode("overwrite").partitionBy(*partition_by).parquet(path)
+    _laid_out(df, [*partition_by, *sort_by]).write.mode("overwrite").partitionBy(*partition_by).parquet(path)
+
+
+def _laid_out(df: DataFrame, order: Sequence[str]) -> DataFrame:
+    return stage(df, "layout").repartitionByRange(*order).sortWithinPartitions(*order) if order else df
 
 
 def read_table(spark: SparkSession, path: str) -> DataFrame:
@@ -63,9 +67,7 @@ def read_table(spark: SparkSession, path: str) -> DataFrame:
 
 def append_table(df: DataFrame, path: str, *, partition_by: Sequence[str] = (), sort_by: Sequence[str] = ()) -> None:
     """Add rows to a Parquet table with the layout of ``write_table``."""
-    order = [*partition_by, *sort_by]
-    laid_out = df.repartitionByRange(*order).sortWithinPartitions(*order) if order else df
-    laid_out.write.mode("append").partitionBy(*partition_by).parquet(path)
+    _laid_out(df, [*partition_by, *sort_by]).write.mode("append").partitionBy(*partition_by).parquet(path)
 
 
 def read_if_there(spark: SparkSession, path: str, schema: str) -> DataFrame | None:

@@ -7,7 +7,8 @@ through DECIMAL, so both engines print the same digits.
 READINGS = """
 SELECT l_suppkey AS site_id,
   l_shipdate + INTERVAL '1' HOUR * CAST((l_orderkey*7 + l_linenumber*5) % 24 AS INT) AS date_time,
-  CASE WHEN (l_suppkey*7 + month(l_shipdate)*5) % 12 < (l_suppkey + year(l_shipdate)) % 12 THEN NULL
+  CASE WHEN year(l_shipdate) = 1996 AND month(l_shipdate) > 6 AND l_suppkey % 3 = 0 THEN NULL
+       WHEN (l_suppkey*7 + month(l_shipdate)*5) % 12 < (l_suppkey + year(l_shipdate)) % 12 THEN NULL
        WHEN l_discount > 0.095 AND l_linenumber = 7 THEN l_quantity * 20.0
        ELSE l_quantity - 3.0 END AS no2
 FROM lineitem"""
@@ -37,8 +38,10 @@ FROM supplier"""
 WARDS = """
 SELECT c_custkey AS area_code,
   CASE WHEN c_custkey % 50 = 0 THEN concat(c_name, ' ') ELSE c_name END AS area_name,
-  CAST(52280 + c_custkey*37 % 340 AS DOUBLE) / 1000 AS latitude,
-  CAST(c_custkey*53 % 390 - 2070 AS DOUBLE) / 1000 AS longitude
+  CASE WHEN c_custkey = 4 THEN CAST(524741 AS DOUBLE) / 10000
+       ELSE CAST(52280 + c_custkey*37 % 340 AS DOUBLE) / 1000 END AS latitude,
+  CASE WHEN c_custkey = 4 THEN CAST(-18715 AS DOUBLE) / 10000
+       ELSE CAST(c_custkey*53 % 390 - 2070 AS DOUBLE) / 1000 END AS longitude      -- ward 4 is a corner of the zone
 FROM customer"""
 
 TRAFFIC = """
@@ -47,8 +50,10 @@ SELECT d AS date, v AS vehicle_type,
   CASE WHEN v IN ('Unrecognised','Motorcycles and Other') THEN NULL ELSE n - ok END AS noncompliant_vehicles,
   n AS total_vehicles
 FROM (SELECT CAST(date_trunc('month', o_orderdate) AS DATE) AS d,
-        CASE o_orderpriority WHEN '1-URGENT' THEN 'Car' WHEN '2-HIGH' THEN 'LGV' WHEN '3-MEDIUM' THEN 'HGV'
-             WHEN '4-NOT SPECIFIED' THEN 'Unrecognised' ELSE 'Motorcycles and Other' END AS v,
+        CASE WHEN o_custkey % 9 = 1 THEN 'Bus/Coach' WHEN o_custkey % 9 = 2 THEN 'Mini-Bus'
+             WHEN o_custkey % 9 = 4 THEN 'Exempt' WHEN o_orderpriority = '1-URGENT' THEN 'Car'
+             WHEN o_orderpriority = '2-HIGH' THEN 'LGV' WHEN o_orderpriority = '3-MEDIUM' THEN 'HGV'
+             WHEN o_orderpriority = '4-NOT SPECIFIED' THEN 'Unrecognised' ELSE 'Motorcycles and Other' END AS v,
         CAST(count(CASE WHEN o_orderstatus <> 'P' THEN 1 END) AS INT) AS ok, CAST(count(*) AS INT) AS n
       FROM orders GROUP BY 1, 2) g"""
 
@@ -84,7 +89,7 @@ SELECT CAST(c AS INT) AS fid, c AS wd23cd, name AS wd23nm, CAST(NULL AS STRING)
        ELSE concat('POLYGON(', {_OUTER}, ')') END AS wkt
 FROM (SELECT c_custkey AS c, c_name AS name, c_nationkey AS nation,
              (c_custkey*53 % 390 - 2070)*1000 AS px, (c_custkey*37 % 340 + 52280)*1000 AS py
-      FROM customer) k"""
+      FROM customer WHERE c_custkey % 17 <> 5) k"""
 
 # Outline of each tier: the extent of the wards dealt to it, with one corner that simplification drops.
 OUTLINES = f"""
@@ -99,8 +104,48 @@ FROM (SELECT CASE c_custkey % 5 WHEN 0 THEN '1. Inside CAZ' WHEN 1 THEN '2. Clos
              min(c_custkey*37 % 340 + 52280)*1000 AS y0, max(c_custkey*37 % 340 + 52280)*1000 AS y1
       FROM customer GROUP BY 1) o"""
 
+# The same tables as they might arrive: repeated keys, missing values, broken totals, rows without their parent.
+# Only the audits read them, as a load would refuse them.
+LOOSE_READINGS = """
+SELECT CASE WHEN month(date_time) = 3 AND site_id % 7 = 1 THEN NULL ELSE site_id END AS site_id,
+  CASE WHEN site_id % 8 = 2 AND no2 IS NULL THEN NULL ELSE date_time END AS date_time, no2 FROM readings"""
+LOOSE_SITES = """
+SELECT CASE WHEN site_id % 6 = 5 THEN NULL ELSE site_id END AS site_id, site_name FROM sites WHERE site_id % 4 <> 3
+UNION ALL SELECT site_id, site_name FROM sites WHERE site_id % 5 = 1"""
+LOOSE_WARDS = """
+SELECT area_code, CASE WHEN area_code % 30 = 6 THEN NULL ELSE area_name END AS area_name,
+  CASE WHEN area_code % 40 = 9 THEN NULL ELSE latitude END AS latitude, longitude FROM wards WHERE area_code % 7 <> 3
+UNION ALL SELECT area_code, area_name, latitude, NULL FROM wards WHERE area_code % 20 = 4"""
+LOOSE_TRAFFIC = """
+SELECT date, CASE WHEN month(date) = 5 AND vehicle_type = 'Car' THEN NULL ELSE vehicle_type END AS vehicle_type,
+  CASE WHEN month(date) = 6 THEN NULL ELSE compliant_vehicles END AS compliant_vehicles,
+  noncompliant_vehicles + CASE WHEN month(date) = 7 THEN 1 ELSE 0 END AS noncompliant_vehicles,
+  CASE WHEN month(date) = 8 AND vehicle_type = 'HGV' THEN NULL ELSE total_vehicles END AS total_vehicles FROM traffic
+UNION ALL SELECT * FROM traffic WHERE month(date) = 2"""
+LOOSE_ADMISSIONS = """
+SELECT health_condition, area_code, fiscal_start_date, CASE WHEN area_code % 9 = 2 THEN -admissions ELSE admissions END AS admissions,
+  CASE WHEN area_code % 8 = 4 THEN NULL WHEN area_code % 8 = 5 THEN 0 ELSE population END AS population, standardised_rate FROM admissions
+UNION ALL SELECT health_condition, area_code, fiscal_start_date, admissions, population, NULL FROM admissions WHERE area_code % 5 = 1"""
+LOOSE_BOUNDARIES = """
+SELECT CASE WHEN fid % 12 = 3 THEN 'Shared name' WHEN fid % 25 = 6 THEN NULL ELSE wd23nm END AS wd23nm,
+  CASE WHEN fid % 14 = 2 THEN NULL ELSE wkt END AS wkt FROM boundaries"""
+# One tier is missing, one is listed twice, one has no name; two calendar years share a fiscal year.
+LOOSE_TIERS = """
+SELECT caz_tier FROM outlines WHERE caz_tier NOT LIKE '3%' UNION ALL SELECT caz_tier FROM outlines WHERE caz_tier LIKE '5%'
+UNION ALL SELECT NULL FROM outlines WHERE caz_tier LIKE '1%'"""
+LOOSE_YEARS = """
+SELECT calendar_year, CASE WHEN calendar_year = 1999 THEN '1998/99'
+    ELSE concat(CAST(calendar_year AS STRING), '/', CAST(calendar_year + 1 AS STRING)) END AS fiscal_year
+FROM (SELECT DISTINCT year(date_time) AS calendar_year FROM readings WHERE year(date_time) > 1995) y
+UNION ALL SELECT 1998, '1998/99'"""
+
 # In order of dependence.
 VIEWS = {"readings": READINGS, "staging": STAGING, "sites": SITES, "wards": WARDS, "traffic": TRAFFIC,
-         "admissions": ADMISSIONS, "boundaries": BOUNDARIES, "outlines": OUTLINES}
+         "admissions": ADMISSIONS, "boundaries": BOUNDARIES, "outlines": OUTLINES,
+         "loose_readings": LOOSE_READINGS, "loose_sites": LOOSE_SITES, "loose_wards": LOOSE_WARDS, "loose_traffic": LOOSE_TRAFFIC,
+         "loose_admissions": LOOSE_ADMISSIONS, "loose_boundaries": LOOSE_BOUNDARIES, "loose_tiers": LOOSE_TIERS,
+         "loose_years": LOOSE_YEARS}
+LOOSE_OF = {"loose_years": "readings", "loose_tiers": "outlines"} | {
+    n: n.removeprefix("loose_") for n in VIEWS if n.startswith("loose_") and n not in ("loose_years", "loose_tiers")}
 BASE_TABLES = {"readings": "lineitem", "staging": "readings", "sites": "supplier", "wards": "customer",
                "traffic": "orders", "boundaries": "customer", "outlines": "customer"}

@@ -107,6 +107,11 @@ class Inputs:
     def dim_wards(self) -> DataFrame:
         return layers.dim_wards(self.ward_tiers, self.boundaries)
 
+    def loose(self, name: str) -> DataFrame:
+        """A table with rows that break its constraints."""
+        source = bindings.LOOSE_OF[f"loose_{name}"]
+        return self._view(f"loose_{name}", **{source: self.tiers if source == "outlines" else getattr(self, source)})
+
     # ---- files made from the tables, to exercise the loaders ----
 
     def csv_copy(self, df: DataFrame, name: str, split: Column | None = None) -> list[str]:
@@ -122,19 +127,19 @@ class Inputs:
 
     def constraint_audit(self) -> DataFrame:
         """Every declared reference. The summary has one row per site-year of the metrics."""
-        years = dimensions.years(self.spark, 1996, 2001)
+        years, tier_rows = self.loose("years"), self.loose("tiers")
         metrics = annual.site_yearly_metrics(annual.site_years(self.monthly), self.sites)
         return reduce(DataFrame.unionByName, [
-            orphans(self.readings, "site_id", self.sites, "site_id", "readings site"),
-            orphans(self.admissions, "area_code", self.wards, "area_code", "admissions ward"),
-            orphans(self.ward_tiers, "caz_tier", self.tiers, "caz_tier", "ward tier"),
-            orphans(self.site_tiers, "caz_tier", self.tiers, "caz_tier", "site tier"),
+            orphans(self.loose("readings"), "site_id", self.loose("sites"), "site_id", "readings site"),
+            orphans(self.loose("admissions"), "area_code", self.loose("wards"), "area_code", "admissions ward"),
+            orphans(self.ward_tiers, "caz_tier", tier_rows, "caz_tier", "ward tier"),
+            orphans(self.site_tiers, "caz_tier", tier_rows, "caz_tier", "site tier"),
             orphans(self.yearly_traffic, "year", years, "calendar_year", "traffic summary year"),
             orphans(metrics, "reading_year", years, "calendar_year", "site summary year"),
         ])
 
     def keyed(self) -> dict[str, tuple[DataFrame, list[str]]]:
-        frames = {"readings": self.readings, "sites": self.sites, "wards": self.wards,
-                  "traffic": self.traffic, "admissions": self.admissions,
-                  "ward_boundaries": self.boundaries, "yearly_traffic_summary": self.yearly_traffic}
+        frames = {n: self.loose(n) for n in ("readings", "sites", "wards", "traffic", "admissions", "tiers", "years")}
+        frames |= {"ward_boundaries": self.loose("boundaries"), "yearly_traffic_summary": self.yearly_traffic,
+                   "years (fiscal)": frames["years"]}
         return {name: (df, schemas.KEYS[name]) for name, df in frames.items()}

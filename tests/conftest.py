@@ -34,3 +34,12 @@ def rows(df, *columns):
 @pytest.fixture(name="rows")
 def rows_fixture():
     return rows
+
+
+@pytest.fixture
+def no_broadcast(spark):
+    """A call of it makes Catalyst plan every join without a broadcast until the test ends."""
+    names = ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold")
+    yield lambda: [spark.conf.set(n, "-1") for n in names]
+    for n in names:
+        spark.conf.unset(n)

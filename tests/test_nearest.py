@@ -20,9 +20,12 @@ def scattered(rng, n, spread):
             for _ in range(n)]
 
 
+@pytest.mark.parametrize("broadcast", [True, False])
 @pytest.mark.parametrize("options", [{}, {"direct_limit": 0}, {"direct_limit": 0, "leaf_limit": 1},
                                      {"direct_limit": 0, "root_cell": 1.0}])
-def test_all_methods_match_brute_force(spark, options):
+def test_all_methods_match_brute_force(spark, options, broadcast, no_broadcast):
+    if not broadcast:
+        no_broadcast()
     rng = np.random.default_rng(11)
     # Dense clusters, loners far from them, repeated spots and points on top of places.
     spots = scattered(rng, 60, 0.01) + scattered(rng, 40, 3.0) + scattered(rng, 5, 40.0)

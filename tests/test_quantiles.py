@@ -5,10 +5,10 @@ from pyspark.sql import functions as F
 from airzone.operators.quantiles import grouped_quantiles
 
 
-def check(spark, groups, quantiles, **options):
+def check(spark, groups, quantiles):
     data = [(k, None if v is None else float(v)) for k, values in groups.items() for v in values]
     got = {r["k"]: r for r in grouped_quantiles(
-        spark.createDataFrame(data, "k string, v double"), ["k"], "v", quantiles, **options).collect()}
+        spark.createDataFrame(data, "k string, v double"), ["k"], "v", quantiles).collect()}
     for k, values in groups.items():
         known = [v for v in values if v is not None]
         if not known:
@@ -18,14 +18,16 @@ def check(spark, groups, quantiles, **options):
             assert got[k][name] == pytest.approx(np.quantile(known, q), rel=1e-12, abs=1e-12), (k, name)
 
 
-@pytest.mark.parametrize("options", [{}, {"broadcast_rows": 0}])
-def test_against_numpy(spark, options):
+@pytest.mark.parametrize("broadcast", [True, False])
+def test_against_numpy(spark, broadcast, no_broadcast):
+    if not broadcast:
+        no_broadcast()
     rng = np.random.default_rng(5)
     check(spark, {
         "normal": rng.normal(40, 15, 3001), "negative": -rng.exponential(5, 500), "signs": rng.normal(0, 1e-3, 777),
         "one": [3.25], "two": [1, 2], "equal": [7] * 50, "nulls": [None, None], "mixed": [None, 5, 1, None],
         "wide": 10.0 ** rng.uniform(-12, 12, 999), "steps": rng.integers(-3, 90, 5000),
-    }, {"lo": 0.0, "median": 0.5, "p998": 0.998, "hi": 1.0}, **options)
+    }, {"lo": 0.0, "median": 0.5, "p998": 0.998, "hi": 1.0})
 
 
 def test_group_with_a_third_of_the_rows_is_split(spark):
@@ -45,6 +47,15 @@ def test_wanted_values_are_shuffled_once(spark):
     assert "ReusedExchange" in plan and "CartesianProduct" not in plan
 
 
+def test_rows_are_pruned_before_they_are_shuffled(spark):
+    """A short list of buckets goes to the rows, below the count of values."""
+    frame = spark.range(1000).select((F.col("id") % 7).alias("k"), F.col("id").cast("double").alias("v"))
+    plan = grouped_quantiles(frame, ["k"], "v", {"p": 0.5})._jdf.queryExecution().executedPlan().toString()
+    at = plan.index("LeftSemi")
+    assert "BroadcastHashJoin" in plan[:at].splitlines()[-1]
+    assert "Exchange hashpartitioning" not in plan[at:].split("BroadcastExchange")[0]
+
+
 def test_many_distinct_values_in_one_coarse_bucket(spark):
     """A continuous, narrow, crowded group: the second level splits it."""
     frame = spark.range(90000).select(

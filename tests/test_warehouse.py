@@ -19,12 +19,39 @@ SAME_AS_QUERY = {
     "vw_caz_and_sites_map": "map_layer_sites", "vw_caz_and_wards_map": "map_layer_wards"}
 
 
+SOURCES = ("sites", "readings", "traffic", "wards", "boundaries", "admissions")
+
+
 @pytest.fixture(scope="module")
 def built(spark, folder, tmp_path_factory):
     t = Inputs(spark, folder)
-    base = warehouse.BaseTables(sites=t.sites, readings=t.readings, traffic=t.traffic, wards=t.wards,
-                                boundaries=t.boundaries, zone=t.zone, tiers=t.tiers)
-    return warehouse.build(spark, base, str(tmp_path_factory.mktemp("warehouse")), baseline_year=BASELINE_YEAR)
+    counted = {n: spark.sparkContext.accumulator(0) for n in SOURCES}
+
+    def watched(name):
+        """The table, with a count of every row that is read from it."""
+        df, seen = getattr(t, name), counted[name]
+
+        def passed(batches):
+            for batch in batches:
+                seen.add(batch.num_rows)
+                yield batch
+
+        return df.mapInArrow(passed, df.schema)
+
+    base = warehouse.BaseTables(**{n: watched(n) for n in SOURCES}, zone=t.zone, tiers=t.tiers)
+    house = warehouse.build(spark, base, str(tmp_path_factory.mktemp("warehouse")), baseline_year=BASELINE_YEAR)
+    house.counted = {n: (a.value, getattr(t, n).count()) for n, a in counted.items()}
+    return house
+
+
+def test_every_base_row_is_read_once(built):
+    assert all(seen == rows > 0 for seen, rows in built.counted.values()), built.counted
+
+
+def test_years_join_readings_and_admissions_by_name(spark, built):
+    built.register()
+    assert spark.sql("SELECT count(*) FROM hospital_admissions a JOIN dim_years y ON y.fiscal_year = a.fiscal_year "
+                     "JOIN (SELECT DISTINCT reading_year FROM no2_readings) r ON r.reading_year = y.calendar_year").first()[0] > 0
 
 
 @pytest.mark.parametrize("table, query", SAME_AS_QUERY.items())
