@@ -17,6 +17,8 @@ from airzone.sources.tables import new_path, stage
 #: Key of the surrogates: whoever holds it can tell which surrogate an entity got.
 KEY = "corpus surrogates 1"
 MODEL = "piece_bpe_32k.model"
+#: Near duplicates share 80 of 100 five-word shingles; one pair in 2*10**7 at that similarity shares none of the 32 bands.
+NEAR = hyperminhash.Sketch(width=5, numerator=80, denominator=100, rows=4)
 MIX = mixing.Mix(share=80, epochs=2, seed="pipeline", weights={("web", "en"): 20, ("web", "fr"): 15, ("print",): 15})
 
 
@@ -30,7 +32,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of every group of near duplicates, and one row of every id."""
-    found = stage(hyperminhash.near_duplicates(docs), "groups")
+    found = stage(hyperminhash.near_duplicates(docs, sketch=NEAR), "groups")
     repeated = found.where("kept AND doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id")
     gone = found.where("NOT kept").select("doc_id").distinct().unionByName(repeated)
     once = picked(docs, repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"])

@@ -1,0 +1,36 @@
+"""Cases in which an operator or a stage once did less than its whole job."""
+
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+import corpus_pipeline
+
+
+def brute_force_kept(texts, width, similarity):
+    """Ids that are the smallest of their group, links by whole shingle sets."""
+    sets = {}
+    for i, text in texts.items():
+        words = text.lower().split()
+        sets[i] = {tuple(words[k:k + width]) for k in range(max(len(words) - width + 1, 1))}
+    group = {i: i for i in texts}
+    for a in sorted(texts):
+        for b in sorted(texts):
+            if a < b and len(sets[a] & sets[b]) >= similarity * len(sets[a] | sets[b]):
+                low, high = sorted((group[a], group[b]))
+                group = {k: low if v == high else v for k, v in group.items()}
+    return {i for i in texts if group[i] == i}
+
+
+def test_pipeline_near_duplicates_take_five_words_and_four_fifths(spark):
+    draw = random.Random(5)
+    fresh = lambda n: [f"w{draw.randrange(10 ** 9)}" for _ in range(n)]
+    texts = {}
+    for i in range(0, 40, 4):
+        block, edited = fresh(200), fresh(300)
+        scattered = [f"x{k}" if k % 37 == 5 and k < 296 else w for k, w in enumerate(edited)]
+        texts |= {i: " ".join(block), i + 1: " ".join(block + fresh(43)), i + 2: " ".join(edited), i + 3: " ".join(scattered)}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    kept = {r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()}
+    assert kept == brute_force_kept(texts, 5, 0.8) == {i for i in texts if i % 4 != 1}
