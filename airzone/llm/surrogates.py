@@ -80,30 +80,38 @@ def _redrawn(value: Column, numbers, hexadecimal: Column | None = None) -> Colum
 
 
 def surrogate(kind: Column, canon: Column, attempt: Column, key: str) -> Column:
-    """The canonical surrogate of an entity: two hexadecimal digits of a keyed digest for each of its characters."""
+    """The canonical surrogate of an entity: two hexadecimal digits of a keyed digest for each of its characters.
+
+    From the third attempt on mail names get a letter and persons a syllable more each time, from the sixth on phone numbers a digit
+    and secrets a character, so no number of entities uses up the surrogates. IP addresses, card numbers and AKIA keys keep their length.
+    """
     seed = F.concat_ws("|", F.lit(key), kind, canon, attempt.cast("string"))
-    blocks = F.transform(F.sequence(F.lit(0), F.floor(F.length(canon) / 64).cast("int") + 1), lambda b: F.sha2(F.concat_ws("|", seed, b.cast("string")), 512))
+    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.length(canon) + attempt) / 64).cast("int") + 1), lambda b: F.sha2(F.concat_ws("|", seed, b.cast("string")), 512))
+
+    longer, late = (F.greatest(attempt - n, F.lit(0)).cast("int") for n in (1, 4))
 
     def made(stream: Column) -> Column:
         number = lambda i: F.conv(F.substring(stream, (2 * i + 1).cast("int"), F.lit(2)), 16, 10).cast("int")
+        more = lambda ch, n, hexadecimal=None: _redrawn(F.repeat(ch, n), lambda i: number(F.length(canon) + i), hexadecimal)
         local, domain = F.substring_index(canon, "@", 1), F.substring_index(canon, "@", -1)
         labels = F.split(domain, r"\.")
         host = F.array_join(F.slice(labels, 1, F.greatest(F.size(labels) - 2, F.lit(0))), ".")
-        email = F.concat(_redrawn(F.concat(local, F.lit("@"), host), number), F.when(host != "", ".").otherwise(""),
+        email = F.concat(_redrawn(local, number), more(F.lit("a"), longer), F.lit("@"), _redrawn(host, lambda i: number(F.length(local) + 1 + i)), F.when(host != "", ".").otherwise(""),
                          F.lit("example."), F.element_at(labels, -1))
         ip = F.concat_ws(".", *[(1 + number(F.lit(i)) % 254).cast("string") for i in range(4)])
         phone = F.concat(F.left(canon, F.when(canon.rlike(r"^\+[17]"), 2).otherwise(3)),
-                         _redrawn(F.substring(canon, F.when(canon.rlike(r"^\+[17]"), 3).otherwise(4), F.length(canon)), number))
+                         _redrawn(F.substring(canon, F.when(canon.rlike(r"^\+[17]"), 3).otherwise(4), F.length(canon)), number), more(F.lit("0"), late))
         body = F.concat(F.left(canon, F.lit(1)), _redrawn(F.substring(canon, F.lit(2), F.length(canon) - 2), number))
         card = F.concat(body, _luhn_digit(body))
-        secret = F.concat(F.when(canon.startswith("AKIA"), "AKIA").otherwise(""),
-                          _redrawn(F.regexp_replace(canon, "^AKIA", ""), number, canon.rlike("^[0-9a-f]+$")))
+        low_hex = canon.rlike("^[0-9a-f]+$")
+        secret = F.concat(F.when(canon.startswith("AKIA"), "AKIA").otherwise(""), _redrawn(F.regexp_replace(canon, "^AKIA", ""), number, low_hex),
+                          more(F.right(canon, F.lit(1)), F.when(canon.rlike("^AKIA[0-9A-Z]{16}$"), 0).otherwise(late), low_hex))
         script = F.when(canon.rlike(r"\p{IsCyrillic}"), "cyrillic").otherwise("latin")
         gender, names = F.substring(canon, 1, 1), F.split(F.substring(canon, F.lit(3), F.length(canon)), " ")
 
         def named(place: Column) -> Column:
-            parts = [F.when(script == s, F.array_join(F.transform(F.sequence(F.lit(0), F.lit(2)), lambda j: F.element_at(
-                F.array(*map(F.lit, syllables)), number(place * 3 + j) % len(syllables) + 1)), "")) for s, syllables in SYLLABLES.items()]
+            parts = [F.when(script == s, F.array_join(F.transform(F.sequence(F.lit(0), longer + 2), lambda j: F.element_at(
+                F.array(*map(F.lit, syllables)), number(place * (longer + 3) + j) % len(syllables) + 1)), "")) for s, syllables in SYLLABLES.items()]
             ending = F.when(place == F.size(names) - 1, F.when(script == "cyrillic", F.when(gender == "f", "ова").otherwise("ов")).otherwise("n")).otherwise(
                 F.when(gender == "f", F.when(script == "cyrillic", "на").otherwise("na")).otherwise(F.when(script == "cyrillic", "р").otherwise("r")))
             return F.concat(F.coalesce(*parts), ending)
@@ -119,6 +127,7 @@ def rendered(kind: Column, surface: Column, made: Column) -> Column:
     """A canonical surrogate in the format of one spelling: its separators, its capitals, its title."""
     spelled = F.array_join(F.transform(F.split(surface, ""), lambda ch, i: F.when(ch.rlike("[0-9]"), F.substring(
         _digits(made), F.length(_digits(F.left(surface, i + 1))), F.lit(1))).otherwise(ch)), "")
+    spelled = F.concat(spelled, F.substring(_digits(made), F.length(_digits(surface)) + 1, F.length(made)))
     cased = F.when(surface == F.upper(surface), F.upper(made)).otherwise(made)
     title = F.regexp_extract(surface, rf"^((?:{_TITLE})\.? )", 1)
     name = F.initcap(F.substring(made, F.lit(3), F.length(made)))

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+from airzone.llm import surrogates
 
 
 def brute_force_kept(texts, width, similarity):
@@ -34,3 +35,24 @@ def test_pipeline_near_duplicates_take_five_words_and_four_fifths(spark):
     docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
     kept = {r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()}
     assert kept == brute_force_kept(texts, 5, 0.8) == {i for i in texts if i % 4 != 1}
+
+
+def test_surrogates_outlast_small_spaces(spark):
+    mails = [("email", f"{local}@h{i}.com") for local in ("a", "hr", "_") for i in range({"a": 300, "hr": 1500, "_": 40}[local])]
+    letters = "abcdefghijklmnopqrst"
+    people = [("person", f"m:{x}{y}{z}o") for x in letters for y in letters for z in letters][:6000]
+    many = spark.createDataFrame(mails + people, "kind string, canon string").repartition(8)
+    made = surrogates.distinct_surrogates(many, "k").collect()
+    assert len(made) == len(mails) + len(people) == len({(r.kind, r.made) for r in made})
+    assert not {(r.kind, r.made) for r in made} & {(r.kind, r.canon) for r in made}
+    assert all(r.made.endswith("@example.com") if r.kind == "email" else r.made.startswith("m:") for r in made)
+
+
+@pytest.mark.parametrize("kind,canon", [("phone", "+491234567"), ("secret", "12345678"), ("secret", "deadbeef"), ("person", "f:anna berg"), ("email", "a@b.com")])
+def test_later_attempts_have_longer_surrogates(spark, kind, canon):
+    rows = spark.createDataFrame([(kind, canon, i) for i in range(30)], "kind string, canon string, attempt int")
+    made = [r.m for r in rows.select(surrogates.surrogate(F.col("kind"), F.col("canon"), F.col("attempt"), "k").alias("m"), "attempt").orderBy("attempt").collect()]
+    assert len(made[0]) == len(made[1]) < len(made[8]) < len(made[29])
+    if kind == "phone":
+        spelled = rows.limit(1).select(surrogates.rendered(F.lit(kind), F.lit("+49 (12) 34-567"), F.lit(made[8])).alias("s")).first().s
+        assert "".join(filter(str.isdigit, spelled)) == made[8][1:] and spelled.startswith("+49 (")
