@@ -30,27 +30,37 @@ PATTERNS = {
     "card": r"(?<!\d)(?:\d[ -]?){12,18}\d(?!\d)",
     "person": rf"(?<!\p{{L}})(?:{_TITLE})\.? \p{{Lu}}\p{{Ll}}++(?: \p{{Lu}}\p{{Ll}}++)?",
 }
-ANY = "|".join(PATTERNS.values())
+#: Every pattern; secrets, which only their context tells from other runs of digits, are a group of their own.
+ANY = "|".join(f"({p})" if name == "secret" else p for name, p in PATTERNS.items())
+SECRET_HINT = 'AKIA|token = "|password='
 #: No entity is without one of these.
-HINT = rf"[0-9@]|(?:{_TITLE})\.? \p{{Lu}}"
+HINT = rf"[0-9@]|{SECRET_HINT}|(?:{_TITLE})\.? \p{{Lu}}"
 LETTERS = "abcdefghijklmnopqrstuvwxyz"
 
 
 def matches(text: Column) -> Column:
-    """Every match of a pattern, in order; an array without elements for most texts, after one cheap scan."""
-    return F.when(text.rlike(HINT), F.regexp_extract_all(text, F.lit(f"({ANY})"), F.lit(0))).otherwise(F.array().cast("array<string>"))
+    """Every match of a pattern, in order, after "!" if it is a secret and "-" if not; an array without elements for most texts, after one cheap scan."""
+    none = F.array().cast("array<string>")
+    found = F.regexp_extract_all(text, F.lit(f"({ANY})"), F.lit(0))
+    secrets = F.when(text.rlike(SECRET_HINT), F.regexp_extract_all(text, F.lit(f"({ANY})"), F.lit(2))).otherwise(none)
+    return F.when(text.rlike(HINT), F.zip_with(found, secrets, lambda hit, secret: F.concat(F.when(secret != "", "!").otherwise("-"), hit))).otherwise(none)
+
+
+def surface_of(hit: Column) -> Column:
+    return F.substring(hit, F.lit(2), F.length(hit))
 
 
 def _digits(value: Column) -> Column:
     return F.regexp_replace(value, r"\D", "")
 
 
-def kind_of(surface: Column) -> Column:
-    """Type of a match; null for a run of digits that is not a card number."""
+def kind_of(hit: Column) -> Column:
+    """Type of a match; null for a run of digits that is neither a secret nor a card number."""
+    surface = surface_of(hit)
     whole = lambda p: surface.rlike(f"^(?:{PATTERNS[p]})$")
-    return (F.when(whole("email"), "email").when(whole("ip"), "ip").when(surface.rlike(r"^\+"), "phone")
+    return (F.when(hit.startswith("!"), "secret").when(whole("email"), "email").when(whole("ip"), "ip").when(surface.rlike(r"^\+"), "phone")
             .when(surface.rlike(r"^[\d -]+$"), F.when(F.call_function("luhn_check", _digits(surface)), "card"))
-            .when(surface.rlike(rf"^(?:{_TITLE})\.? "), "person").otherwise("secret"))
+            .when(surface.rlike(rf"^(?:{_TITLE})\.? "), "person"))
 
 
 def canonical(kind: Column, surface: Column) -> Column:
@@ -166,15 +176,15 @@ def surrogated(docs: DataFrame, key: str, text_col: str = "text", count_col: str
     row = docs.select(F.struct("*").alias("r")).withColumn("t", F.col(f"r.`{text_col}`")).withColumn("m", matches(F.coalesce("t", F.lit(""))))
     clean = row.where("size(m) = 0").select("r", F.lit(0).alias("n"))
     dirty = row.where("size(m) > 0").withColumn("k", F.md5("t"))
-    hits = stage(dirty.select("k", F.explode(F.array_distinct("m")).alias("surface")).distinct()
-                 .withColumn("kind", kind_of(F.col("surface"))).where("kind IS NOT NULL")
+    hits = stage(dirty.select("k", F.explode(F.array_distinct("m")).alias("hit")).distinct()
+                 .withColumn("kind", kind_of(F.col("hit"))).where("kind IS NOT NULL").withColumn("surface", surface_of(F.col("hit")))
                  .withColumn("canon", canonical(F.col("kind"), F.col("surface"))), "hits")
     made = distinct_surrogates(hits, key)
-    maps = (hits.join(made, ["kind", "canon"]).select("k", F.struct("surface", rendered(F.col("kind"), F.col("surface"), F.col("made")).alias("s")).alias("e"))
+    maps = (hits.join(made, ["kind", "canon"]).select("k", F.struct("hit", rendered(F.col("kind"), F.col("surface"), F.col("made")).alias("s")).alias("e"))
             .groupBy("k").agg(F.map_from_entries(F.collect_list("e")).alias("of")))
     # split and regexp_extract_all find the same matches, so pieces and replacements alternate
     swapped = F.array_join(F.flatten(F.zip_with(F.split("t", f"({ANY})", -1), F.col("m"), lambda piece, hit: F.array(
-        piece, F.coalesce(F.element_at(F.col("of"), hit), hit, F.lit(""))))), "")
+        piece, F.coalesce(F.element_at(F.col("of"), hit), surface_of(hit), F.lit(""))))), "")
     replaced = dirty.join(maps, "k", "left").select(
         F.col("r").withField(f"`{text_col}`", F.when(F.col("of").isNull(), F.col("t")).otherwise(swapped)).alias("r"),
         F.when(F.col("of").isNull(), F.lit(0)).otherwise(F.size(F.filter("m", lambda x: F.map_contains_key("of", x)))).alias("n"))
