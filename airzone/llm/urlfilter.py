@@ -36,16 +36,19 @@ def intervals(events: DataFrame) -> DataFrame:
     """(entry, category, since, until) while an entry is listed; ``until`` is open (exclusive) or null.
 
     ``events`` has entry, action (add or remove), since and category. On one date a removal comes after an addition, so it
-    wins; a further addition starts a new interval. Entries are compared in lower case of the host; rows with a null
-    entry, date or action count for nothing, repeated events once.
+    wins; a further addition starts a new interval. An entry's categories are listed and removed on their own; a removal
+    without a category ends them all. Entries are compared in lower case of the host; rows with a null entry, date or
+    action count for nothing, repeated events once.
     """
     entry = F.regexp_replace(F.col("entry"), r"/+$", "")
     slash = F.instr(entry, "/")
     entry = F.when(slash > 0, F.concat(F.lower(F.left(entry, slash)), F.substring(entry, slash + 1, F.length(entry)))).otherwise(F.lower(entry))
     dated = only(events, entry=entry, action="action", since="since", category="category").where(
         "entry IS NOT NULL AND since IS NOT NULL AND action IN ('add', 'remove')").distinct()
-    after = Window.partitionBy("entry").orderBy("since", "action", "category")
-    return (dated.withColumn("until", F.lead("since").over(after))
+    after = Window.partitionBy("entry", "category").orderBy("since", "action")
+    wide = Window.partitionBy("entry").orderBy("since", "action", "category").rowsBetween(1, Window.unboundedFollowing)
+    ends = F.min(F.when((F.col("action") == "remove") & F.col("category").isNull(), F.col("since"))).over(wide)
+    return (dated.withColumn("until", F.least(F.lead("since").over(after), ends))
             .where("action = 'add' AND (until IS NULL OR until > since)").drop("action"))
 
 
@@ -53,7 +56,7 @@ def as_of(captures: DataFrame, events: DataFrame) -> DataFrame:
     """(page_id, url, fetched, listed, entry, category, since) of every capture (page_id, url, fetched).
 
     ``entry`` is the longest entry listed at ``fetched`` that covers the URL; of equal ones that since latest, then the
-    first category. Equal captures are judged once: distinct (url, fetched) are joined with the intervals, only the
+    last category. Equal captures are judged once: distinct (url, fetched) are joined with the intervals, only the
     few that meet one are shuffled on, and a very frequent URL is one row from then on.
 
     A null or malformed URL and a null time are listed by nothing. Repeated rows get equal answers, empty tables

@@ -1,12 +1,13 @@
 """Cases in which an operator or a stage once did less than its whole job."""
 
+import datetime
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from airzone.llm import surrogates
+from airzone.llm import hyperminhash, mixing, surrogates, urlfilter
 
 
 def brute_force_kept(texts, width, similarity):
@@ -74,3 +75,15 @@ def test_secrets_are_told_by_their_context(spark):
     assert "4111111111111111" not in new and "me@a.com" not in new
     card, password = new.split("card ")[1].split(",")[0], new.split("password=")[1].split(",")[0]
     assert card != password and new.split('token = "')[1].split('"')[0] == got[4][0].split('"')[1] and password == got[5][0].split('"')[1]
+
+
+def test_categories_of_an_entry_end_on_their_own(spark):
+    day = lambda m, d=1: datetime.date(2024, m, d)
+    events = [("x.com", "add", day(1), "a"), ("x.com", "add", day(3), "b"), ("x.com", "remove", day(4), "b"), ("x.com", "remove", day(9), "a"),
+              ("y.com", "add", day(2), "a"), ("y.com", "add", day(2), "b"), ("y.com", "remove", day(5), "b"), ("y.com", "remove", day(7), None)]
+    events = spark.createDataFrame(events, "entry string, action string, since date, category string")
+    asked = [(1, "http://x.com/", day(2)), (2, "http://x.com/", day(3, 5)), (3, "http://x.com/", day(6)), (4, "http://x.com/", day(9)),
+             (5, "http://y.com/", day(3)), (6, "http://y.com/", day(6)), (7, "http://y.com/", day(7))]
+    captures = spark.createDataFrame(asked, "page_id long, url string, fetched date")
+    got = {r.page_id: r.category for r in urlfilter.as_of(captures, events).collect()}
+    assert got == {1: "a", 2: "b", 3: "a", 4: None, 5: "b", 6: "a", 7: None}
