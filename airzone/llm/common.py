@@ -25,6 +25,13 @@ def words(text: Column) -> Column:
     return F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, r"\s+"))
 
 
+def leading_words(text: Column, n: Column) -> Column:
+    """``text`` up to the end of its first ``n`` words, with the white space between them as it is."""
+    parts = F.split(text, r"(?<=\s)(?=\S)")       # words with the white space after them
+    leading = F.when(text.rlike(r"^\s"), 1).otherwise(0)
+    return F.rtrim(F.array_join(F.slice(parts, F.lit(1), (n + leading).cast("int")), ""), F.lit(BLANKS))
+
+
 def let(value: Column, use) -> Column:
     """``use(value)`` with ``value`` computed once, however often ``use`` reads it.
 

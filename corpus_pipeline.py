@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from airzone.llm import hyperminhash, mixing, pieces, quality, surrogates
-from airzone.llm.common import picked
+from airzone.llm.common import leading_words, picked
 from airzone.sources.tables import new_path, stage
 
 #: Key of the surrogates: whoever holds it can tell which surrogate an entity got.
@@ -45,10 +45,16 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def mixing_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them."""
+    """Documents as often as the mix takes them; the last one of a leaf is cut to the words that fit its budget."""
     number = F.regexp_extract("source", r"(\d+)$", 1)
     domain = F.when(number != "", F.when(number.cast("int") % 2 == 0, "web").otherwise("print"))
-    return mixing.mixed(docs, domain, docs["lang"], docs["source"], MIX).select("r.*")
+    chosen = mixing.mixed(docs, domain, docs["lang"], docs["source"], MIX)
+    cut = F.col("taken") < F.col("n_tokens")
+    text = F.when(cut, leading_words(F.col("r.text"), F.col("taken"))).otherwise(F.col("r.text"))
+    fitted = chosen.withColumn("r", F.col("r").withField("text", text))
+    if "n_chars" in docs.columns:
+        fitted = fitted.withColumn("r", F.when(cut, F.col("r").withField("n_chars", F.length("r.text").cast("long"))).otherwise(F.col("r")))
+    return fitted.select("r.*")
 
 
 def sentence_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

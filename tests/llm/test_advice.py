@@ -87,3 +87,17 @@ def test_categories_of_an_entry_end_on_their_own(spark):
     captures = spark.createDataFrame(asked, "page_id long, url string, fetched date")
     got = {r.page_id: r.category for r in urlfilter.as_of(captures, events).collect()}
     assert got == {1: "a", 2: "b", 3: "a", 4: None, 5: "b", 6: "a", 7: None}
+
+
+def test_mixing_stage_cuts_the_last_document(spark):
+    rows = [(i, f" \n{i} " + "long\twords  and\nlines " * 500 + "\n", "en", f"src{i % 2}", 5) for i in range(4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    number = F.regexp_extract("source", r"(\d+)$", 1)
+    domain = F.when(number.cast("int") % 2 == 0, "web").otherwise("print")
+    taken = [(r.r.doc_id, r.taken, r.n_tokens) for r in mixing.mixed(docs, domain, docs["lang"], docs["source"], corpus_pipeline.MIX).collect()]
+    out = corpus_pipeline.mixing_sources(spark, docs, "").collect()
+    assert sorted((r.doc_id, len(r.text.split())) for r in out) == sorted((i, n) for i, n, _ in taken)
+    assert sum(len(r.text.split()) for r in out) == sum(len(r[1].split()) for r in rows) * 80 // 100 and any(n < full for _, n, full in taken)
+    text = {r[0]: r[1] for r in rows}
+    assert all(text[r.doc_id].startswith(r.text) and r.n_chars in (5, len(r.text)) for r in out)
+    assert all(r.n_chars == len(r.text) for r in out if r.text != text[r.doc_id])
