@@ -56,22 +56,27 @@ def _filled(nodes: DataFrame, parent: Sequence[str], keys: Sequence[str]) -> Dat
 def budgets(leaves: DataFrame, levels: Sequence[str], mix: Mix) -> DataFrame:
     """Leaves (``levels``, tokens) with ``budget``: how many tokens each is to give, epochs included.
 
-    ``leaves`` is an aggregate: one row per leaf of the tree, however large the corpus.
+    ``leaves`` is an aggregate: one row per leaf of the tree, however large the corpus. Leaves below a node of weight 0
+    add nothing to the capacity of the nodes above them.
     """
     spark = leaves.sparkSession
     now = leaves.withColumn("capacity", F.col("tokens") * mix.epochs)
     total = leaves.agg(F.coalesce(F.sum("tokens"), F.lit(0)).cast("long").alias("all"))
     given = F.lit(mix.budget) if mix.budget is not None else F.expr(f"all * {mix.share} DIV 100")
     above = total.select(F.lit(0).alias("one"), given.cast("long").alias("given"))
-    for depth in range(1, len(levels) + 1):
-        keys, parent = list(levels[:depth]), list(levels[:depth - 1])
-        listed = [(*name, weight) for name, weight in mix.weights.items() if len(name) == depth]
-        nodes = now.groupBy(*keys).agg(F.sum("capacity").alias("capacity")).withColumn("one", F.lit(0))
+    depths = range(1, len(levels) + 1)
+    for depth in depths:
+        keys, weight = list(levels[:depth]), f"weight_{depth}"
+        listed = [(*name, w) for name, w in mix.weights.items() if len(name) == depth]
         if listed:
-            schema = ", ".join(f"`{k}` string" for k in keys) + ", weight long"
-            nodes = nodes.join(spark.createDataFrame(listed, schema), keys, "left").withColumn("weight", F.coalesce("weight", F.lit(mix.usual)))
+            schema = ", ".join(f"`{k}` string" for k in keys) + f", {weight} long"
+            now = now.join(spark.createDataFrame(listed, schema), keys, "left").withColumn(weight, F.coalesce(weight, F.lit(mix.usual)))
         else:
-            nodes = nodes.withColumn("weight", F.lit(mix.usual).cast("long"))
+            now = now.withColumn(weight, F.lit(mix.usual).cast("long"))
+        now = now.withColumn("capacity", F.when(F.col(weight) > 0, F.col("capacity")).otherwise(0))
+    for depth in depths:
+        keys, parent = list(levels[:depth]), list(levels[:depth - 1])
+        nodes = now.groupBy(*keys).agg(F.sum("capacity").alias("capacity"), F.max(f"weight_{depth}").alias("weight")).withColumn("one", F.lit(0))
         above = _filled(nodes.join(above, ["one", *parent]), ["one", *parent], keys).select("one", *keys, F.col("own").alias("given"))
     return leaves.join(above.drop("one").withColumnRenamed("given", "budget"), list(levels), "left").withColumn(
         "budget", F.coalesce("budget", F.lit(0)))

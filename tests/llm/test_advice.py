@@ -101,3 +101,11 @@ def test_mixing_stage_cuts_the_last_document(spark):
     text = {r[0]: r[1] for r in rows}
     assert all(text[r.doc_id].startswith(r.text) and r.n_chars in (5, len(r.text)) for r in out)
     assert all(r.n_chars == len(r.text) for r in out if r.text != text[r.doc_id])
+
+
+def test_weight_zero_takes_no_room(spark):
+    leaves = spark.createDataFrame([("a", "x", 10), ("a", "y", 100), ("b", "z", 100)], "domain string, lang string, tokens long").withColumn("source", F.lit("s"))
+    for weights in ({("a", "y"): 0}, {("a", "y", "s"): 0}):
+        mix = mixing.Mix(budget=100, epochs=1, usual=1, weights=weights)
+        got = {(r.domain, r.lang): r.budget for r in mixing.budgets(leaves, ["domain", "lang", "source"], mix).collect()}
+        assert got == {("a", "x"): 10, ("a", "y"): 0, ("b", "z"): 90}
