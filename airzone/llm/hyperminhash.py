@@ -172,7 +172,7 @@ PAIRS = "tile long, lefts array<long>, rights array<long>"
 def _leader_pairs(bands: DataFrame, nodes: DataFrame, sketch: Sketch) -> DataFrame:
     """Plausible pairs of a node and the smallest node of one of its bands, packed by tile.
 
-    A tile holds the pairs of one leader; a leader of many nodes is dealt over 64 tiles.
+    A tile holds pairs of one leader, about ``BLOCK`` at most: a leader of more nodes is dealt over as many tiles as that takes.
     """
     leaders = bands.groupBy("band").agg(F.min("node").alias("leader"), F.count(F.lit(1)).alias("members")).where("members > 1")
     pairs = bands.join(leaders, "band").where("node != leader").select("node", "leader").distinct()
@@ -193,8 +193,10 @@ def _leader_pairs(bands: DataFrame, nodes: DataFrame, sketch: Sketch) -> DataFra
             keep = estimate >= sketch.similarity - sketch.slack * np.sqrt(sketch.similarity * (1 - sketch.similarity) / filled)
             yield batch.select(["node", "leader"]).filter(pa.array(keep))
 
-    kept = found.select("node", "leader", "n", "m", "r", "q").mapInArrow(run, "node long, leader long")
-    return kept.select(F.xxhash64("leader", F.pmod(F.hash("node"), F.lit(64))).alias("tile"),
+    kept = stage(found.select("node", "leader", "n", "m", "r", "q").mapInArrow(run, "node long, leader long"), "leader-pairs")
+    crowds = kept.groupBy("leader").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("long").alias("blocks")).where("blocks > 1")
+    dealt = picked(kept, crowds, "leader", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1).cast("long")))
+    return dealt.select(F.xxhash64("leader", F.pmod(F.xxhash64("node"), "blocks")).alias("tile"),
                        F.array("node").alias("lefts"), F.array("leader").alias("rights"))
 
 

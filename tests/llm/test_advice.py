@@ -109,3 +109,14 @@ def test_weight_zero_takes_no_room(spark):
         mix = mixing.Mix(budget=100, epochs=1, usual=1, weights=weights)
         got = {(r.domain, r.lang): r.budget for r in mixing.budgets(leaves, ["domain", "lang", "source"], mix).collect()}
         assert got == {("a", "x"): 10, ("a", "y"): 0, ("b", "z"): 90}
+
+
+def test_tiles_of_a_leader_stay_small(spark, monkeypatch):
+    monkeypatch.setattr(hyperminhash, "BLOCK", 16)
+    sketch = hyperminhash.Sketch()
+    registers = hyperminhash.registers_of(hyperminhash.shingle_hashes(" ".join(map(str, range(400))).encode(), 3), sketch).tobytes()
+    nodes = spark.createDataFrame([(i, 398, bytearray(registers)) for i in range(4010)], "node long, n_shingles long, registers binary")
+    bands = nodes.select(F.when(F.col("node") < 4000, 1).otherwise(2).cast("long").alias("band"), "node")
+    sizes = hyperminhash._leader_pairs(bands, nodes, sketch).groupBy("tile", F.col("rights")[0].alias("leader")).count().collect()
+    assert sum(r["count"] for r in sizes if r.leader == 0) == 3999 and max(r["count"] for r in sizes) <= 40
+    assert [r["count"] for r in sizes if r.leader == 4000] == [9]
