@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from airzone.sources.tables import stage
@@ -87,3 +92,15 @@ def picked(rows: DataFrame, keys: DataFrame, on: str, how: str = "inner") -> Dat
     Wide rows such as texts then stay where they are; beyond the bound both sides are shuffled as usual.
     """
     return rows.join(F.broadcast(keys) if keys.count() <= BROADCAST_ROWS else keys, on, how)
+
+
+def sliced(batch: pa.RecordBatch, column: str, held: int) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
+    """Rows of a batch with their texts, about ``held`` characters at a time but one row at least; null is empty text."""
+    ends = np.cumsum(pc.fill_null(pc.utf8_length(batch.column(column)), 0).to_numpy(zero_copy_only=False))
+    at = 0
+    while at < len(batch):
+        base = ends[at - 1] if at else 0
+        to = max(int(np.searchsorted(ends, base + held, "right")), at + 1)
+        part = batch.slice(at, to - at)
+        yield part, [t or "" for t in part.column(column).to_pylist()]
+        at = to

@@ -7,16 +7,16 @@ pieces; piece lengths are then laid over the alignment, so each piece points to
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator
 from functools import cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from sentencepiece import SentencePieceProcessor
 
-from airzone.llm.common import only
+from airzone.llm.common import only, sliced
 
 SPACE = "▁"
 
@@ -74,12 +74,7 @@ class CharacterMap:
 
 
 class Encoder:
-    """One model's pieces with byte spans.
-
-    If no piece has a space behind another character, no piece crosses the border before a single space, so the
-    distinct words of many texts are encoded once each. Texts with runs of spaces, and models with such pieces, are
-    encoded whole.
-    """
+    """One model's pieces with byte spans."""
 
     def __init__(self, model: bytes):
         self.processor = SentencePieceProcessor(model_proto=model)
@@ -90,9 +85,6 @@ class Encoder:
         #: normalised bytes of every piece; -1 for the unknown piece
         self.sizes = np.array([1 if self.processor.is_byte(i) else 0 if self.processor.is_control(i) else
                                -1 if self.processor.is_unknown(i) else len(p.encode()) for i, p in enumerate(pieces)])
-        plain = not self.map.units and self.prefixed and self.marked and not self.trimmed
-        self.divisible = plain and not any(SPACE in p.lstrip(SPACE) for p in pieces if p not in ("<unk>",))
-        self.edges = np.array([self.processor.bos_id(), self.processor.eos_id()], "<u4")
         #: original bytes of every piece in a text without a character map; 0 for a byte of a longer character
         inside = [self.processor.is_byte(i) and int(p[3:5], 16) > 127 for i, p in enumerate(pieces)]
         self.lengths = np.array([0 if s < 0 or b else s - 2 * p.count(SPACE) for s, b, p in zip(self.sizes, inside, pieces)])
@@ -100,32 +92,8 @@ class Encoder:
 
     def ids(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of every text with begin and end, as the library gives them."""
-        out: list[np.ndarray | None] = [None] * len(texts)
-        words, counts, plain, rest = [], [], [], []
-        for k, text in enumerate(texts):
-            if self.divisible and text and "  " not in text and SPACE not in text and text[0] != " " != text[-1]:
-                own = text.split(" ")
-                words += own
-                counts.append(len(own))
-                plain.append(k)
-            else:
-                rest.append(k)
-        frame = lambda ids: np.concatenate([self.edges[:1], ids, self.edges[1:]])
-        for k, ids in zip(rest, self.processor.encode([texts[k] for k in rest], num_threads=1)):
-            out[k] = frame(np.array(ids, "<u4"))
-        if plain:
-            distinct = list(set(words))
-            each = self.processor.encode(distinct, num_threads=1)
-            sizes = np.fromiter(map(len, each), np.int64, len(each))
-            flat, starts = np.fromiter(chain.from_iterable(each), "<u4", sizes.sum()), np.cumsum(sizes) - sizes
-            number = dict(zip(distinct, range(len(distinct))))
-            which = np.fromiter(map(number.__getitem__, words), np.int64, len(words))
-            run = sizes[which]
-            ends = np.cumsum(run)
-            tokens = flat[np.arange(ends[-1]) + np.repeat(starts[which] - ends + run, run)]
-            for k, ids in zip(plain, np.split(tokens, ends[np.cumsum(counts)[:-1] - 1])):
-                out[k] = frame(ids)
-        return out
+        found = self.processor.encode(texts, add_bos=True, add_eos=True, num_threads=1)
+        return [np.frombuffer(array("I", ids), "<u4") for ids in found]
 
     def normalised(self, text: str) -> tuple[bytes, np.ndarray, np.ndarray]:
         """Normalised bytes, and for each the first and last original byte behind it (end exclusive).
@@ -193,7 +161,7 @@ def _encoder(model: bytes) -> Encoder:
 
 ENCODED = "n_tokens long, ids binary, spans binary, decoded string"
 #: Characters of text whose results are held at a time.
-HELD = 8_000_000
+HELD = 500_000
 
 
 def encoded(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -213,19 +181,13 @@ def encoded(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         one = _encoder(model.value)
         for batch in batches:
-            texts, at = [t or "" for t in batch.column("text").to_pylist()], 0
-            while at < len(texts):
-                to, held = at, 0
-                while to < len(texts) and (to == at or held + len(texts[to]) <= HELD):
-                    held += len(texts[to])
-                    to += 1
-                ids = one.ids(texts[at:to])
-                spans = [one.spans(text, i).astype("<i4").tobytes() for text, i in zip(texts[at:to], ids)]
+            for part, texts in sliced(batch, "text", HELD):
+                ids = one.ids(texts)
+                spans = [one.spans(text, i).astype("<i4").tobytes() for text, i in zip(texts, ids)]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").slice(at, to - at), pa.array(map(len, ids), pa.int64()), pa.array([i.tobytes() for i in ids], pa.binary()),
-                     pa.array(spans, pa.binary()), pa.array(one.processor.decode(ids), pa.string())],
+                    [part.column("doc_id"), pa.array(map(len, ids), pa.int64()), pa.array([i.tobytes() for i in ids], pa.binary()),
+                     pa.array(spans, pa.binary()), pa.array(one.processor.decode([i.tolist() for i in ids]), pa.string())],
                     names=["doc_id", "n_tokens", "ids", "spans", "decoded"])
-                at = to
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.mapInArrow(run, f"doc_id {kind}, {ENCODED}")
