@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 import corpus_pipeline
-from airzone.llm import chat, hyperminhash, mixing, pieces, quality, surrogates, tiles, toxicity, urlfilter, warc
+from airzone.llm import alignment, bytepairs, chat, hyperminhash, mixing, pieces, quality, surrogates, tiles, toxicity, trie, urlfilter, warc
 from airzone.llm.common import table
 from airzone.llm.sql import ORACLE
 
@@ -91,10 +91,25 @@ def op10(spark: SparkSession, folder: str) -> DataFrame:
     return tiles.near_vectors(table(spark, folder, "embeddings"))
 
 
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    turns = table(spark, folder, "conversations")
+    return trie.nodes(trie.rebuilt(turns))
+
+
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    files = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path(MODEL)
+    return alignment.alignment(table(spark, folder, "documents"), *files, public_tokenizers.PATTERN)
+
+
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    return bytepairs.digested(bytepairs.encoded(table(spark, folder, "documents"), ranks, public_tokenizers.PATTERN))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {"op1_mixing": op1, "op2_quality_rules": op2, "op3_surrogates": op3, "op4_warc_index": op4, "op5_url_lists": op5,
             "op6_hyperminhash": op6, "op7_string_kernel": op7, "op8_sentencepiece": op8, "op9_reply_trees": op9,
-            "op10_embedding_tiles": op10, "pipeline": corpus_pipeline.run}
+            "op10_embedding_tiles": op10, "op11_prefix_trie": op11, "op12_alignment": op12, "op13_byte_pairs": op13, "pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -111,5 +111,27 @@ SELECT v.vec_id, (SELECT count(*) FROM links WHERE x = v.vec_id) AS n_links, com
 FROM v JOIN parts ON node = v.vec_id
 """
 
+_TRIE = """
+WITH t AS (SELECT conv_id AS c, coalesce(role, '') AS r, coalesce(text, '') AS x,
+                  row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST) AS p FROM conversations WHERE conv_id IS NOT NULL),
+h AS (SELECT c, c - c % 100 AS head, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(c::VARCHAR, ''), lambda d: ord(d)::BIGINT)),
+        lambda crc, byte: list_reduce(list_prepend(xor(crc, byte), [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]), lambda v, z: xor(v >> 1, 3988292384 * (v % 2)))), 4294967295) % 6 AS h
+      FROM (SELECT DISTINCT c FROM t)),
+rebuilt AS (SELECT h.c, 0 AS own, p, r, x FROM h JOIN t ON t.c = head AND p <= h UNION ALL SELECT h.c, 1, p, r, x FROM h JOIN t ON t.c = h.c AND p > h),
+place AS (SELECT c, row_number() OVER w AS d, length(x) AS size,
+                 string_agg(length(r) || ':' || length(x) || ':' || r || x, '') OVER (w ROWS UNBOUNDED PRECEDING) AS k FROM rebuilt WINDOW w AS (PARTITION BY c ORDER BY own, p)),
+long AS (SELECT c, max(d) AS d FROM place GROUP BY c),
+member AS (SELECT c, d, size, k FROM place UNION ALL SELECT c, 0, 0, '' FROM h),
+node AS (SELECT k, m.d, min(m.c) AS conv_id, count(*) AS n, any_value(size) AS size,
+                sha256(coalesce(string_agg(m.c::VARCHAR, ',' ORDER BY m.c) FILTER (m.d = coalesce(long.d, 0)), '')) AS ends_sha256
+         FROM member m LEFT JOIN long USING (c) GROUP BY k, m.d),
+link AS (SELECT DISTINCT a.k, b.k AS parent FROM member a JOIN member b ON a.c = b.c AND b.d = a.d - 1),
+kids AS (SELECT parent AS k, count(*) AS n_children FROM link GROUP BY parent),
+below AS (SELECT a.k, sum((b.n - 1) * b.size)::BIGINT AS saved_tokens, count(*) FILTER (b.k NOT IN (SELECT k FROM kids)) AS n_leaves
+          FROM node a JOIN node b ON starts_with(b.k, a.k) AND b.d >= a.d GROUP BY a.k)
+SELECT node.conv_id, node.d::BIGINT AS depth, up.conv_id AS parent_conv_id, node.n AS n_convs, coalesce(n_children, 0)::BIGINT AS n_children, n_leaves, saved_tokens, node.ends_sha256
+FROM node LEFT JOIN link USING (k) LEFT JOIN node up ON up.k = parent LEFT JOIN kids ON kids.k = node.k JOIN below ON below.k = node.k
+"""
+
 ORACLE = {"op1_mixing": _MIXING, "op4_warc_index": _WARC, "op5_url_lists": _URLS, "op6_hyperminhash": _NEAR,
-          "op9_reply_trees": _CHAT, "op10_embedding_tiles": _VECTORS}
+          "op9_reply_trees": _CHAT, "op10_embedding_tiles": _VECTORS, "op11_prefix_trie": _TRIE}
