@@ -105,21 +105,21 @@ def expected_collisions(n: np.ndarray, m: np.ndarray, sketch: Sketch) -> np.ndar
 
 
 def estimated_jaccard(x: np.ndarray, y: np.ndarray, n: np.ndarray, m: np.ndarray, sketch: Sketch) -> tuple[np.ndarray, np.ndarray]:
-    """Similarity of every row of registers ``x`` to every row of ``y``, and the number of filled registers."""
-    same = np.stack([((row == y) & (row > 0)).sum(1) for row in x]) if len(x) else np.zeros((0, len(y)), int)
-    filled = np.stack([((row > 0) | (y > 0)).sum(1) for row in x]) if len(x) else np.zeros((0, len(y)), int)
-    filled = np.maximum(filled, 1)
-    chance = expected_collisions(n[:, None].astype(float), m[None, :].astype(float), sketch) * filled / sketch.registers
+    """Similarity of every row of registers ``x`` to the same row of ``y``, and the number of filled registers."""
+    same, filled = ((x == y) & (x > 0)).sum(1), np.maximum(((x > 0) | (y > 0)).sum(1), 1)
+    chance = expected_collisions(n.astype(float), m.astype(float), sketch) * filled / sketch.registers
     return np.clip((same - chance) / np.maximum(filled - chance, 1e-9), 0, 1), filled
 
 
-def plausible(x, y, n, m, sketch: Sketch) -> np.ndarray:
-    """Matrix of pairs whose sizes and estimate allow the wanted similarity."""
-    least, most = np.minimum.outer(n, m), np.maximum.outer(n, m)
-    fits = sketch.denominator * least >= sketch.numerator * most
-    estimate, filled = estimated_jaccard(x, y, n, m, sketch)
-    spread = np.sqrt(sketch.similarity * (1 - sketch.similarity) / filled)
-    return fits & (estimate >= sketch.similarity - sketch.slack * spread)
+def plausible(x: np.ndarray, y: np.ndarray, n: np.ndarray, m: np.ndarray, sketch: Sketch) -> np.ndarray:
+    """Rows whose estimate allows the wanted similarity. Equal registers less those by chance are no more than the equal
+    ones, so the chance is worked out for rows only that pass without it."""
+    same, filled = ((x == y) & (x > 0)).sum(1), np.maximum(((x > 0) | (y > 0)).sum(1), 1)
+    least = sketch.similarity - sketch.slack * np.sqrt(sketch.similarity * (1 - sketch.similarity) / filled)
+    out = same >= least * filled
+    left = np.flatnonzero(out)
+    out[left] = estimated_jaccard(x[left], y[left], n[left], m[left], sketch)[0] >= least[left]
+    return out
 
 
 def linked(a: np.ndarray, b: np.ndarray, sketch: Sketch) -> bool:
@@ -187,11 +187,7 @@ def _leader_pairs(bands: DataFrame, nodes: DataFrame, sketch: Sketch) -> DataFra
         for batch in batches:
             x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint16).reshape(len(batch), -1) for i in ("r", "q"))
             n, m = (batch.column(i).to_numpy().astype(float) for i in ("n", "m"))
-            same, filled = ((x == y) & (x > 0)).sum(1), np.maximum(((x > 0) | (y > 0)).sum(1), 1)
-            chance = expected_collisions(n, m, sketch) * filled / sketch.registers
-            estimate = (same - chance) / np.maximum(filled - chance, 1e-9)
-            keep = estimate >= sketch.similarity - sketch.slack * np.sqrt(sketch.similarity * (1 - sketch.similarity) / filled)
-            yield batch.select(["node", "leader"]).filter(pa.array(keep))
+            yield batch.select(["node", "leader"]).filter(pa.array(plausible(x, y, n, m, sketch)))
 
     kept = stage(found.select("node", "leader", "n", "m", "r", "q").mapInArrow(run, "node long, leader long"), "leader-pairs")
     crowds = kept.groupBy("leader").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("long").alias("blocks")).where("blocks > 1")
@@ -206,38 +202,49 @@ BLOCK = 256
 def _open_pairs(bands: DataFrame, nodes: DataFrame, groups: DataFrame, sketch: Sketch) -> DataFrame:
     """Plausible pairs of nodes that share a band but not yet a component, packed by tile.
 
-    Bands of more than ``BLOCK`` nodes are compared block by block. A pair is looked at only in the first band
+    A band's largest component is never compared with itself: it is dealt into blocks of ``BLOCK`` nodes that the
+    band's other nodes visit, and these are compared with one another block by block. So a crowd of copies costs one row
+    a node, and rows multiply only with the nodes that stand outside it. A pair is looked at only in the first band
     that it shares. ``home`` (the smallest leader of a node's open bands) and a block number decide the tile in which
     a pair's sets will meet, so a node's set travels to few tiles however many pairs it has.
     """
     placed = bands.join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    open_bands = (placed.groupBy("band").agg(F.min("node").alias("leader"), F.count(F.lit(1)).alias("members"),
-                                             F.min("component").alias("low"), F.max("component").alias("high"))
-                  .where("low != high").select("band", "leader", "members"))
+    open_bands = (placed.groupBy("band").agg(F.min("node").alias("leader"), F.min("component").alias("low"), F.max("component").alias("high"))
+                  .where("low != high").select("band", "leader"))
     inside = stage(placed.join(open_bands, "band"), "open-bands")
     homes = inside.groupBy("node").agg(F.min("leader").alias("home"))
     crowd = homes.groupBy("home").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("long").alias("blocks"))
     homes = homes.join(crowd, "home").select("node", F.xxhash64("home", F.pmod(F.xxhash64("node"), "blocks")).alias("home"))
     known = nodes.select("node", "n_shingles", "registers").join(homes, "node")
-    deal = F.expr(f"""explode(transform(sequence(0, parts - 1), i -> struct(
-        least(i, part) AS one, greatest(i, part) AS two)))""")
-    rows = (inside.withColumn("parts", F.ceil(F.col("members") / BLOCK).cast("long"))
-            .withColumn("part", F.expr("pmod(xxhash64(node, 7), parts)"))
-            .select("band", "node", "component", "part", deal.alias("t"))
+    shares = (inside.groupBy("band", "component").agg(F.count(F.lit(1)).alias("n")).groupBy("band")
+              .agg(F.max(F.struct("n", "component")).alias("top"), F.sum("n").alias("members"))
+              .select("band", F.col("top.component").alias("main"), F.ceil(F.col("top.n") / BLOCK).alias("mains"),
+                      F.ceil((F.col("members") - F.col("top.n")) / BLOCK).alias("others")))
+    deal = F.expr("""explode(if(component = main,
+        transform(sequence(0, others - 1), i -> struct(true AS mixed, part AS one, i AS two)),
+        concat(transform(sequence(0, mains - 1), i -> struct(true AS mixed, i AS one, part AS two)),
+               transform(sequence(0, others - 1), i -> struct(false AS mixed, least(i, part) AS one, greatest(i, part) AS two)))))""")
+    rows = (inside.join(shares, "band").withColumn("in_main", F.col("component") == F.col("main"))
+            .withColumn("part", F.expr("pmod(xxhash64(node, 7), if(component = main, mains, others))"))
+            .select("band", "node", "component", "part", "in_main", deal.alias("t"))
             .join(known, "node")
-            .select("band", "t.one", "t.two", "node", "component", "part", "n_shingles", "registers", "home"))
+            .select("band", "t.mixed", "t.one", "t.two", "node", "component", "part", "in_main", "n_shingles", "registers", "home"))
 
     def compare(tile: pa.Table) -> pa.Table:
-        node, comp, part, n, home = (tile.column(c).to_numpy() for c in ("node", "component", "part", "n_shingles", "home"))
+        node, comp, part, n, home, main = (tile.column(c).to_numpy() for c in ("node", "component", "part", "n_shingles", "home", "in_main"))
         regs = np.frombuffer(b"".join(tile.column("registers").to_pylist()), np.uint16).reshape(len(node), -1)
-        one, two, band = tile.column("one")[0].as_py(), tile.column("two")[0].as_py(), tile.column("band")[0].as_py()
-        left, right = np.flatnonzero(part == one), np.flatnonzero(part == two)
+        mixed, one, two, band = (tile.column(c)[0].as_py() for c in ("mixed", "one", "two", "band"))
+        left, right = (np.flatnonzero(main), np.flatnonzero(~main)) if mixed else (np.flatnonzero(part == one), np.flatnonzero(part == two))
+        low, high = np.minimum.outer(n[left], n[right]), np.maximum.outer(n[left], n[right])
+        ok = (sketch.denominator * low >= sketch.numerator * high) & (comp[left][:, None] != comp[right][None, :])
+        if not mixed and one == two:
+            ok &= node[left][:, None] < node[right][None, :]
+        every_i, every_j = np.nonzero(ok)
         found: dict[tuple, tuple[list, list]] = {}
-        if len(left) and len(right):
-            ok = plausible(regs[left], regs[right], n[left], n[right], sketch) & (comp[left][:, None] != comp[right][None, :])
-            ok &= node[left][:, None] < node[right][None, :] if one == two else True
-            i, j = np.nonzero(ok)
-            i, j = left[i], right[j]
+        for at in range(0, len(every_i), 16_384):
+            i, j = left[every_i[at:at + 16_384]], right[every_j[at:at + 16_384]]
+            close = plausible(regs[i], regs[j], n[i], n[j], sketch)
+            i, j = i[close], j[close]
             x, y = (regs[k].reshape(len(k), sketch.registers // sketch.rows, sketch.rows) for k in (i, j))
             first = ((x == y).all(2) & x.any(2)).argmax(1)
             packed = np.zeros(len(i), np.uint64)
@@ -254,7 +261,7 @@ def _open_pairs(bands: DataFrame, nodes: DataFrame, groups: DataFrame, sketch: S
         return pa.table({"tile": pa.array(tiles, pa.int64()), "lefts": pa.array([v[0] for v in found.values()], pa.list_(pa.int64())),
                          "rights": pa.array([v[1] for v in found.values()], pa.list_(pa.int64()))})
 
-    return rows.groupBy("band", "one", "two").applyInArrow(compare, PAIRS)
+    return rows.groupBy("band", "mixed", "one", "two").applyInArrow(compare, PAIRS)
 
 
 def _confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, sketch: Sketch) -> DataFrame:

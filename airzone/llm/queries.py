@@ -31,9 +31,9 @@ LIST = [
 
 
 def domain_of(source: Column) -> Column:
-    """Four domains of sources, by the number at the end of their names."""
+    """Four domains of sources, by the number at the end of their names, of which the last two digits tell."""
     number = F.regexp_extract(source, r"(\d+)$", 1)
-    return F.when(number != "", F.concat(F.lit("domain"), (number.cast("int") % 4).cast("string")))
+    return F.when(number != "", F.concat(F.lit("domain"), (F.right(number, F.lit(2)).cast("int") % 4).cast("string")))
 
 
 def op1(spark: SparkSession, folder: str) -> DataFrame:

@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from airzone.llm.common import only, words
+from airzone.llm.common import only, sliced, words
 from airzone.sources.tables import stage
 
 
@@ -129,25 +129,25 @@ class Describer:
     """Sentence vectors of a text: the best match of a sentence's words with every landmark.
 
     A worker remembers which words match nothing and the vectors of those that do; both are started anew
-    when they grow beyond ``most`` words.
+    when they grow beyond ``most`` words together.
     """
 
-    def __init__(self, landmarks: Landmarks, most: int = 600_000):
+    def __init__(self, landmarks: Landmarks, most: int = 200_000):
         self.landmarks, self.most = landmarks, most
         self.cold: set[str] = set()
         self.hot: dict[str, np.ndarray] = {}
 
     def learn(self, tokens: set[str]) -> None:
         new = [t for t in tokens if t not in self.cold and t not in self.hot]
-        if len(self.cold) + len(new) > self.most:
+        if len(self.cold) + len(self.hot) + len(new) > self.most:
             self.cold, self.hot = set(), {}
             new = list(tokens)
         units = [unit_of(t) for t in new]
-        for at in range(0, len(new), 20_000):
-            values = self.landmarks.values(units[at:at + 20_000])
-            for token, value, any_match in zip(new[at:at + 20_000], values, values.any(axis=1)):
+        for at in range(0, len(new), 5000):
+            values = self.landmarks.values(units[at:at + 5000])
+            for token, value, any_match in zip(new[at:at + 5000], values, values.any(axis=1)):
                 if any_match:
-                    self.hot[token] = value
+                    self.hot[token] = value.copy()     # a view would keep all rows alive
                 else:
                     self.cold.add(token)
 
@@ -252,13 +252,17 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(self.slope * best + self.shift, -30, 30))))
 
 
+#: Characters of text described at a time, and partitions of the sample.
+HELD, SPREAD = 500_000, 32
+
+
 def _described(docs: DataFrame, strings: list[str], k: Kernel) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         describer = Describer(Landmarks(strings, k))
-        for batch in batches:
-            found = describer.describe([t or "" for t in batch.column("text").to_pylist()])
+        for part, texts in (p for batch in batches for p in sliced(batch, "text", HELD)):
+            found = describer.describe(texts)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("toxic"), pa.array([f.astype(np.float32).tobytes() for f in found], pa.binary())],
+                [part.column("doc_id"), part.column("toxic"), pa.array([f.astype(np.float32).tobytes() for f in found], pa.binary())],
                 names=["doc_id", "toxic", "matches"])
 
     return docs.select("doc_id", "toxic", "text").mapInArrow(run, "doc_id long, toxic int, matches binary")
@@ -275,7 +279,8 @@ def fitted(labelled: DataFrame, fit: Fit = Fit(), k: Kernel = Kernel()) -> Model
     if not sizes.get(0) or not sizes.get(1):
         return None
     part = [labelled.where(F.col("toxic") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit.per_class) for c in (0, 1)]
-    sample = stage(part[0].unionByName(part[1]), "labelled-sample")
+    # a limit leaves one partition; what follows is dealt out again
+    sample = stage(part[0].unionByName(part[1]).repartition(SPREAD, "doc_id"), "labelled-sample")
     strings = choose_landmarks(_candidates(sample, fit), fit, k)
     if not strings:
         return None
@@ -319,11 +324,9 @@ def scored(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_co
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         describer = Describer(Landmarks(model.landmarks, model.kernel))
-        for batch in batches:
-            ids, texts = batch.column("doc_id"), batch.column("text").to_pylist()
-            for at in range(0, len(texts), 500):
-                chances = [model.chance(s) for s in describer.describe([t or "" for t in texts[at:at + 500]])]
-                yield pa.RecordBatch.from_arrays([ids.slice(at, 500), pa.array(chances, pa.float64())], names=["doc_id", "score"])
+        for part, texts in (p for batch in batches for p in sliced(batch, "text", HELD)):
+            chances = [model.chance(s) for s in describer.describe(texts)]
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(chances, pa.float64())], names=["doc_id", "score"])
 
     return docs.mapInArrow(run, "doc_id long, score double")
 

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from airzone.llm import hyperminhash, mixing, surrogates, urlfilter
+from airzone.llm import hyperminhash, mixing, queries as llm_queries, surrogates, urlfilter
 
 
 def brute_force_kept(texts, width, similarity):
@@ -120,3 +120,47 @@ def test_tiles_of_a_leader_stay_small(spark, monkeypatch):
     sizes = hyperminhash._leader_pairs(bands, nodes, sketch).groupBy("tile", F.col("rights")[0].alias("leader")).count().collect()
     assert sum(r["count"] for r in sizes if r.leader == 0) == 3999 and max(r["count"] for r in sizes) <= 40
     assert [r["count"] for r in sizes if r.leader == 4000] == [9]
+
+
+def test_rows_of_one_id_with_different_texts_all_stay(spark):
+    text = lambda k: " ".join(f"w{k}x{i}" for i in range(60))
+    rows = [(7, text(1)), (7, text(2)), (7, text(2)), (7, text(2) + " end"), (3, text(1)), (4, text(3)), (9, text(3)), (None, text(4)), (None, text(4)), (11, None), (11, None), (12, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = corpus_pipeline.near_duplicates(spark, docs, "").collect()
+    assert sorted((r.text or "").removesuffix(" end") for r in got if r.doc_id is not None) == sorted([text(1), text(2), text(3), "", ""])
+    assert sorted(r.doc_id for r in got if r.doc_id) in ([4, 7, 7, 11, 12], ) and sum(r.doc_id is None for r in got) == 2
+
+
+def test_long_numbers_in_source_names(spark):
+    rows = [(i, "some words here", "en", f"src{'9' * n}{i}") for i, n in enumerate((0, 9, 11, 40))] + [(9, "more words", "en", "none")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    domains = {r.source: r.d for r in docs.select("source", llm_queries.domain_of(F.col("source")).alias("d")).collect()}
+    assert domains == {s: f"domain{int(s[3:]) % 4}" if s != "none" else None for _, _, _, s in rows}
+    assert corpus_pipeline.mixing_sources(spark, docs, "").count() > 0
+
+
+def test_open_bands_cost_a_row_for_each_copy(spark, monkeypatch):
+    """A third of all rows and more in one component, a few nodes outside it: rows grow with the crowd, not its square."""
+    monkeypatch.setattr(hyperminhash, "BLOCK", 16)
+    sketch = hyperminhash.Sketch()
+    hashes = hyperminhash.shingle_hashes(" ".join(map(str, range(400))).encode(), 3)
+    registers = hyperminhash.registers_of(hashes, sketch)
+    found = spark.createDataFrame([(i, 398, bytearray(registers.tobytes())) for i in range(803)], "node long, n_shingles long, registers binary")
+    band = hyperminhash._bands(found.where("node = 0"), sketch).first().band       # the first of its bands
+    bands = found.select(F.lit(band).alias("band"), "node")
+    groups = found.where("node < 800").select("node", F.lit(0).cast("long").alias("component"))
+    tiles = hyperminhash._open_pairs(bands, found, groups, sketch).collect()
+    pairs = {tuple(sorted(p)) for r in tiles for p in zip(r.lefts, r.rights)}
+    assert pairs == {(a, b) for b in (800, 801, 802) for a in range(b)}
+
+
+def test_near_duplicates_in_a_shared_band_match_brute_force(spark, monkeypatch):
+    """Documents around one common passage: every band is crowded, few pairs are near."""
+    monkeypatch.setattr(hyperminhash, "BLOCK", 8)
+    draw = random.Random(8)
+    passage = [f"p{i}" for i in range(150)]
+    texts = {i: " ".join(passage + [f"w{draw.randrange(10 ** 9)}" for _ in range(draw.randrange(1, 60))]) for i in range(90)}
+    texts |= {200 + i: texts[i] + " tail" for i in range(0, 30, 3)} | {300 + i: texts[0] + f" n{i}" for i in range(60)}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    kept = {r.doc_id for r in hyperminhash.near_duplicates(docs).collect() if r.kept}
+    assert kept == brute_force_kept(texts, 3, 0.85)
