@@ -31,12 +31,18 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of every group of near duplicates, and one row of every id."""
-    found = stage(hyperminhash.near_duplicates(docs, sketch=NEAR), "groups")
-    repeated = found.where("kept AND doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id")
-    gone = found.where("NOT kept").select("doc_id").distinct().unionByName(repeated)
-    once = picked(docs, repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return picked(docs, gone, "doc_id", "left_anti").unionByName(once).select(*docs.columns)
+    """One document of every group of near duplicates.
+
+    Rows are judged by their text: rows that share an id and a text are one document, rows that share an id only are
+    two. The smallest id of a group stays, but a document whose id is shared goes before others. Null ids all stay.
+    """
+    shared = stage(docs.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id", F.lit(True).alias("again")), "shared-ids")
+    told = F.xxhash64("doc_id", "text").bitwiseAND(F.lit(2 ** 63 - 1))
+    keyed = picked(docs, shared, "doc_id", "left").withColumn("key", F.when(F.col("again"), -told).otherwise(F.col("doc_id")))
+    found = stage(hyperminhash.near_duplicates(keyed, id_col="key", sketch=NEAR), "groups")
+    staying = picked(keyed, found.where("NOT kept").select(F.col("doc_id").alias("key")).distinct(), "key", "left_anti")
+    once = staying.where("again").dropDuplicates(["key"])
+    return staying.where("again IS NULL").unionByName(once).select(*docs.columns)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,7 +53,7 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def mixing_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them; the last one of a leaf is cut to the words that fit its budget."""
     number = F.regexp_extract("source", r"(\d+)$", 1)
-    domain = F.when(number != "", F.when(number.cast("int") % 2 == 0, "web").otherwise("print"))
+    domain = F.when(number != "", F.when(F.right(number, F.lit(1)).cast("int") % 2 == 0, "web").otherwise("print"))
     chosen = mixing.mixed(docs, domain, docs["lang"], docs["source"], MIX)
     cut = F.col("taken") < F.col("n_tokens")
     text = F.when(cut, leading_words(F.col("r.text"), F.col("taken"))).otherwise(F.col("r.text"))
