@@ -119,8 +119,7 @@ def _definitions() -> dict[str, Callable[[Inputs], DataFrame]]:
         annual.site_years(t.monthly, "fiscal"), t.sites, "fiscal"), raw_direct_mean=6)
     q["nearest_reference"] = lambda t: annual.nearest_reference(t.site_years(), t.sites)
     q["nearest_reference_fy"] = lambda t: annual.nearest_reference(t.site_years("fiscal"), t.sites, "fiscal")
-    q["nearest_reference_grid"] = lambda t: annual.nearest_reference(
-        t.site_years(), t.sites, direct_limit=0)
+    q["nearest_reference_grid"] = lambda t: annual.nearest_reference(t.site_years(), t.sites, leaf_limit=8)
     q["annualisation_ratios"] = lambda t: _comparable(
         _ratios(t), target_period_mean=6, ref_period_mean=6, ref_full_year_mean=6)
     q["annualised_means"] = lambda t: _comparable(t.annualised())
@@ -150,6 +149,8 @@ def _definitions() -> dict[str, Callable[[Inputs], DataFrame]]:
         with_bng(t.wards).select("area_code", "x_m", "y_m"), x_m=2, y_m=2)
     q["site_tiers"] = lambda t: _comparable(t.site_tiers)
     q["ward_tiers"] = lambda t: _comparable(t.ward_tiers)
+    q["ward_of_site"] = lambda t: tiers.ward_of_site(t.sites, t.boundaries)
+    q["wards_about"] = lambda t: tiers.wards_about(t.wards, t.boundaries)
     q["tier_distribution"] = lambda t: _comparable(tiers.tier_distribution(
         {"Monitoring Sites": t.site_tiers, "Municipal Wards": t.ward_tiers}))
     q["geometry_audit"] = lambda t: tiers.geometry_audit(t.zone, t.sites)

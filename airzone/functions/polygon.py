@@ -41,14 +41,20 @@ _MEETS = """((e.y1 > at.y) != (e.y2 > at.y)
     and at.x < try_divide((e.x2 - e.x1)*(at.y - e.y1), e.y2 - e.y1) + e.x1)"""
 
 
+def position_of(edges: str, x: str, y: str) -> Column:
+    """Struct ``inside``, ``on_edge``, ``distance`` of a planar point; distance is 0 within the outline."""
+    return F.expr(_position({"at": {"x": x, "y": y}}, edges))
+
+
 def position_in(edges: str, longitude: str = "longitude", latitude: str = "latitude") -> Column:
-    """Struct ``inside``, ``on_edge``, ``distance`` of a point; distance is 0 within the outline."""
-    levels = {
-        **bng_levels(longitude, latitude),
-        "near": {"gap": f"array_min(transform({edges}, e -> {_GAP}))",
-                 "odd": f"size(filter({edges}, e -> {_MEETS})) % 2 = 1"},
-    }
-    return F.expr(bind(levels, named_values({
+    """``position_of`` a point in degrees, projected."""
+    return F.expr(_position(bng_levels(longitude, latitude), edges))
+
+
+def _position(levels: dict[str, dict[str, str]], edges: str) -> str:
+    levels = {**levels, "near": {"gap": f"array_min(transform({edges}, e -> {_GAP}))",
+                                 "odd": f"size(filter({edges}, e -> {_MEETS})) % 2 = 1"}}
+    return bind(levels, named_values({
         "inside": f"near.odd and near.gap > {EDGE_METRES!r}",
         "on_edge": f"near.gap <= {EDGE_METRES!r}",
-        "distance": "if(near.odd, 0D, near.gap)"})))
+        "distance": "if(near.odd, 0D, near.gap)"}))

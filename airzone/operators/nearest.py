@@ -6,11 +6,9 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from airzone.sources.tables import stage
 
-DIRECT_LIMIT = 512        # places per group that are compared one by one
-BROADCAST_ROWS = 100_000  # places that may be sent to every task, a few megabytes
-LEAF_LIMIT = 16           # wanted places per finest grid cell
+LEAF_LIMIT = 64           # places up to which a grid cell is not divided again
 FANOUT = 8                # grid refinement per axis and level
-MAX_DEPTH = 10
+MAX_DEPTH = 10            # cells of the last level are never divided
 
 
 def _square(c: Column) -> Column:
@@ -18,29 +16,21 @@ def _square(c: Column) -> Column:
 
 
 def nearest_place(points: DataFrame, places: DataFrame, group: str, place_id: str, *,
-                  x: str = "x", y: str = "y", root_cell: float = 64.0,
-                  direct_limit: int = DIRECT_LIMIT, leaf_limit: int = LEAF_LIMIT) -> DataFrame:
+                  x: str = "x", y: str = "y", root_cell: float = 64.0, leaf_limit: int = LEAF_LIMIT) -> DataFrame:
     """Distinct (group, x, y) of ``points`` with the closest ``place_id``; smallest id on ties.
 
-    Points and places at one spot are merged first, so crowded spots count once.
-    ``places`` is read more than once and should be a stored table: its counts
-    decide the method. Few places are compared directly, as a list of checked
-    length beside each point. More go through a grid that is refined level by
-    level, dropping the cells that cannot hold the nearest place.
+    Points and places at one spot are merged first, so crowded spots count once. A pyramid of grid cells is made of
+    the places and stored: one aggregation counts the cells of all levels, and cells exist only below crowded ones.
+    Points descend it, dropping the cells that cannot hold the nearest place, and meet the places of the cells that
+    are left. ``root_cell`` is so large (64 degrees, or 1,000 km) that a group has only the handful its extent covers.
     """
     spots = points.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).select(
         F.col(group).alias("_g"), F.col(x).alias("_x"), F.col(y).alias("_y")).distinct()
     stops = (places.filter(F.col(x).isNotNull() & F.col(y).isNotNull())
              .groupBy(F.col(group).alias("_g"), F.col(x).alias("_px"), F.col(y).alias("_py"))
              .agg(F.min(place_id).alias("_id")))
-    total, largest = stops.groupBy("_g").count().agg(
-        F.coalesce(F.sum("count"), F.lit(0)), F.coalesce(F.max("count"), F.lit(0))).first()
-    if largest <= direct_limit and total <= BROADCAST_ROWS:
-        best = _compare_directly(spots, stops)
-    else:
-        best = _search_grid(spots, stage(stops, "places"), root_cell, leaf_limit)
-    return best.select(F.col("_g").alias(group), F.col("_x").alias(x), F.col("_y").alias(y),
-                       F.col("_best._id").alias(place_id))
+    return _search(spots, stage(stops, "places"), root_cell, leaf_limit).select(
+        F.col("_g").alias(group), F.col("_x").alias(x), F.col("_y").alias(y), F.col("_best._id").alias(place_id))
 
 
 def _candidate(px: Column, py: Column, place: Column) -> Column:
@@ -49,24 +39,36 @@ def _candidate(px: Column, py: Column, place: Column) -> Column:
                     place.alias("_id"))
 
 
-def _compare_directly(spots: DataFrame, stops: DataFrame) -> DataFrame:
-    listed = stops.groupBy("_g").agg(F.collect_list(F.struct("_px", "_py", "_id")).alias("_stops"))
-    closest = F.array_min(F.transform(
-        "_stops", lambda s: _candidate(s["_px"], s["_py"], s["_id"])))
-    return spots.join(F.broadcast(listed), "_g").select("_g", "_x", "_y", closest.alias("_best"))
+def _cell_size(level: Column, root_cell: float) -> Column:
+    return F.lit(root_cell) / F.pow(F.lit(float(FANOUT)), level)      # powers of two: cells nest exactly
 
 
-def _cell_counts(stops: DataFrame, size: float) -> DataFrame:
-    cell = [F.floor(F.col(p) / size).alias(c) for p, c in (("_px", "_cx"), ("_py", "_cy"))]
-    return stops.groupBy("_g", *cell).agg(F.count(F.lit(1)).alias("_stops"))
+def _on_levels(stops: DataFrame, deepest: int, root_cell: float) -> DataFrame:
+    """Every place with its cell on each level."""
+    size = _cell_size(F.col("_level"), root_cell)
+    return stops.withColumn("_level", F.explode(F.sequence(F.lit(0), F.lit(deepest)))).withColumns(
+        {"_cx": F.floor(F.col("_px") / size), "_cy": F.floor(F.col("_py") / size)})
 
 
-def _nearer_cells(found: DataFrame, size: float) -> DataFrame:
+def _pyramid(stops: DataFrame, root_cell: float, leaf_limit: int) -> DataFrame:
+    """Occupied cells of the first level and below crowded cells; ``_leaf`` ones are not divided."""
+    counted = (_on_levels(stops, MAX_DEPTH, root_cell).groupBy("_g", "_level", "_cx", "_cy").agg(F.count(F.lit(1)).alias("_n"))
+               .withColumns({"_ux": F.floor(F.col("_cx") / FANOUT), "_uy": F.floor(F.col("_cy") / FANOUT)}))
+    # a parent has at most FANOUT squared cells, which bounds the window
+    around = F.sum("_n").over(Window.partitionBy("_g", "_level", "_ux", "_uy"))
+    return (counted.withColumn("_around", around).filter((F.col("_level") == 0) | (F.col("_around") > leaf_limit))
+            .select("_g", "_level", "_cx", "_cy", "_ux", "_uy",
+                    ((F.col("_n") <= leaf_limit) | (F.col("_level") == MAX_DEPTH)).alias("_leaf")))
+
+
+def _nearer_cells(found: DataFrame, root_cell: float) -> DataFrame:
     """Candidate (spot, cell) rows without the cells that cannot hold the nearest place.
 
     Every cell listed is occupied, so the farthest corner of any candidate
     bounds the nearest place from above.
     """
+    size = _cell_size(F.col("_level"), root_cell)
+
     def reach(at: str, cell: str) -> tuple[Column, Column]:
         low, at = F.col(cell) * size, F.col(at)
         near = F.greatest(low - at, at - (low + size), F.lit(0.0))
@@ -77,30 +79,21 @@ def _nearer_cells(found: DataFrame, size: float) -> DataFrame:
     # The margin keeps cells whose bounds tie within float rounding.
     bound = F.min(_square(fx) + _square(fy)).over(spot) * (1 + 1e-9)
     return (found.withColumns({"_near": _square(nx) + _square(ny), "_bound": bound})
-            .filter(F.col("_near") <= F.col("_bound")).select("_g", "_x", "_y", "_cx", "_cy"))
+            .filter(F.col("_near") <= F.col("_bound")).select("_g", "_x", "_y", "_level", "_cx", "_cy", "_leaf"))
 
 
-def _search_grid(spots: DataFrame, stops: DataFrame, root_cell: float, leaf_limit: int) -> DataFrame:
-    """Branch and bound over occupied cells, coarse to fine.
+def _search(spots: DataFrame, stops: DataFrame, root_cell: float, leaf_limit: int) -> DataFrame:
+    """Branch and bound over the pyramid, coarse to fine, in one plan.
 
-    One count per level reaches the driver: how full the fullest cell is. A
-    crowded cell meets at most FANOUT squared children. The joins are left to
-    Catalyst, which sees the true size of the cells when it runs them.
+    The depth of the stored pyramid is the one number that reaches the driver. A crowded cell meets at most FANOUT
+    squared children. The joins are left to Catalyst, which sees the true size of the cells when it runs them.
     """
-    # Root cells (64 degrees, or 1,000 km) are so large that a group has only the handful its extent covers.
-    roots = _cell_counts(stops, root_cell).drop("_stops")
-    found = _nearer_cells(spots.join(roots, "_g"), root_cell)
-    size = root_cell
-    for _ in range(MAX_DEPTH):
-        size /= FANOUT
-        cells = _cell_counts(stops, size)
-        fullest = cells.agg(F.coalesce(F.max("_stops"), F.lit(0))).first()[0]
-        children = cells.select("_g", "_cx", "_cy", F.floor(F.col("_cx") / FANOUT).alias("_ux"),
-                                F.floor(F.col("_cy") / FANOUT).alias("_uy"))
-        parents = found.withColumnsRenamed({"_cx": "_ux", "_cy": "_uy"})
-        found = _nearer_cells(parents.join(children, ["_g", "_ux", "_uy"]), size)
-        if fullest <= leaf_limit:
-            break
-    leaves = stops.withColumns({"_cx": F.floor(F.col("_px") / size), "_cy": F.floor(F.col("_py") / size)})
-    return found.join(leaves, ["_g", "_cx", "_cy"]).groupBy("_g", "_x", "_y").agg(
+    cells = stage(_pyramid(stops, root_cell, leaf_limit), "cells")
+    depth = cells.agg(F.coalesce(F.max("_level"), F.lit(0))).first()[0]
+    found = _nearer_cells(spots.join(cells.filter("_level = 0").drop("_ux", "_uy"), "_g"), root_cell)
+    for level in range(1, depth + 1):
+        open_cells = found.filter(~F.col("_leaf")).drop("_level", "_leaf").withColumnsRenamed({"_cx": "_ux", "_cy": "_uy"})
+        divided = open_cells.join(cells.filter(F.col("_level") == level), ["_g", "_ux", "_uy"])
+        found = _nearer_cells(found.filter("_leaf").unionByName(divided.drop("_ux", "_uy")), root_cell)
+    return found.join(_on_levels(stops, depth, root_cell), ["_g", "_level", "_cx", "_cy"]).groupBy("_g", "_x", "_y").agg(
         F.min(_candidate(F.col("_px"), F.col("_py"), F.col("_id"))).alias("_best"))

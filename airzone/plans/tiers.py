@@ -8,6 +8,7 @@ from airzone.functions.labels import tier
 from airzone.functions.numeric import round_half_up
 from airzone.functions.polygon import position_in, zone_edges
 from airzone.functions.wkt import dimensions_of, kind_of
+from airzone.operators.zones import zones_of
 
 # Reference systems and type names of the spatial tables.
 POINT_SRID, ZONE_SRID = 27700, 4326
@@ -43,6 +44,16 @@ def ward_tiers(wards: DataFrame, zone: DataFrame) -> DataFrame:
     return with_tier(wards, zone, straddle=True)
 
 
+def ward_of_site(sites: DataFrame, boundaries: DataFrame) -> DataFrame:
+    """Wards whose outline holds a site; wards overlap, and a site outside all of them has no row."""
+    return zones_of(sites.select("site_id", "longitude", "latitude"), boundaries, "wd23cd").select("site_id", "wd23cd", "on_edge")
+
+
+def wards_about(wards: DataFrame, boundaries: DataFrame) -> DataFrame:
+    """Outlines that hold a ward's point, its own among them."""
+    return zones_of(wards.select("area_code", "longitude", "latitude"), boundaries, "wd23cd").select("area_code", "wd23cd", "on_edge")
+
+
 def tier_distribution(entities: dict[str, DataFrame]) -> DataFrame:
     """Count and distance range of each entity type's tiers."""
     frames = [df.groupBy("caz_tier").agg(

@@ -87,6 +87,18 @@ points AS (SELECT id, part, ring, i AS seq, CAST(split_part(string_split(body, '
   (SELECT id, part, ring, body, unnest(range(1, len(string_split(body, ',')) + 1)) AS i FROM ring_rows))"""
 
 
+def held(source: str, key: str) -> str:
+    """CTEs ending in ``held(key, id, edge, odd)``: every place beside every outline; needs ``points``."""
+    return f"""{projection(source, source, key)},
+{projection('corner', 'points', 'id, part, ring, seq', 'x', 'y')},
+sides AS (SELECT id, part, ring, x_m AS x1, y_m AS y1, lead(x_m) OVER w AS x2, lead(y_m) OVER w AS y2
+  FROM corner_xy WINDOW w AS (PARTITION BY id, part, ring ORDER BY seq)),
+held AS (SELECT {key}, id, min(sqrt(pow(x_m - x1 - t*(x2 - x1), 2) + pow(y_m - y1 - t*(y2 - y1), 2))) AS edge,
+    count(*) FILTER ((y1 > y_m) <> (y2 > y_m) AND x_m < (x2 - x1)*(y_m - y1)/(y2 - y1) + x1) % 2 = 1 AS odd
+  FROM (SELECT *, greatest(0.0, least(1.0, ((x_m - x1)*(x2 - x1) + (y_m - y1)*(y2 - y1))
+          / (pow(x2 - x1, 2) + pow(y2 - y1, 2)))) AS t FROM {source}_xy CROSS JOIN sides WHERE x2 IS NOT NULL) GROUP BY {key}, id)"""
+
+
 # Squared distance of v from the chord a-b; from a itself when the chord has no length.
 _T = ("greatest(0.0, least(1.0, coalesce(((v.x - a.x)*(b.x - a.x) + (v.y - a.y)*(b.y - a.y))"
       " / nullif((b.x - a.x)*(b.x - a.x) + (b.y - a.y)*(b.y - a.y), 0), 0)))")

@@ -1,6 +1,7 @@
 import numpy as np
 import pytest
 
+from airzone.operators import nearest
 from airzone.operators.nearest import nearest_place
 from airzone.plans import annual
 
@@ -21,9 +22,8 @@ def scattered(rng, n, spread):
 
 
 @pytest.mark.parametrize("broadcast", [True, False])
-@pytest.mark.parametrize("options", [{}, {"direct_limit": 0}, {"direct_limit": 0, "leaf_limit": 1},
-                                     {"direct_limit": 0, "root_cell": 1.0}])
-def test_all_methods_match_brute_force(spark, options, broadcast, no_broadcast):
+@pytest.mark.parametrize("options", [{}, {"leaf_limit": 8}, {"root_cell": 1.0, "leaf_limit": 2}])
+def test_any_pyramid_matches_brute_force(spark, options, broadcast, no_broadcast):
     if not broadcast:
         no_broadcast()
     rng = np.random.default_rng(11)
@@ -75,5 +75,17 @@ def test_metric_changes_the_answer(spark, rows):
         ("north", "n", "BACKGROUND", 52.1, -2.0)], SITES)
     years = site_years(spark, [("t", 2020, 5), ("east", 2020, 9), ("north", 2020, 9)])
     assert rows(annual.nearest_reference(years, sites)) == [("t", 2020, "north")]
-    for options in ({}, {"direct_limit": 0}):
+    for options in ({}, {"leaf_limit": 1, "root_cell": 4096.0}):
         assert rows(annual.nearest_reference(years, sites, metric="bng", **options)) == [("t", 2020, "east")]
+
+
+def test_cells_exist_below_crowded_ones_only(spark):
+    rng = np.random.default_rng(2)
+    spots = scattered(rng, 200, 0.01) + scattered(rng, 5, 20.0)
+    stops = spark.createDataFrame([(1, i, x, y) for i, (x, y) in enumerate(spots)], "_g int, _id int, _px double, _py double")
+    cells = nearest._pyramid(stops, 64.0, 16).collect()
+    held = lambda c: sum(np.floor(x / 64 * 8 ** c["_level"]) == c["_cx"] and np.floor(y / 64 * 8 ** c["_level"]) == c["_cy"] for x, y in spots)
+    size = {(c["_level"], c["_cx"], c["_cy"]): held(c) for c in cells}
+    assert all(c["_leaf"] == (size[c["_level"], c["_cx"], c["_cy"]] <= 16) for c in cells)
+    assert all(size[c["_level"] - 1, c["_ux"], c["_uy"]] > 16 for c in cells if c["_level"])
+    assert sum(size[c["_level"], c["_cx"], c["_cy"]] for c in cells if c["_leaf"]) == len(spots)

@@ -2,8 +2,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from airzone.functions import wkt
+from airzone.functions import polygon, wkt
 from airzone.functions.geodesy import with_bng
+from airzone.operators import zones
 from airzone.operators.simplify import kept_vertices
 from airzone.plans import layers, tiers
 from airzone.sources import dimensions
@@ -130,3 +131,44 @@ def test_map_layers_pad_missing_columns(spark):
     got = {r["map_id"]: r for r in layers.map_layer_wards(outlines, dim).collect()}
     assert got["1. Inside CAZ"]["map_label"] == "CAZ Tier 1. Inside CAZ" and got["1. Inside CAZ"]["area_code"] is None
     assert got["W1"]["layer_type"] == "Ward Boundary" and got["5. Outer"]["wkt_geometry"] is None
+
+
+def square(x, y, size, hole=None):
+    ring = lambda a, b, s: f"({a} {b}, {a + s} {b}, {a + s} {b + s}, {a} {b + s}, {a} {b})"
+    return ring(x, y, size) + (f", {ring(*hole)}" if hole else "")
+
+
+ZONES = {"small": f"POLYGON({square(-1.9, 52.4, 0.01)})", "huge": f"POLYGON({square(-4.0, 50.5, 3.5)})",
+         "holed": f"POLYGON({square(-1.95, 52.35, 0.1, (-1.91, 52.39, 0.03))})",
+         "parts": f"MULTIPOLYGON(({square(-1.9, 52.4, 0.004)}), ({square(0.5, 51.0, 0.2)}))", "empty": "POLYGON EMPTY", "none": None}
+
+
+@pytest.mark.parametrize("broadcast", [True, False])
+def test_zones_of_points_match_each_zone_alone(spark, broadcast, no_broadcast):
+    if not broadcast:
+        no_broadcast()
+    rng = np.random.default_rng(5)
+    spots = [(float(a), float(b)) for a, b in zip(rng.uniform(-1.96, -1.84, 150), rng.uniform(52.34, 52.46, 150))]
+    spots += [(-1.9, 52.4), (0.6, 51.1), (-3.0, 51.0), (5.0, 60.0), (None, 52.0), (-1.9, None), (-1.905, 52.395)]
+    points = spark.createDataFrame([(i, lon, lat, "x") for i, (lon, lat) in enumerate(spots)], "id int, longitude double, latitude double, level string")
+    zones_df = spark.createDataFrame(list(ZONES.items()), "name string, wkt string")
+    got = zones.zones_of(points, zones_df, "name")
+    assert got.columns == ["id", "longitude", "latitude", "level", "name", "on_edge"]
+    want = set()
+    for name, text in ZONES.items():
+        if text and "(" in text:
+            alone = tiers.ward_tiers(points, dimensions.zone(spark, name, text)).collect()
+            want |= {(r.id, name) for r in alone if r.caz_tier[:1] == "1" or "Straddles" in r.caz_tier}
+    found = [(r.id, r.name) for r in got.collect()]
+    assert len(found) == len(set(found)) and set(found) == want and len({n for _, n in found}) == 4
+    assert {r.name for r in got.filter("on_edge").collect()} == {"small", "parts"}
+    assert zones.zones_of(points.limit(0), zones_df, "name").count() == 0 and zones.zones_of(points, zones_df.limit(0), "name").count() == 0
+
+
+def test_a_zone_of_any_size_has_few_cells_and_no_nested_loop(spark):
+    frame = spark.createDataFrame(list(ZONES.items()), "name string, wkt string")
+    cells = zones.zone_cells(polygon.zone_edges(frame, "name"), "name")
+    assert max(r["count"] for r in cells.groupBy("name").count().collect()) <= (zones.ACROSS + 2) ** 2
+    points = spark.createDataFrame([(1, -1.9, 52.4)], "id int, longitude double, latitude double")
+    plan = zones.zones_of(points, frame, "name")._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
