@@ -10,10 +10,13 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from airzone import constants as C
+from airzone.functions.calendar import fiscal_year
 from airzone.functions.geodesy import with_bng
 from airzone.functions.numeric import round_half_up
 from airzone.functions.wkt import vertices
 from airzone.operators import audits, keys
+from airzone.operators.sketches import rank_error
 from airzone.plans import annual, constraints, layers, profiles, quality, tiers, traffic
 from airzone.sources import dimensions, files, schemas, tables
 from oracle.inputs import Inputs
@@ -126,8 +129,10 @@ def _definitions() -> dict[str, Callable[[Inputs], DataFrame]]:
     q["annualised_means_fy"] = lambda t: _comparable(t.annualised("fiscal"))
     q["valid_site_years"] = lambda t: t.valid
     q["p998_by_site_year"] = lambda t: _comparable(annual.p998_by_site_year(t.readings), p998_no2_value=4)
+    q["p998_sketch_audit"] = lambda t: _sketch_audit(t, "calendar")
+    q["p998_sketch_audit_fy"] = lambda t: _sketch_audit(t, "fiscal")
     q["site_yearly_summary"] = lambda t: _comparable(annual.site_yearly_summary(
-        t.annualised(), annual.p998_by_site_year(t.readings)), p998_no2_value=4)
+        tables.stage(t.annualised(), "annualised"), t.readings), p998_no2_value=4)
     q["site_yearly_summary_fy"] = lambda t: _comparable(annual.site_yearly_summary_fy(t.annualised("fiscal")))
 
     # Traffic.
@@ -138,11 +143,14 @@ def _definitions() -> dict[str, Callable[[Inputs], DataFrame]]:
 
     # Peaks and profiles.
     q["top_n_peaks"] = lambda t: profiles.top_n_peaks(t.readings, t.valid)
-    q["hourly_monthly_profile"] = lambda t: _comparable(profiles.hourly_profile(t.readings, t.valid))
+    q["hourly_monthly_profile"] = lambda t: _comparable(profiles.hourly_profile(
+        profiles.profile_state(t.readings, weekly=False), t.valid))
     q["hourly_weekly_profile"] = lambda t: _comparable(
-        profiles.hourly_profile(t.readings, t.valid, weekly=True))
+        profiles.hourly_profile(profiles.profile_state(t.readings), t.valid, weekly=True))
     q["hourly_weekly_profile_padded"] = lambda t: _comparable(
-        profiles.hourly_profile(t.readings, t.valid, weekly=True, padded_names=True))
+        profiles.hourly_profile(profiles.profile_state(t.readings), t.valid, weekly=True, padded_names=True))
+
+    q["hourly_profile_from_state"] = lambda t: _comparable(profiles.hourly_profile(t.profile_state, t.valid))
 
     # Places and maps.
     q["project_points"] = lambda t: _comparable(
@@ -171,6 +179,19 @@ def _ratios(t: Inputs) -> DataFrame:
     return annual.annualisation_ratios(years, annual.nearest_reference(years, t.sites))
 
 
+def _sketch_audit(t: Inputs, period: str) -> DataFrame:
+    """Whether the rank of every site-year's sketched percentile is within the stated error."""
+    year = annual.PERIOD_COLUMN[period]
+    sketched = annual.p998_approx(t.sketches, period)
+    at = fiscal_year(F.col("date_time")) if period == "fiscal" else F.year("date_time")
+    ranked = (t.readings.filter("no2 >= -1").select("site_id", at.alias(year), "no2").join(sketched, ["site_id", year])
+              .groupBy("site_id", year, "n").agg(F.count(F.lit(1)).alias("readings"), F.count_if(F.col("no2") < F.col("p998_no2_value")).alias("below"),
+                                                 F.count_if(F.col("no2") <= F.col("p998_no2_value")).alias("up_to")))
+    share, error = F.lit(C.PEAK_QUANTILE) * F.col("readings"), F.lit(rank_error()) * F.col("readings")
+    return ranked.select("site_id", year, "n", (F.col("n") == F.col("readings")).alias("complete"),
+                         ((F.col("below") - 1 <= share + error) & (F.col("up_to") + 1 >= share - error)).alias("within_error"))
+
+
 def _appended(t: Inputs) -> DataFrame:
     """Half of the sites loaded into a stored fact, then everything, then everything again."""
     path = tables.new_path(t.spark, "readings")
@@ -182,7 +203,7 @@ def _appended(t: Inputs) -> DataFrame:
 def _stored(t: Inputs) -> DataFrame:
     """The monthly profile written by year, sorted for pruning, and read back."""
     path = tables.new_path(t.spark, "hourly_monthly_profile")
-    tables.write_table(profiles.hourly_profile(t.readings, t.valid), path,
+    tables.write_table(profiles.hourly_profile(profiles.profile_state(t.readings, weekly=False), t.valid), path,
                        partition_by=["year"], sort_by=["site_id", "month", "hour"])
     return _comparable(tables.read_table(t.spark, path))
 

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 RING_TYPE = "struct<xs:array<double>,ys:array<double>>"
+#: Ordinates from here on are not coordinates, and would not fit the decimals they are written with.
+LARGEST = 1e15
 GEOMETRY_TYPE = f"array<array<{RING_TYPE}>>"
 
 
@@ -30,18 +32,26 @@ def dimensions_of(wkt: Column) -> Column:
 
 def _ring(text: Column) -> Column:
     vertices = F.split(text, ",")
-    x = F.transform(vertices, lambda v: F.substring_index(v, " ", 1).cast("double"))
-    y = F.transform(vertices, lambda v: F.substring_index(F.substring_index(v, " ", 2), " ", -1).cast("double"))
+    x = F.transform(vertices, lambda v: F.substring_index(v, " ", 1).try_cast("double"))
+    y = F.transform(vertices, lambda v: F.substring_index(F.substring_index(v, " ", 2), " ", -1).try_cast("double"))
     return F.struct(x.alias("xs"), y.alias("ys"))
 
 
 def parse_wkt(wkt: Column) -> Column:
-    """Points, polygons and multipolygons to nested rings; NULL for NULL or EMPTY."""
+    """Points, polygons and multipolygons to nested rings; NULL for NULL, EMPTY and text with a vertex that is no pair of
+    numbers below ``LARGEST``."""
     inner = F.regexp_replace(_compact_body(wkt), r"^\(+|\)+$", "")
     parts = F.transform(
         F.split(inner, r"\)\),\(\("),
         lambda part: F.transform(F.split(part, r"\),\("), _ring))
-    return F.when(wkt.rlike(r"\("), parts)
+    sound = lambda v: F.coalesce(F.abs(v) < LARGEST, F.lit(False))
+    return F.when(wkt.rlike(r"\("), F.transform(F.array(parts), lambda g: F.when(
+        F.forall(F.flatten(g), lambda ring: F.forall(F.concat(ring["xs"], ring["ys"]), sound)), g))[0])
+
+
+def malformed(wkt: Column) -> Column:
+    """Whether text holds vertices but cannot be read."""
+    return wkt.rlike(r"\(") & parse_wkt(wkt).isNull()
 
 
 def number_text(value: Column, digits: int) -> Column:

@@ -32,10 +32,11 @@ def grouped_quantiles(df: DataFrame, keys: Sequence[str], value: str, quantiles:
     semi join with the stored list. Catalyst knows its size: a short list goes to
     the rows ahead of the count, a long one meets the counted values. What is left
     goes to a finer histogram and then to a sort.
-    Rows with a NULL key or value are ignored.
+    NULL is a key like any other; rows with a NULL value are ignored.
     """
-    known = reduce(Column.__and__, [F.col(n).isNotNull() for n in [*keys, value]])
-    values = df.filter(known).select(*keys, F.col(value).cast("double").alias("_v"))
+    # as one struct, keys with NULL in them meet in joins too
+    values = df.filter(F.col(value).isNotNull()).select(F.struct(*keys).alias("_k"), F.col(value).cast("double").alias("_v"))
+    named, keys = list(keys), ["_k"]
 
     def position(q: float) -> Column:
         return (F.col("_n") - 1) * F.lit(q)
@@ -79,4 +80,4 @@ def grouped_quantiles(df: DataFrame, keys: Sequence[str], value: str, quantiles:
         low, high, at_rank = F.col(f"_lo{i}"), F.col(f"_hi{i}"), position(q)
         return F.when(low == high, low).otherwise(low + (high - low) * (at_rank - F.floor(at_rank)))
 
-    return ends.select(*keys, *[between(i, q).alias(name) for i, (name, q) in enumerate(quantiles.items())])
+    return ends.select(*[F.col("_k")[n].alias(n) for n in named], *[between(i, q).alias(name) for i, (name, q) in enumerate(quantiles.items())])

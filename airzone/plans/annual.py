@@ -13,6 +13,7 @@ from airzone.functions.calendar import fiscal_year_of, month_hours
 from airzone.functions.labels import capture_status, percentile_directive, percentile_status
 from airzone.functions.numeric import percent, round_half_up
 from airzone.functions.geodesy import with_bng
+from airzone.operators import sketches
 from airzone.operators.nearest import nearest_place
 from airzone.operators.quantiles import grouped_quantiles
 
@@ -179,21 +180,42 @@ def annualised_means(site_years: DataFrame, sites: DataFrame, mapping: DataFrame
                     "assigned_reference_site_id", round_half_up(mean, 2).alias("final_annualised_mean")))
 
 
-def p998_by_site_year(readings: DataFrame, *, floor: float = C.SENTINEL_FLOOR,
+def _peak_values(readings: DataFrame, floor: float) -> DataFrame:
+    return (readings.filter(F.col("no2") >= floor)
+            .select("site_id", F.year("date_time").alias("reading_year"), F.month("date_time").alias("reading_month"), "no2"))
+
+
+def p998_by_site_year(readings: DataFrame, wanted: DataFrame | None = None, *, floor: float = C.SENTINEL_FLOOR,
                       quantile: float = C.PEAK_QUANTILE) -> DataFrame:
-    """Interpolated peak percentile of the valid readings of each site-year."""
-    valid = (readings.filter(F.col("no2") >= floor)
-             .select("site_id", F.year("date_time").alias("reading_year"), "no2"))
+    """Interpolated peak percentile of the valid readings of each site-year, or of those in ``wanted`` only."""
+    valid = _peak_values(readings, floor).drop("reading_month")
+    if wanted is not None:
+        valid = valid.join(wanted.select("site_id", "reading_year"), ["site_id", "reading_year"], "left_semi")
     return grouped_quantiles(valid, ["site_id", "reading_year"], "no2", {"p998_no2_value": quantile})
 
 
-def site_yearly_summary(annualised: DataFrame, percentiles: DataFrame) -> DataFrame:
-    """Annual mean beside the peak percentile, which only usable years may show."""
-    usable = F.col("laqm_annual_mean_status").startswith(C.PASS_PREFIX)
-    return (annualised.join(percentiles, ["site_id", "reading_year"], "left")
+def monthly_sketches(readings: DataFrame, *, floor: float = C.SENTINEL_FLOOR, k: int = sketches.K) -> DataFrame:
+    """A sketch of the valid readings of each site and month, from which years of any kind are merged."""
+    return sketches.sketched(_peak_values(readings, floor), ["site_id", "reading_year", "reading_month"], "no2", k=k)
+
+
+def p998_approx(months: DataFrame, period: str = "calendar", *, quantile: float = C.PEAK_QUANTILE) -> DataFrame:
+    """Peak percentile of each site's calendar or fiscal year from ``monthly_sketches``, within their rank error."""
+    year = PERIOD_COLUMN[period]
+    kept = months if period == "calendar" else months.withColumn(
+        year, fiscal_year_of(F.col("reading_year"), F.col("reading_month")))
+    return sketches.quantiles(sketches.merged(kept, ["site_id", year]), ["site_id", year], {"p998_no2_value": quantile})
+
+
+def site_yearly_summary(annualised: DataFrame, readings: DataFrame) -> DataFrame:
+    """Annual mean beside the peak percentile, which is worked out for usable years only.
+
+    ``annualised`` should be a stored table: the usable years are read before every pass over the readings.
+    """
+    usable = annualised.filter(F.col("laqm_annual_mean_status").startswith(C.PASS_PREFIX))
+    return (annualised.join(p998_by_site_year(readings, usable), ["site_id", "reading_year"], "left")
             .select("site_id", "site_name", F.col("reading_year").alias("year"),
-                    F.col("final_annualised_mean").alias("annualised_mean"), "laqm_annual_mean_status",
-                    F.when(usable, F.col("p998_no2_value")).alias("p998_no2_value")))
+                    F.col("final_annualised_mean").alias("annualised_mean"), "laqm_annual_mean_status", "p998_no2_value"))
 
 
 def site_yearly_summary_fy(annualised_fy: DataFrame) -> DataFrame:

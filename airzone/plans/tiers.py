@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from airzone.functions.labels import tier
 from airzone.functions.numeric import round_half_up
 from airzone.functions.polygon import position_in, zone_edges
-from airzone.functions.wkt import dimensions_of, kind_of
+from airzone.functions.wkt import dimensions_of, kind_of, malformed
 from airzone.operators.zones import zones_of
 
 # Reference systems and type names of the spatial tables.
@@ -87,3 +87,8 @@ def outline_audit(geometries: DataFrame, key: str, wkt: str, table: str, srid: i
                                dimensions_of(F.col(wkt)).alias("dimensions"),
                                _type_name(F.col(wkt)).alias("geom_type"))
             .agg(F.count(key).alias("geometries")))
+
+
+def malformed_outlines(geometries: DataFrame, key: str, wkt: str) -> DataFrame:
+    """Rows whose outline cannot be read; the map layers and zones show them without a geometry."""
+    return geometries.filter(malformed(F.col(wkt))).select(key, wkt)

@@ -88,8 +88,7 @@ def _build_annual(house: Warehouse, base: BaseTables) -> None:
         mapping = house.refresh(f"stg_reference_mapping{suffix}", annual.nearest_reference(years, sites, period))
         house.refresh(f"stg_final_annualised_means{suffix}",
                       annual.annualised_means(years, sites, mapping, period))
-    house.refresh("analytics_site_yearly_summary", annual.site_yearly_summary(
-        house.tables["stg_final_annualised_means"], annual.p998_by_site_year(base.readings)))
+    house.refresh("analytics_site_yearly_summary", annual.site_yearly_summary(house.tables["stg_final_annualised_means"], base.readings))
     house.view("analytics_site_yearly_summary_fy",
                annual.site_yearly_summary_fy(house.tables["stg_final_annualised_means_fy"]))
 
@@ -99,10 +98,10 @@ def _build_profiles(house: Warehouse, base: BaseTables) -> None:
     lookup = ["site_id", "month"]
     house.refresh("analytics_top19_hourly_peaks", profiles.top_n_peaks(base.readings, valid),
                   partition_by=["year"], sort_by=["site_id", "peak_rank"])
-    house.refresh("analytics_site_hourly_monthly_profiles", profiles.hourly_profile(base.readings, valid),
+    state = house.refresh("stg_profile_state", profiles.profile_state(base.readings), partition_by=["year"], sort_by=lookup)
+    house.refresh("analytics_site_hourly_monthly_profiles", profiles.hourly_profile(state, valid),
                   partition_by=["year"], sort_by=[*lookup, "hour"])
-    house.refresh("analytics_site_hourly_weekly_profiles",
-                  profiles.hourly_profile(base.readings, valid, weekly=True),
+    house.refresh("analytics_site_hourly_weekly_profiles", profiles.hourly_profile(state, valid, weekly=True),
                   partition_by=["year"], sort_by=[*lookup, "day_of_week_num", "hour"])
 
 

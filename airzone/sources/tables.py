@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from functools import cache
 from uuid import uuid4
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -72,6 +73,9 @@ def append_table(df: DataFrame, path: str, *, partition_by: Sequence[str] = (),
 
 def read_if_there(spark: SparkSession, path: str, schema: str) -> DataFrame | None:
     """The table at ``path``, or None before its first load."""
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    there = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop)
-    return spark.read.schema(schema).parquet(path) if there else None
+    try:
+        return spark.read.schema(schema).parquet(path)
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None

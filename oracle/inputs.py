@@ -7,7 +7,7 @@ from functools import cached_property, reduce
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from airzone.operators.audits import orphans
-from airzone.plans import annual, layers, tiers, traffic as fleet
+from airzone.plans import annual, layers, profiles, tiers, traffic as fleet
 from airzone.sources import dimensions, files, schemas, tables
 from oracle import bindings
 
@@ -86,6 +86,17 @@ class Inputs:
         metrics = annual.site_yearly_metrics(annual.site_years(self.monthly), self.sites)
         return annual.valid_site_years(metrics)
 
+    @cached_property
+    def sketches(self) -> DataFrame:
+        """Stored: calendar and fiscal years are merged from them."""
+        return tables.stage(annual.monthly_sketches(self.readings), "sketches")
+
+    @cached_property
+    def profile_state(self) -> DataFrame:
+        """Merged from the stored states of two batches of readings."""
+        early = F.dayofmonth("date_time") < 16
+        return profiles.merged_state(*[tables.stage(profiles.profile_state(self.readings.filter(part)), "profile-state") for part in (early, ~early)])
+
     @cached_property
     def imputed(self) -> DataFrame:
         """Stored counts: imputation reads its input twice, and the yearly summary reads that twice."""

@@ -92,7 +92,7 @@ def test_summary_hides_percentile_of_unusable_years(spark):
     years = annual.site_years(annual.monthly_means(readings))
     final = annual.annualised_means(years, dim, annual.nearest_reference(years, dim))
     got = {r["site_id"]: r["p998_no2_value"] for r in
-           annual.site_yearly_summary(final, annual.p998_by_site_year(readings)).collect()}
+           annual.site_yearly_summary(final, readings).collect()}
     assert got == {"a": 50.0, "b": None}
 
 
@@ -103,7 +103,7 @@ def test_peaks_and_profiles_use_only_passing_years(spark, rows):
         annual.site_years(annual.monthly_means(readings), threshold=0.5), dim))
     peaks = profiles.top_n_peaks(readings, valid, n=3)
     assert rows(peaks, "site_id", "month", "hour", "peak_rank") == [("a", 8, 0, 3), ("a", 9, 0, 1), ("a", 9, 1, 2)]
-    weekly = profiles.hourly_profile(readings, valid, weekly=True)
+    weekly = profiles.hourly_profile(profiles.profile_state(readings), valid, weekly=True)
     assert weekly.count() == 18                                            # the sentinel hour is gone
     first = weekly.filter("month = 1 and hour = 0").first()
     assert (first["day_of_week_num"], first["day_of_week_name"], first["sample_count"]) == (1, "Monday", 1)

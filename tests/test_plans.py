@@ -26,7 +26,7 @@ def inputs(spark, folder):
 
 
 def test_filters_and_columns_reach_the_scan(stored, inputs):
-    for frame in (profiles.hourly_profile(stored, inputs.valid), profiles.top_n_peaks(stored, inputs.valid),
+    for frame in (profiles.hourly_profile(profiles.profile_state(stored, weekly=False), inputs.valid), profiles.top_n_peaks(stored, inputs.valid),
                   annual.p998_by_site_year(stored)):
         scan = next(line for line in plan_of(frame).splitlines() if "FileScan" in line and "no2" in line)
         assert "GreaterThanOrEqual(no2,-1.0)" in scan

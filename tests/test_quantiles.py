@@ -2,6 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from airzone.operators import sketches
 from airzone.operators.quantiles import grouped_quantiles
 
 
@@ -71,3 +72,30 @@ def test_not_a_number_and_infinity_sort_last(spark):
     frame = spark.createDataFrame([("a", v) for v in (-inf, 1.0, 2.0, inf, nan)], "k string, v double")
     got = grouped_quantiles(frame, ["k"], "v", {"lo": 0.0, "q1": 0.25, "q3": 0.75, "hi": 1.0}).first()
     assert (got["q1"], got["q3"]) == (1.0, inf)
+
+
+def test_null_is_a_key_like_any_other(spark, no_broadcast):
+    data = [(None, "x", 1.0), (None, "x", 3.0), ("a", None, 5.0), (None, None, 7.0), ("a", "x", None), ("a", None, 6.0)]
+    frame = spark.createDataFrame(data, "k string, m string, v double")
+    for _ in range(2):
+        got = {(r["k"], r["m"]): r["p"] for r in grouped_quantiles(frame, ["k", "m"], "v", {"p": 0.5}).collect()}
+        assert got == {(None, "x"): 2.0, ("a", None): 5.5, (None, None): 7.0}
+        no_broadcast()
+
+
+def test_sketches_stay_within_their_error_and_merge(spark):
+    rng = np.random.default_rng(9)
+    values = {(g, m): rng.gamma(2, 20, n) for g, m, n in [("a", 1, 9000), ("a", 2, 40_000), ("b", 1, 3), ("b", 2, 700), ("c", 1, 25_000)]}
+    frame = spark.createDataFrame([(g, m, float(v)) for (g, m), many in values.items() for v in many] + [("c", 1, None), ("c", 1, float("nan")), ("d", 1, None)],
+                                  "g string, m int, v double").repartition(6)
+    for k in (200, sketches.K):
+        fine = sketches.sketched(frame, ["g", "m"], "v", k=k)
+        rows = sketches.quantiles(sketches.merged(fine, ["g"]), ["g"], {"median": 0.5, "p998": 0.998}).collect()
+        assert {r["g"]: r["n"] for r in rows} == {"a": 49_000, "b": 703, "c": 25_000}
+        for r in rows:
+            whole = np.sort(np.concatenate([v for (g, _), v in values.items() if g == r["g"]]))
+            for name, q in (("median", 0.5), ("p998", 0.998)):
+                low, high = np.searchsorted(whole, r[name], "left"), np.searchsorted(whole, r[name], "right")
+                room = 1 + 1.5 * sketches.rank_error(k) * len(whole)      # the error holds for 99 of 100 sketches
+                assert low - room <= q * len(whole) <= high + room, (k, r["g"], name)
+    assert sketches.rank_error(sketches.K) < 0.001

@@ -172,3 +172,15 @@ def test_a_zone_of_any_size_has_few_cells_and_no_nested_loop(spark):
     points = spark.createDataFrame([(1, -1.9, 52.4)], "id int, longitude double, latitude double")
     plan = zones.zones_of(points, frame, "name")._jdf.queryExecution().executedPlan().toString()
     assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_malformed_outlines_become_null_and_are_listed(spark):
+    texts = {"words": "POLYGON((a b, c d, e f, a b))", "vast": "POLYGON((1e30 1, 2 2, 3 1, 1e30 1))", "short": "POLYGON((1, 2 2, 3 1, 1))", "nan": "POLYGON((NaN 1, 2 2, 3 1, NaN 1))",
+             "good": "POLYGON((1.234567 1, 2 2, 3 1, 1.234567 1))", "empty": "POLYGON EMPTY", "null": None}
+    frame = spark.createDataFrame(list(texts.items()), "name string, wkt string")
+    assert {r.name for r in tiers.malformed_outlines(frame, "name", "wkt").collect()} >= {"words", "vast", "nan"}
+    shown = {r.name: r.w for r in frame.select("name", layers.rounded_wkt(F.col("wkt"), 4).alias("w")).collect()}
+    assert shown["good"].startswith("POLYGON((1.2346 1,") and not any(shown[n] for n in ("words", "vast", "nan", "empty", "null"))
+    assert {r.name for r in wkt.vertices(frame, "name", "wkt").collect()} - {"short"} == {"good"}
+    point = spark.createDataFrame([(1, 2.0, 1.5)], "id int, longitude double, latitude double")
+    assert "good" in {r.name for r in zones.zones_of(point, frame, "name").collect()}

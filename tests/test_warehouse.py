@@ -1,7 +1,9 @@
 import pytest
+from pyspark.sql import functions as F
 
 from airzone.operators import audits
-from airzone.plans import warehouse
+from airzone.plans import profiles, warehouse
+from airzone.sources import tables
 from oracle.compare import connect, rows_of
 from oracle.inputs import BASELINE_YEAR, Inputs
 import __spark_entry__ as registry
@@ -74,3 +76,20 @@ def test_keys_of_the_derived_tables_are_unique(built):
             "analytics_top19_hourly_peaks": ["site_id", "year", "peak_rank"]}
     audit = audits.key_uniqueness({n: (built.tables[n], k) for n, k in keys.items()})
     assert all(r["surplus_rows"] == 0 and r["null_key_rows"] == 0 for r in audit.collect())
+
+
+def test_both_profiles_come_from_one_stored_state(spark, folder, built):
+    """A whole state equals the merged states of two batches, at either grain."""
+    t = Inputs(spark, folder)
+    state, plain = built.tables["stg_profile_state"].drop("year_"), ["site_id", *profiles.GRAIN, "sample_count", "max_no2"]
+    early = F.dayofmonth("date_time") < 16
+    merged = profiles.merged_state(*[profiles.profile_state(t.readings.filter(part)) for part in (early, ~early)])
+    assert merged.select(*plain).exceptAll(state.select(*plain)).count() == 0 == state.select(*plain).exceptAll(merged.select(*plain)).count() and state.count() > 0
+    monthly = profiles.hourly_profile(profiles.profile_state(t.readings, weekly=False), t.valid)
+    assert rows_of(profiles.hourly_profile(merged, t.valid).collect(), monthly.columns) == rows_of(monthly.collect(), monthly.columns)
+
+
+def test_a_table_that_is_not_there_is_none(spark, tmp_path):
+    assert tables.read_if_there(spark, str(tmp_path / "none"), "a int") is None
+    spark.range(3).write.parquet(str(tmp_path / "some"))
+    assert tables.read_if_there(spark, str(tmp_path / "some"), "id long").count() == 3
