@@ -56,18 +56,20 @@ def codes(units: list[str], width: int) -> np.ndarray:
 def kernel(s: np.ndarray, t: np.ndarray, k: Kernel) -> np.ndarray:
     """Subsequence kernel of the rows of ``s`` with the same rows of ``t``, by the usual three-term recursion."""
     lam = k.decay
-    match = (s[:, :, None] == t[:, None, :]) & (s >= 0)[:, :, None]
-    rows, a, b = match.shape
-    held = np.ones((a + 1, b + 1, rows))
+    # characters first, rows last: both sums of the recursion run over whole planes
+    x, y = np.ascontiguousarray(s.T), np.ascontiguousarray(t.T)
+    weight = lam * lam * ((x[:, None, :] == y[None, :, :]) & (x >= 0)[:, None, :])
+    a, b, rows = weight.shape
+    ending = weight.copy()          # of subsequences of one character, then two, ..., that end in a match
     for _ in range(k.order - 1):
-        new, run = np.zeros((a + 1, b + 1, rows)), np.zeros((b + 1, rows))
-        for i in range(1, a + 1):
-            run = np.zeros((b + 1, rows))
-            for j in range(1, b + 1):
-                run[j] = lam * run[j - 1] + np.where(match[:, i - 1, j - 1], lam * lam * held[i - 1, j - 1], 0)
-            new[i] = lam * new[i - 1] + run
-        held = new
-    return lam * lam * np.einsum("rij,ijr->r", match, held[:a, :b])
+        for j in range(1, b):
+            ending[:, j] += lam * ending[:, j - 1]
+        for i in range(1, a):
+            ending[i] += lam * ending[i - 1]
+        longer = np.zeros_like(ending)
+        np.multiply(weight[1:, 1:], ending[:-1, :-1], out=longer[1:, 1:])
+        ending = longer
+    return ending.sum((0, 1))
 
 
 class Landmarks:
@@ -99,8 +101,8 @@ class Landmarks:
         sizes = np.fromiter(map(len, pieces), int, len(pieces))
         for low, high in ((0, 8), (8, 12), (12, 16), (16, self.k.window)):     # short units need few columns
             some = np.flatnonzero((sizes[p] > low) & (sizes[p] <= high))
-            for at in range(0, len(some), 4096):
-                chosen = some[at:at + 4096]
+            for at in range(0, len(some), 1024):
+                chosen = some[at:at + 1024]
                 x = rows[p[chosen], :high]
                 distinct, back = np.unique(p[chosen], return_inverse=True)
                 own = np.sqrt(kernel(rows[distinct, :high], rows[distinct, :high], self.k))[back]
@@ -268,19 +270,23 @@ def _described(docs: DataFrame, strings: list[str], k: Kernel) -> DataFrame:
     return docs.select("doc_id", "toxic", "text").mapInArrow(run, "doc_id long, toxic int, matches binary")
 
 
-def fitted(labelled: DataFrame, fit: Fit = Fit(), k: Kernel = Kernel()) -> Model | None:
+def fitted(labelled: DataFrame, fit: Fit = Fit(), k: Kernel = Kernel(), texts: DataFrame | None = None) -> Model | None:
     """A model from (doc_id, text, toxic 0 or 1); None where one of the classes is missing.
 
     At most ``fit.per_class`` documents of each class are used, chosen by a hash of the id, and weighted back to the
-    share of their class. A toxic document is trained by its worst sentence as the last model sees it, any other
+    share of their class; of rows that share an id the first text in order is the document's. ``texts`` (doc_id, text)
+    may hold the texts instead: then ``labelled`` need not have any, and only the texts of the sample are moved. A toxic document is trained by its worst sentence as the last model sees it, any other
     by all its sentences.
     """
-    sizes = {r["toxic"]: r["count"] for r in labelled.groupBy("toxic").count().collect()}
+    known = stage(labelled.select("doc_id", "toxic").distinct(), "labelled-ids")
+    sizes = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
     if not sizes.get(0) or not sizes.get(1):
         return None
-    part = [labelled.where(F.col("toxic") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit.per_class) for c in (0, 1)]
-    # a limit leaves one partition; what follows is dealt out again
-    sample = stage(part[0].unionByName(part[1]).repartition(SPREAD, "doc_id"), "labelled-sample")
+    part = [known.where(F.col("toxic") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit.per_class) for c in (0, 1)]
+    # ids of two classes of per_class documents at most
+    chosen = F.broadcast(stage(part[0].unionByName(part[1]), "sample-ids"))
+    given = (labelled if texts is None else texts).select("doc_id", "text")
+    sample = stage(given.join(chosen, "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).repartition(SPREAD, "doc_id"), "labelled-sample")
     strings = choose_landmarks(_candidates(sample, fit), fit, k)
     if not strings:
         return None
@@ -341,6 +347,6 @@ def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, fit: Fi
     named = (labels.select(labels["doc_id"].cast("long").alias("doc_id"), labels["toxic"].cast("int").alias("toxic"))
              .where("doc_id IS NOT NULL AND toxic IN (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("toxic")))
     texts = only(docs, doc_id=docs["doc_id"].cast("long"), text="text").where(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
-    model = fitted(texts.join(named, "doc_id"), fit, k)
+    model = fitted(texts.select("doc_id").join(named, "doc_id"), fit, k, texts)
     return (scored(docs, model).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score",
                                        (F.col("score") >= threshold).cast("int").alias("predicted")))
