@@ -48,11 +48,11 @@ def load_staged_readings(staging: DataFrame, target: DataFrame | None = None, *,
         parsed = parse_timestamp(F.col("date_time"))
         wrong = F.raise_error(F.concat(F.lit("not a timestamp: "), F.coalesce("date_time", F.lit("NULL"))))
         readings = staging.select("site_id", F.coalesce(parsed, wrong.cast("timestamp_ntz")).alias("date_time"), "no2")
-    return unknown_rows(_one_per_hour(readings, floor), target, schemas.KEYS["readings"])
+    return unknown_rows(one_per_hour(readings, floor), target, schemas.KEYS["readings"])
 
 
-def _one_per_hour(readings: DataFrame, floor: float) -> DataFrame:
-    """Two partial minima per map task decide, so repeats are dropped before the shuffle."""
+def one_per_hour(readings: DataFrame, floor: float = C.SENTINEL_FLOOR) -> DataFrame:
+    """A valid reading wins, the smallest of equals. Two partial minima per map task decide, so repeats are dropped before the shuffle."""
     best = F.coalesce(F.min(F.when(F.col("no2") >= floor, F.col("no2"))), F.min("no2"))
     return readings.groupBy(*schemas.KEYS["readings"]).agg(best.alias("no2"))
 

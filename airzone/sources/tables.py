@@ -55,10 +55,11 @@ def write_table(df: DataFrame, path: str, *, partition_by: Sequence[str] = (),
     covers a narrow key range, a hot key spreads over several files, and no
     partition folder is fed by every task.
     """
-    _laid_out(df, [*partition_by, *sort_by]).write.mode("overwrite").partitionBy(*partition_by).parquet(path)
+    laid_out(df, [*partition_by, *sort_by]).write.mode("overwrite").partitionBy(*partition_by).parquet(path)
 
 
-def _laid_out(df: DataFrame, order: Sequence[str]) -> DataFrame:
+def laid_out(df: DataFrame, order: Sequence[str]) -> DataFrame:
+    """``df`` stored once and range-partitioned by ``order``; as it is without one."""
     return stage(df, "layout").repartitionByRange(*order).sortWithinPartitions(*order) if order else df
 
 
@@ -68,7 +69,7 @@ def read_table(spark: SparkSession, path: str) -> DataFrame:
 
 def append_table(df: DataFrame, path: str, *, partition_by: Sequence[str] = (), sort_by: Sequence[str] = ()) -> None:
     """Add rows to a Parquet table with the layout of ``write_table``."""
-    _laid_out(df, [*partition_by, *sort_by]).write.mode("append").partitionBy(*partition_by).parquet(path)
+    laid_out(df, [*partition_by, *sort_by]).write.mode("append").partitionBy(*partition_by).parquet(path)
 
 
 def read_if_there(spark: SparkSession, path: str, schema: str) -> DataFrame | None:

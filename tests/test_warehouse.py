@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 
 from airzone.operators import audits
 from airzone.plans import profiles, warehouse
-from airzone.sources import tables
+from airzone.sources import snapshots, tables
 from oracle.compare import connect, rows_of
 from oracle.inputs import BASELINE_YEAR, Inputs
 import __spark_entry__ as registry
@@ -89,6 +89,31 @@ def test_both_profiles_come_from_one_stored_state(spark, folder, built):
     assert rows_of(profiles.hourly_profile(merged, t.valid).collect(), monthly.columns) == rows_of(monthly.collect(), monthly.columns)
 
 
+def test_an_appended_month_gives_the_tables_of_a_full_build(spark, folder, built, tmp_path):
+    """Only tables' partitions of its year are written; other years keep their files."""
+    t = Inputs(spark, folder)
+    month = (F.year("date_time") == 1996) & (F.month("date_time") == 2)
+    house = warehouse.build(spark, warehouse.BaseTables(t.sites, t.readings.filter(~month), t.traffic, t.wards, t.boundaries, t.zone, t.tiers,
+                                                        t.admissions), str(tmp_path / "house"), baseline_year=BASELINE_YEAR)
+    by_year = ["no2_readings", "stg_monthly_means", "stg_site_years", "stg_final_annualised_means", "analytics_site_yearly_summary",
+               "analytics_top19_hourly_peaks", "stg_profile_state", "analytics_site_hourly_weekly_profiles"]
+    before = {n: set(house.tables[n].inputFiles()) for n in by_year}
+    overlap = t.readings.filter(month | (F.dayofmonth("date_time") == 1))              # known hours come again
+    assert warehouse.add_readings(house, overlap) == [1996]
+    assert warehouse.add_readings(house, overlap) == []
+    for name in by_year:
+        after = set(house.tables[name].inputFiles())
+        assert {f for f in before[name] if "year=1996" not in f} == {f for f in after if "year=1996" not in f}, name
+        assert after != before[name] and snapshots.read(spark, f"{house.folder}/{name}").count() == house.tables[name].count()
+    skipped = ("vw_",)
+    for name, whole in built.tables.items():
+        if name.startswith(skipped):
+            continue
+        columns = [F.round(c, 6).alias(c) if k == "double" else F.transform(c, lambda v: F.round(v, 6)).alias(c) if k == "array<double>" else c
+                   for c, k in whole.dtypes]
+        assert rows_of(house.tables[name].select(*columns).collect(), whole.columns) == rows_of(whole.select(*columns).collect(), whole.columns), name
+
+
 def test_a_table_that_is_not_there_is_none(spark, tmp_path):
     assert tables.read_if_there(spark, str(tmp_path / "none"), "a int") is None
     spark.range(3).write.parquet(str(tmp_path / "some"))
