@@ -18,7 +18,7 @@ from airzone.functions.wkt import vertices
 from airzone.operators import audits, keys
 from airzone.operators.sketches import rank_error
 from airzone.plans import annual, constraints, layers, profiles, quality, tiers, traffic
-from airzone.sources import dimensions, files, schemas, tables
+from airzone.sources import dimensions, files, loading, schemas, tables
 from oracle.inputs import Inputs
 from oracle.sql import ORACLE
 
@@ -77,6 +77,12 @@ def _definitions() -> dict[str, Callable[[Inputs], DataFrame]]:
         .join(t.ward_tiers.groupBy("caz_tier").agg(F.count(F.lit(1)).alias("wards")), "caz_tier", "left")
         .withColumn("wards", F.coalesce("wards", F.lit(0))))
     q["stored_table"] = lambda t: _stored(t)
+    q["load_rejects"] = lambda t: t.loaded().rejects.groupBy(
+        F.split("text", ",")[0].alias("site_id"), "reason").agg(F.count(F.lit(1)).alias("rows"))
+    q["observed_load"] = lambda t: t.spark.createDataFrame([tuple(t.loaded().counts.values())], loading.COUNTS)
+    q["loaded_readings"] = lambda t: t.loaded().readings
+    q["refreshed_means"] = lambda t: _comparable(t.refreshed_means(), monthly_mean=6)
+    q["updated_wards"] = lambda t: _comparable(t.updated_wards(), x_m=2, y_m=2)
 
     # Quality.
     q["duplicate_names"] = lambda t: quality.duplicate_names(t.sites)

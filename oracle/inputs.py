@@ -6,9 +6,10 @@ from functools import cached_property, reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from airzone.functions.geodesy import with_bng
 from airzone.operators.audits import orphans
 from airzone.plans import annual, layers, profiles, tiers, traffic as fleet
-from airzone.sources import dimensions, files, schemas, tables
+from airzone.sources import dimensions, files, loading, schemas, snapshots, tables
 from oracle import bindings
 
 BASELINE_YEAR = 1997      # the test tables end in 2001
@@ -133,9 +134,37 @@ class Inputs:
             piece.write.options(header=True, emptyValue="", ignoreTrailingWhiteSpace=False).csv(path)
         return paths
 
+    @cached_property
+    def broken_csv(self) -> list[str]:
+        """The staging rows as files: sites of remainder 0 by 7 lack a field, those of remainder 1 have a reading that is no number."""
+        rest, rows = F.col("site_id") % 7, self.staging.select(F.col("site_id").cast("string"), "date_time", F.col("no2").cast("string"))
+        spoilt = rows.withColumn("no2", F.when(rest == 1, "many").otherwise(F.col("no2")))
+        return self.csv_copy(spoilt.filter(rest != 0), "staging") + self.csv_copy(rows.filter(rest == 0).drop("no2"), "short-rows")
+
     def text_keys(self, df: DataFrame, key: str) -> DataFrame:
         return df.withColumn(key, F.col(key).cast("string"))
 
+    def loaded(self) -> loading.Load:
+        """The broken files loaded into a fact that has the even sites."""
+        fact, rejects = tables.new_path(self.spark, "fact"), tables.new_path(self.spark, "rejects")
+        even = files.load_staged_readings(self.text_keys(self.staging.filter("site_id % 2 = 0 AND site_id % 7 > 1"), "site_id"), rejects="skip")
+        snapshots.append(even.withColumn("year", F.year("date_time")), fact, partition_by="year")
+        return loading.load_readings(self.spark, self.broken_csv, fact, rejects)
+
+    def refreshed_means(self) -> DataFrame:
+        """Monthly means stored without one month, whose year is then replaced."""
+        path, late = tables.new_path(self.spark, "monthly"), (F.year("date_time") == 1996) & (F.month("date_time") == 2)
+        snapshots.replace_table(annual.monthly_means(self.readings.filter(~late)), path, partition_by="reading_year", sort_by=["site_id"])
+        whole = annual.monthly_means(self.readings.filter(F.year("date_time") == 1996))
+        return snapshots.replace_partitions(whole, path, [1996], sort_by=["site_id"])
+
+    def updated_wards(self) -> DataFrame:
+        """Stored wards whose even ones get projected coordinates and a tier."""
+        path = tables.new_path(self.spark, "wards")
+        snapshots.replace_table(self.wards.withColumn("part", F.pmod("area_code", F.lit(4)).cast("int")), path, partition_by="part")
+        even = with_bng(self.ward_tiers.filter("area_code % 2 = 0"))
+        return snapshots.update_rows(even.select("area_code", "x_m", "y_m", "caz_tier"), path, ["area_code"])
+
     def constraint_audit(self) -> DataFrame:
         """Every declared reference. The summary has one row per site-year of the metrics."""
         years, tier_rows = self.loose("years"), self.loose("tiers")
