@@ -122,6 +122,31 @@ def plausible(x: np.ndarray, y: np.ndarray, n: np.ndarray, m: np.ndarray, sketch
     return out
 
 
+def agreement(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Equal filled registers, and registers filled on either side, of every row of ``x`` with every row of ``y``."""
+    empty = np.iinfo(x.dtype).max          # no register is that large, so an empty one equals nothing
+    right = np.where(y > 0, y, empty)
+    if len(x) * len(y) <= 2048:
+        same = (x[:, None, :] == right[None, :, :]).sum(2)
+    else:
+        same = np.zeros((len(x), len(y)), np.uint8 if x.shape[1] < 256 else np.uint16)
+        for a, b in zip(np.ascontiguousarray(x.T), np.ascontiguousarray(right.T)):
+            same += a[:, None] == b[None, :]
+    fx, fy = (x > 0).astype(np.float32), (y > 0).astype(np.float32)
+    return same, (fx.sum(1)[:, None] + fy.sum(1)[None, :] - fx @ fy.T).round().astype(np.int64)
+
+
+def plausible_pairs(x: np.ndarray, y: np.ndarray, n: np.ndarray, m: np.ndarray, allowed: np.ndarray, sketch: Sketch) -> tuple[np.ndarray, np.ndarray]:
+    """(row of ``x``, row of ``y``) of the ``allowed`` pairs for which ``plausible`` holds."""
+    same, filled = agreement(x, y)
+    sizes = np.maximum(np.arange(sketch.registers + 1), 1)
+    least = sketch.similarity - sketch.slack * np.sqrt(sketch.similarity * (1 - sketch.similarity) / sizes)
+    i, j = np.nonzero(allowed & (same >= (least * sizes)[filled]))
+    kept = [plausible(x[i[at:at + 16_384]], y[j[at:at + 16_384]], n[i[at:at + 16_384]], m[j[at:at + 16_384]], sketch) for at in range(0, len(i), 16_384)]
+    close = np.concatenate(kept) if kept else np.empty(0, bool)
+    return i[close], j[close]
+
+
 def linked(a: np.ndarray, b: np.ndarray, sketch: Sketch) -> bool:
     """Whether two sorted sets reach the similarity, by whole numbers."""
     shared = len(np.intersect1d(a, b, assume_unique=True))
@@ -169,13 +194,17 @@ def _bands(nodes: DataFrame, sketch: Sketch) -> DataFrame:
 PAIRS = "tile long, lefts array<long>, rights array<long>"
 
 
-def _leader_pairs(bands: DataFrame, nodes: DataFrame, sketch: Sketch) -> DataFrame:
-    """Plausible pairs of a node and the smallest node of one of its bands, packed by tile.
+def _led(bands: DataFrame) -> DataFrame:
+    """(node, leader): the smallest node of every band that a node shares with others."""
+    leaders = bands.groupBy("band").agg(F.min("node").alias("leader"), F.count(F.lit(1)).alias("members")).where("members > 1")
+    return bands.join(leaders, "band").where("node != leader").select("node", "leader").distinct()
+
+
+def _leader_pairs(pairs: DataFrame, nodes: DataFrame, sketch: Sketch) -> DataFrame:
+    """The plausible ones of some (node, leader) pairs, packed by tile.
 
     A tile holds pairs of one leader, about ``BLOCK`` at most: a leader of more nodes is dealt over as many tiles as that takes.
     """
-    leaders = bands.groupBy("band").agg(F.min("node").alias("leader"), F.count(F.lit(1)).alias("members")).where("members > 1")
-    pairs = bands.join(leaders, "band").where("node != leader").select("node", "leader").distinct()
     mine = nodes.select(F.col("node"), F.col("n_shingles").alias("n"), F.col("registers").alias("r"))
     theirs = nodes.select(F.col("node").alias("leader"), F.col("n_shingles").alias("m"), F.col("registers").alias("q"))
     fits = F.least("n", "m") * sketch.denominator >= F.greatest("n", "m") * sketch.numerator
@@ -192,8 +221,21 @@ def _leader_pairs(bands: DataFrame, nodes: DataFrame, sketch: Sketch) -> DataFra
     kept = stage(found.select("node", "leader", "n", "m", "r", "q").mapInArrow(run, "node long, leader long"), "leader-pairs")
     crowds = kept.groupBy("leader").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("long").alias("blocks")).where("blocks > 1")
     dealt = picked(kept, crowds, "leader", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1).cast("long")))
-    return dealt.select(F.xxhash64("leader", F.pmod(F.xxhash64("node"), "blocks")).alias("tile"),
-                       F.array("node").alias("lefts"), F.array("leader").alias("rights"))
+    return (dealt.groupBy(F.xxhash64("leader", F.pmod(F.xxhash64("node"), "blocks")).alias("tile"))
+            .agg(F.collect_list("node").alias("lefts"), F.collect_list("leader").alias("rights")))
+
+
+def _leader_links(bands: DataFrame, nodes: DataFrame, docs: DataFrame, sketch: Sketch) -> DataFrame:
+    """Links of nodes with leaders, in two rounds: every node meets its smallest leader first, and its other leaders only
+    as far as the first round has not joined them. So most of a crowd of copies costs one comparison a node, not one a band."""
+    led = stage(_led(bands), "led")
+    first = led.groupBy("node").agg(F.min("leader").alias("leader"))
+    links = stage(_confirmed(_leader_pairs(first, nodes, sketch), nodes, docs, sketch), "first-links")
+    groups = stage(components(links), "first-groups")
+    mine, theirs = groups.withColumnRenamed("component", "c"), groups.withColumnsRenamed({"node": "leader", "component": "d"})
+    others = (led.join(first.withColumnRenamed("leader", "met"), "node").where("leader != met").join(mine, "node", "left").join(theirs, "leader", "left")
+              .where(F.coalesce("c", "node") != F.coalesce("d", "leader")).select("node", "leader"))
+    return links.unionByName(stage(_confirmed(_leader_pairs(others, nodes, sketch), nodes, docs, sketch), "leader-links"))
 
 
 BLOCK = 256
@@ -239,12 +281,10 @@ def _open_pairs(bands: DataFrame, nodes: DataFrame, groups: DataFrame, sketch: S
         ok = (sketch.denominator * low >= sketch.numerator * high) & (comp[left][:, None] != comp[right][None, :])
         if not mixed and one == two:
             ok &= node[left][:, None] < node[right][None, :]
-        every_i, every_j = np.nonzero(ok)
         found: dict[tuple, tuple[list, list]] = {}
+        every_i, every_j = plausible_pairs(regs[left], regs[right], n[left], n[right], ok, sketch) if ok.any() else ((), ())
         for at in range(0, len(every_i), 16_384):
             i, j = left[every_i[at:at + 16_384]], right[every_j[at:at + 16_384]]
-            close = plausible(regs[i], regs[j], n[i], n[j], sketch)
-            i, j = i[close], j[close]
             x, y = (regs[k].reshape(len(k), sketch.registers // sketch.rows, sketch.rows) for k in (i, j))
             first = ((x == y).all(2) & x.any(2)).argmax(1)
             packed = np.zeros(len(i), np.uint64)
@@ -308,8 +348,8 @@ def _confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, sketch: Sket
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sketch: Sketch = Sketch()) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every row of ``docs``.
 
-    Equal sets are one node. Every node is first compared with the smallest node of each of its bands; pairs of
-    nodes that share a band and are still in different components are compared next. As only connection counts,
+    Equal sets are one node. Every node is first compared with the smallest nodes of its bands, as far as it is not yet
+    joined with them; pairs of nodes that share a band and are still in different components are compared next. As only connection counts,
     a group of copies costs about one comparison per copy, and no link between different sets is lost but by the
     chance stated at ``Sketch``.
 
@@ -322,7 +362,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         F.min("doc_id").alias("doc_id"), F.min("n_shingles").alias("n_shingles"), F.min("registers").alias("registers"))
     nodes = stage(groups.withColumn("node", F.monotonically_increasing_id()), "nodes")
     bands = stage(_bands(nodes, sketch), "bands")
-    links = stage(_confirmed(_leader_pairs(bands, nodes, sketch), nodes, docs, sketch), "leader-links")
+    links = _leader_links(bands, nodes, docs, sketch)
     more = stage(_confirmed(_open_pairs(bands, nodes, components(links), sketch), nodes, docs, sketch), "open-links")
     every = links.unionByName(more)
     ids = nodes.select(F.col("node"), F.col("doc_id").alias("rep"))

@@ -3,6 +3,8 @@
 import datetime
 import random
 
+import numpy as np
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -117,7 +119,9 @@ def test_tiles_of_a_leader_stay_small(spark, monkeypatch):
     registers = hyperminhash.registers_of(hyperminhash.shingle_hashes(" ".join(map(str, range(400))).encode(), 3), sketch).tobytes()
     nodes = spark.createDataFrame([(i, 398, bytearray(registers)) for i in range(4010)], "node long, n_shingles long, registers binary")
     bands = nodes.select(F.when(F.col("node") < 4000, 1).otherwise(2).cast("long").alias("band"), "node")
-    sizes = hyperminhash._leader_pairs(bands, nodes, sketch).groupBy("tile", F.col("rights")[0].alias("leader")).count().collect()
+    tiles = hyperminhash._leader_pairs(hyperminhash._led(bands), nodes, sketch)
+    sizes = tiles.select("tile", F.explode("rights").alias("leader")).groupBy("tile", "leader").count().collect()
+    assert tiles.select("tile").distinct().count() == tiles.count()
     assert sum(r["count"] for r in sizes if r.leader == 0) == 3999 and max(r["count"] for r in sizes) <= 40
     assert [r["count"] for r in sizes if r.leader == 4000] == [9]
 
@@ -154,6 +158,33 @@ def test_open_bands_cost_a_row_for_each_copy(spark, monkeypatch):
     assert pairs == {(a, b) for b in (800, 801, 802) for a in range(b)}
 
 
+def test_equal_registers_of_all_pairs_of_a_tile(spark):
+    """The counts of a whole tile equal those of its pairs one by one, few or many, with empty registers."""
+    draw = np.random.default_rng(5)
+    sketch = hyperminhash.Sketch()
+    for a, b in ((1, 1), (3, 7), (90, 130)):
+        x, y = (draw.integers(0, 3, (n, sketch.registers)).astype(np.uint16) for n in (a, b))
+        x[0] = 0
+        same, filled = hyperminhash.agreement(x, y)
+        assert same.shape == (a, b)
+        for i, j in {(0, 0), (a - 1, b - 1), (a // 2, b // 3)}:
+            assert same[i, j] == ((x[i] == y[j]) & (x[i] > 0)).sum() and filled[i, j] == ((x[i] > 0) | (y[j] > 0)).sum()
+        n, m = np.full(a, 100.0), np.full(b, 110.0)
+        i, j = hyperminhash.plausible_pairs(x, y, n, m, np.ones((a, b), bool), sketch)
+        every = [(p, q) for p in range(a) for q in range(b) if hyperminhash.plausible(x[[p]], y[[q]], n[[p]], m[[q]], sketch)[0]]
+        assert list(zip(i.tolist(), j.tolist())) == every
+
+
+def test_a_crowd_meets_its_other_leaders_only_while_unjoined(spark, monkeypatch):
+    """Exact neighbours of the first leader make one pair each; only nodes that it does not join go to a second round."""
+    rounds, real = [], hyperminhash._leader_pairs
+    monkeypatch.setattr(hyperminhash, "_leader_pairs", lambda pairs, *a: (rounds.append(pairs.count()), real(pairs, *a))[1])
+    base = [f"c{i}" for i in range(400)]
+    docs = spark.createDataFrame([(i, " ".join(base + [f"n{i}"])) for i in range(200)], "doc_id long, text string")
+    got = hyperminhash.near_duplicates(docs).collect()
+    assert {r.component_id for r in got} == {0} and rounds[0] == 199 and rounds[1] == 0
+
+
 def test_near_duplicates_in_a_shared_band_match_brute_force(spark, monkeypatch):
     """Documents around one common passage: every band is crowded, few pairs are near."""
     monkeypatch.setattr(hyperminhash, "BLOCK", 8)
