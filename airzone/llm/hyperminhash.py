@@ -239,6 +239,8 @@ def _leader_links(bands: DataFrame, nodes: DataFrame, docs: DataFrame, sketch: S
 
 
 BLOCK = 256
+#: Nodes, and shingle hashes (3 MB), that share a home at most: two homes meet in a tile, so fewer of them move fewer sets.
+HOME, HASHES = 1024, 400_000
 
 
 def _open_pairs(bands: DataFrame, nodes: DataFrame, groups: DataFrame, sketch: Sketch) -> DataFrame:
@@ -255,7 +257,8 @@ def _open_pairs(bands: DataFrame, nodes: DataFrame, groups: DataFrame, sketch: S
                   .where("low != high").select("band", "leader"))
     inside = stage(placed.join(open_bands, "band"), "open-bands")
     homes = inside.groupBy("node").agg(F.min("leader").alias("home"))
-    crowd = homes.groupBy("home").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("long").alias("blocks"))
+    crowd = (homes.join(nodes.select("node", "n_shingles"), "node").groupBy("home")
+             .agg(F.ceil(F.greatest(F.count(F.lit(1)) / HOME, F.sum("n_shingles") / HASHES)).cast("long").alias("blocks")))
     homes = homes.join(crowd, "home").select("node", F.xxhash64("home", F.pmod(F.xxhash64("node"), "blocks")).alias("home"))
     known = nodes.select("node", "n_shingles", "registers").join(homes, "node")
     shares = (inside.groupBy("band", "component").agg(F.count(F.lit(1)).alias("n")).groupBy("band")
@@ -272,36 +275,77 @@ def _open_pairs(bands: DataFrame, nodes: DataFrame, groups: DataFrame, sketch: S
             .join(known, "node")
             .select("band", "t.mixed", "t.one", "t.two", "node", "component", "part", "in_main", "n_shingles", "registers", "home"))
 
-    def compare(tile: pa.Table) -> pa.Table:
-        node, comp, part, n, home, main = (tile.column(c).to_numpy() for c in ("node", "component", "part", "n_shingles", "home", "in_main"))
-        regs = np.frombuffer(b"".join(tile.column("registers").to_pylist()), np.uint16).reshape(len(node), -1)
-        mixed, one, two, band = (tile.column(c)[0].as_py() for c in ("mixed", "one", "two", "band"))
-        left, right = (np.flatnonzero(main), np.flatnonzero(~main)) if mixed else (np.flatnonzero(part == one), np.flatnonzero(part == two))
-        low, high = np.minimum.outer(n[left], n[right]), np.maximum.outer(n[left], n[right])
-        ok = (sketch.denominator * low >= sketch.numerator * high) & (comp[left][:, None] != comp[right][None, :])
-        if not mixed and one == two:
-            ok &= node[left][:, None] < node[right][None, :]
-        found: dict[tuple, tuple[list, list]] = {}
-        every_i, every_j = plausible_pairs(regs[left], regs[right], n[left], n[right], ok, sketch) if ok.any() else ((), ())
-        for at in range(0, len(every_i), 16_384):
-            i, j = left[every_i[at:at + 16_384]], right[every_j[at:at + 16_384]]
-            x, y = (regs[k].reshape(len(k), sketch.registers // sketch.rows, sketch.rows) for k in (i, j))
-            first = ((x == y).all(2) & x.any(2)).argmax(1)
-            packed = np.zeros(len(i), np.uint64)
-            for k in range(sketch.rows):
-                packed = _mixed(packed * MIX + x[np.arange(len(i)), first, k])
-            packed = _mixed(packed * MIX + first.astype(np.uint64))
-            here = packed.view(np.int64) == band
-            for a, b in zip(i[here], j[here]):
-                a, b = (a, b) if home[a] <= home[b] else (b, a)
-                lefts, rights = found.setdefault((home[a], home[b]), ([], []))
-                lefts.append(int(node[a]))
-                rights.append(int(node[b]))
-        tiles = [xxhash.xxh3_64_intdigest(np.array(k).tobytes()) - (1 << 63) for k in found]
-        return pa.table({"tile": pa.array(tiles, pa.int64()), "lefts": pa.array([v[0] for v in found.values()], pa.list_(pa.int64())),
-                         "rights": pa.array([v[1] for v in found.values()], pa.list_(pa.int64()))})
-
-    return rows.groupBy("band", "mixed", "one", "two").applyInArrow(compare, PAIRS)
+    tiles = ["band", "mixed", "one", "two"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None                     # rows of the last tile, which may go on in the next batch
+        for batch in batches:
+            table = pa.Table.from_batches([batch] if held is None else [held, batch]).combine_chunks()
+            keys = [table.column(c).to_numpy() for c in tiles]
+            last = np.flatnonzero(np.logical_or.reduce([k[1:] != k[:-1] for k in keys]))
+            cut = int(last[-1]) + 1 if len(last) else 0
+            if cut:
+                yield _compared(table.slice(0, cut), tiles, sketch)
+            held = table.slice(cut).to_batches()[0]
+        if held is not None and len(held):
+            yield _compared(pa.Table.from_batches([held]), tiles, sketch)
+
+    return rows.repartition(*tiles).sortWithinPartitions(*tiles).mapInArrow(run, PAIRS)
+
+
+#: Tiles of more pairs are compared as a matrix, the others together.
+SMALL = 2048
+
+
+def _compared(rows: pa.Table, tiles: list[str], sketch: Sketch) -> pa.RecordBatch:
+    """Plausible pairs of whole tiles, sorted by tile, that meet here first, packed by the tile in which their sets will meet."""
+    band, mixed, one, two = (rows.column(c).to_numpy() for c in tiles)
+    node, comp, part, n, home, main = (rows.column(c).to_numpy() for c in ("node", "component", "part", "n_shingles", "home", "in_main"))
+    regs = np.frombuffer(b"".join(rows.column("registers").to_pylist()), np.uint16).reshape(len(node), -1)
+    starts = np.flatnonzero(np.r_[True, (band[1:] != band[:-1]) | (mixed[1:] != mixed[:-1]) | (one[1:] != one[:-1]) | (two[1:] != two[:-1])])
+    tile = np.repeat(np.arange(len(starts)), np.diff(np.r_[starts, len(node)]))
+    left, right = np.flatnonzero(np.where(mixed, main, part == one)), np.flatnonzero(np.where(mixed, ~main, part == two))
+    lefts, rights = np.bincount(tile[left], minlength=len(starts)), np.bincount(tile[right], minlength=len(starts))
+    left_at, right_at = np.cumsum(lefts) - lefts, np.cumsum(rights) - rights
+
+    def allowed(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        near = sketch.denominator * np.minimum(n[i], n[j]) >= sketch.numerator * np.maximum(n[i], n[j])
+        return near & (comp[i] != comp[j]) & (mixed[i] | (one[i] != two[i]) | (node[i] < node[j]))
+
+    found = []
+    few = left[(lefts * rights)[tile[left]] <= SMALL]
+    times = rights[tile[few]]
+    i = np.repeat(few, times)
+    j = right[np.repeat(right_at[tile[few]] - (np.cumsum(times) - times), times) + np.arange(len(i))]
+    ok = allowed(i, j)
+    i, j = i[ok], j[ok]
+    for at in range(0, len(i), 16_384):
+        x, y = i[at:at + 16_384], j[at:at + 16_384]
+        close = plausible(regs[x], regs[y], n[x], n[y], sketch)
+        found.append((x[close], y[close]))
+    for t in np.flatnonzero(lefts * rights > SMALL):
+        x, y = left[left_at[t]:left_at[t] + lefts[t]], right[right_at[t]:right_at[t] + rights[t]]
+        p, q = plausible_pairs(regs[x], regs[y], n[x], n[y], allowed(x[:, None], y[None, :]), sketch)
+        found.append((x[p], y[q]))
+    i, j = (np.concatenate([f[side] for f in found] or [np.empty(0, np.int64)]) for side in (0, 1))
+    here = np.empty(len(i), bool)
+    for at in range(0, len(i), 16_384):
+        some = slice(at, at + 16_384)
+        x, y = (regs[k[some]].reshape(-1, sketch.registers // sketch.rows, sketch.rows) for k in (i, j))
+        first = ((x == y).all(2) & x.any(2)).argmax(1)
+        packed = np.zeros(len(first), np.uint64)
+        for k in range(sketch.rows):
+            packed = _mixed(packed * MIX + x[np.arange(len(first)), first, k])
+        here[some] = _mixed(packed * MIX + first.astype(np.uint64)).view(np.int64) == band[i[some]]
+    i, j = i[here], j[here]
+    i, j = np.where(home[i] <= home[j], i, j), np.where(home[i] <= home[j], j, i)
+    order = np.lexsort((home[j], home[i]))
+    i, j = i[order], j[order]
+    at = np.flatnonzero(np.r_[len(i) > 0, (home[i][1:] != home[i][:-1]) | (home[j][1:] != home[j][:-1])]) if len(i) else np.empty(0, np.int64)
+    names = [xxhash.xxh3_64_intdigest(np.array([home[i[k]], home[j[k]]]).tobytes()) - (1 << 63) for k in at]
+    ends = pa.array(np.r_[at, len(i)], pa.int32())
+    return pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), *(pa.ListArray.from_arrays(ends, pa.array(node[k], pa.int64())) for k in (i, j))],
+                                      names=["tile", "lefts", "rights"])
 
 
 def _confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, sketch: Sketch) -> DataFrame:
@@ -334,8 +378,8 @@ def _confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, sketch: Sket
             return k
 
         out = []
-        for lefts, rights in zip(chosen.column("lefts").to_pylist(), chosen.column("rights").to_pylist()):
-            for a, b in zip(lefts, rights):
+        for lefts, rights in zip(chosen.column("lefts"), chosen.column("rights")):
+            for a, b in zip(lefts.as_py(), rights.as_py()):
                 if top(a) != top(b) and linked(of[a], of[b], sketch):
                     root[top(a)] = top(b)
                     out.append((a, b))
