@@ -68,11 +68,14 @@ def best_paths(nodes: DataFrame, per_root: int = 1, most: int = 40) -> DataFrame
     # up: the node 2**level steps above, or null beyond the root; top, sum and steps: of the stretch up to there
     now = own.join(there, "parent", "left").select(
         "node", F.when(F.col("known"), F.col("parent")).alias("up"), F.col("node").alias("top"), "score", F.lit(1).cast("long").alias("steps"))
-    levels = [stage(now, "reply-level")]
+    levels, before = [stage(now, "reply-level")], None
     for _ in range(most):
         now = levels[-1]
-        if now.where("up IS NOT NULL").isEmpty():
+        waiting = now.where("up IS NOT NULL").count()
+        # while a tree is open, each round reaches the root from some node: one that does not leaves cycles only
+        if waiting in (0, before):
             break
+        before = waiting
         above = now.select(F.col("node").alias("up"), F.col("up").alias("up2"), F.col("top").alias("top2"), F.col("score").alias("score2"), F.col("steps").alias("steps2"))
         # only nodes still below their root are joined
         longer = now.where("up IS NOT NULL").join(above, "up").select(
