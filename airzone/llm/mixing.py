@@ -89,7 +89,8 @@ def mixed(docs: DataFrame, domain: Column, lang: Column, source: Column, mix: Mi
 
     Tokens are words unless a column of counts is given. In epoch e a leaf's documents are ordered by a digest of seed, e and id
     (then id). A leaf takes whole epochs while its budget lasts and from the next the documents that begin within the
-    rest; ``taken`` is the part of the last one that fits, so a leaf's ``taken`` add up to its budget.
+    rest; ``taken`` is the part of the last one that fits, so a leaf's ``taken`` add up to its budget. Where rows share the last
+    one's id, each takes its share of that part, rounded down: then the leaf stays short by fewer tokens than there are such rows.
 
     A leaf of any size is put in order in slices: documents are counted by slices of the digest's range first, and only the
     documents of one slice are ordered together, by one task. Null names are a node "" of their own; null text has no
@@ -116,14 +117,15 @@ def mixed(docs: DataFrame, domain: Column, lang: Column, source: Column, mix: Mi
     ids = inside.where("cut").groupBy(*levels, "slice", "at", "id").agg(F.sum("n_tokens").alias("n"), F.max("before").alias("before"), F.max("rest").alias("rest"))
     line = Window.partitionBy(*levels, "slice").orderBy("at", "id")
     cut = (ids.withColumn("start", F.col("before") + F.sum("n").over(line) - F.col("n")).where("start < rest")
-           .select(*levels, "id", F.least("n", F.col("rest") - F.col("start")).alias("room")))
+           .select(*levels, "id", "n", F.least("n", F.col("rest") - F.col("start")).alias("room")))
     cut = stage(cut, "cut-documents")
     slots = (rows.join(plan, levels)
              .withColumn("slice", F.when(F.col("rest") > 0, F.floor(keyed_unit(mix.seed, F.col("whole").cast("string"), F.coalesce("id", F.lit(""))) / F.lit(2 ** 52) * F.col("slices")).cast("long")))
              .join(bounds.select(*levels, "slice", "cut"), [*levels, "slice"], "left"))
-    edge = cut.select(*[F.col(n).alias(f"{n}_") for n in levels], F.col("id").alias("id_"), "room")
+    edge = cut.select(*[F.col(n).alias(f"{n}_") for n in levels], F.col("id").alias("id_"), F.col("n").alias("n_"), "room")
     same = [F.col(n) == F.col(f"{n}_") for n in levels] + [F.col("id").eqNullSafe(F.col("id_"))]
-    met = slots.where("cut").join(edge, same, "left").drop(*[f"{n}_" for n in levels], "id_")
+    part = F.expr("CAST(room AS DECIMAL(19, 0)) * CAST(n_tokens AS DECIMAL(19, 0)) DIV n_")      # all of a row but at the edge
+    met = slots.where("cut").join(edge, same, "left").withColumn("room", F.when(part > 0, part)).drop(*[f"{n}_" for n in levels], "id_", "n_")
     sure = slots.where("cut IS NULL OR NOT cut").withColumn("room", F.when(~F.col("cut"), F.col("n_tokens")))
     every = sure.unionByName(met).withColumn("copies", F.col("whole") + F.col("room").isNotNull().cast("int")).where("copies > 0")
     return (every.withColumn("epoch", F.explode(F.expr("sequence(0, copies - 1)")))
