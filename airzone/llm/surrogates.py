@@ -169,10 +169,10 @@ def surrogated(docs: DataFrame, key: str, text_col: str = "text", count_col: str
     different entities never share one.
 
     Null text stays null with 0 replacements, repeated rows stay repeated, other columns (also such named like ours) pass
-    unchanged, an empty table stays empty. Texts with entities meet their surrogates by a digest of the text, so ids play no part.
+    unchanged (the count's name then gets underscores behind it until it is free), an empty table stays empty. Texts with entities meet their surrogates by a digest of the text, so ids play no part.
     """
-    if count_col in docs.columns:
-        docs = docs.drop(count_col)
+    while count_col in docs.columns:
+        count_col += "_"
     row = docs.select(F.struct("*").alias("r")).withColumn("t", F.col(f"r.`{text_col}`")).withColumn("m", matches(F.coalesce("t", F.lit(""))))
     clean = row.where("size(m) = 0").select("r", F.lit(0).alias("n"))
     dirty = row.where("size(m) > 0").withColumn("k", F.md5("t"))
