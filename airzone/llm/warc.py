@@ -22,7 +22,7 @@ from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from airzone.llm.common import only
+from airzone.llm.common import only, picked
 from airzone.sources.tables import new_path, stage
 
 
@@ -108,13 +108,14 @@ def write_archives(pages: DataFrame, folder: str, layout: Layout) -> DataFrame:
     """(key, file, offset, length) of the record written for every row of ``pages`` (page_id, url, html); stored before use.
 
     Of rows with equal payloads the largest page_id is the response. Only digests and ids are shuffled to find it, so a
-    payload of a third of all rows is a sum, not a group; rows that repeat that id are responses too.
+    payload of a third of all rows is a sum, not a group; rows that repeat that id are responses too. Payloads stay where they
+    are while the list of repeated digests is short enough to be sent to them (``common.picked``).
     """
     payload = F.encode(F.coalesce("html", F.lit("")), "utf-8")
     rows = pages.select("page_id", "url", payload.alias("payload")).withColumn("sum", F.sha1("payload"))
     repeated = (rows.where(F.length("payload") >= layout.min_bytes).groupBy("sum").agg(F.max("page_id").alias("response"), F.count(F.lit(1)).alias("n"))
                 .where("n > 1 AND response IS NOT NULL").select("sum", "response"))
-    marked = rows.join(repeated, "sum", "left").select(
+    marked = picked(rows, stage(repeated, "repeated-payloads"), "sum", "left").select(
         "page_id", "url", "payload", F.when(~F.col("response").eqNullSafe(F.col("page_id")), F.col("response")).alias("refers_to"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
