@@ -2,8 +2,9 @@
 
 The kernel counts the character subsequences that two strings share, each weighted down by the stretch it spans, so
 an insult with inserted characters or a new ending stays close to the one that was learned. Landmarks are strings
-that tell toxic from other labelled texts. A sentence is described by its best match with every landmark, mapped by
-the inverse root of the landmarks' own kernel matrix; a text scores as its worst sentence.
+that tell toxic from other labelled texts. A sentence is described by its best match with every landmark, over its words
+and over windows of neighbouring words without what separates them, mapped by the inverse root of the landmarks' own
+kernel matrix; a text scores as its worst sentence.
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -24,18 +26,28 @@ from airzone.sources.tables import stage
 class Kernel:
     """Subsequences of ``order`` characters, every spanned character weighing ``decay``; longer units are cut into
     overlapping windows. Matches under ``floor`` count as none; a unit must hold ``letters`` of a landmark's letters
-    before the kernel is computed."""
+    before the kernel is computed.
+
+    A sentence's windows are up to ``joined`` neighbouring words of at most ``chunk`` characters each, for an insult in
+    pieces, and any two neighbours for landmarks of two words. They match from ``joined_floor`` up, and are not looked at
+    if they are shorter than ``letters`` of a landmark or longer than ``stretch`` times it."""
 
     order: int = 3
     decay: float = 0.6
     window: int = 24
     floor: float = 0.25
     letters: float = 0.75
+    joined: int = 4
+    chunk: int = 4
+    joined_floor: float = 0.5
+    stretch: float = 2.0
 
 
 @dataclass(frozen=True)
 class Fit:
-    """Bounds of the sample that the model is fitted on, and of the model: documents of each class, candidate strings, landmarks."""
+    """Bounds of the sample that the model is fitted on, and of the model: documents of each class, candidate strings, landmarks.
+
+    Words of three characters are candidates from log odds of ``short_odds`` up."""
 
     per_class: int = 4000
     candidates: int = 600
@@ -43,14 +55,13 @@ class Fit:
     apart: float = 0.8
     ridge: float = 1e-3
     rounds: int = 4
+    short_odds: float = 2.0
 
 
 def codes(units: list[str], width: int) -> np.ndarray:
-    """Characters of every unit as a row, padded with -1."""
-    out = np.full((len(units), width), -1, np.int32)
-    for row, unit in zip(out, units):
-        row[:len(unit)] = np.frombuffer(unit.encode("utf-32-le"), np.int32)
-    return out
+    """Characters of every unit, of ``width`` at most and none of them NUL, as a row, padded with -1."""
+    out = np.frombuffer("".join([u.ljust(width, "\0") for u in units]).encode("utf-32-le"), np.int32).reshape(len(units), width)
+    return np.where(out == 0, np.int32(-1), out)
 
 
 def kernel(s: np.ndarray, t: np.ndarray, k: Kernel) -> np.ndarray:
@@ -73,11 +84,13 @@ def kernel(s: np.ndarray, t: np.ndarray, k: Kernel) -> np.ndarray:
 
 
 class Landmarks:
-    """Normalised kernel values of strings against a fixed list of landmarks."""
+    """Normalised kernel values of strings against a fixed list of landmarks; one of two words holds a blank between them."""
 
     def __init__(self, strings: list[str], k: Kernel):
-        self.k, self.strings = k, strings
-        self.codes = codes(strings, max(map(len, strings), default=1))
+        self.k, self.strings = k, [s.replace(" ", "") for s in strings]
+        self.pairs = np.array([" " in s for s in strings], bool)
+        self.codes = codes(self.strings, max(map(len, self.strings), default=1))
+        self.sizes = np.array([len(s) for s in self.strings])
         self.own = np.sqrt(kernel(self.codes, self.codes, k)) if strings else np.empty(0)
         self.masks = _masks(self.codes)
         self.needed = np.ceil(k.letters * np.bitwise_count(self.masks))
@@ -128,66 +141,130 @@ def unit_of(token: str) -> str:
 
 
 class Describer:
-    """Sentence vectors of a text: the best match of a sentence's words with every landmark.
+    """Sentence vectors of texts: the best match of a sentence's words and windows with every landmark.
 
-    A worker remembers which words match nothing and the vectors of those that do; both are started anew
-    when they grow beyond ``most`` words together.
+    A worker remembers the words and windows it has met, and the vectors of those that match; each memory is started
+    anew when it grows beyond ``most`` entries.
     """
 
     def __init__(self, landmarks: Landmarks, most: int = 200_000):
         self.landmarks, self.most = landmarks, most
-        self.cold: set[str] = set()
-        self.hot: dict[str, np.ndarray] = {}
+        self.forget()
+
+    def forget(self) -> None:
+        self.words: dict[str, int] = {}
+        self.units: list[str] = []
+        self.masks, self.sizes, self.ends = np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, bool)
+        self.row, self.hot = np.empty(0, np.int64), np.empty((0, len(self.landmarks.strings)))      # row of a word in hot, or -1
+        self.windows: dict[tuple[int, ...], np.ndarray | None] = {}
 
     def learn(self, tokens: set[str]) -> None:
-        new = [t for t in tokens if t not in self.cold and t not in self.hot]
-        if len(self.cold) + len(self.hot) + len(new) > self.most:
-            self.cold, self.hot = set(), {}
+        new = [t for t in tokens if t not in self.words]
+        if self.words and len(self.words) + len(new) > self.most:
+            self.forget()
             new = list(tokens)
-        units = [unit_of(t) for t in new]
         for at in range(0, len(new), 5000):
-            values = self.landmarks.values(units[at:at + 5000])
-            for token, value, any_match in zip(new[at:at + 5000], values, values.any(axis=1)):
-                if any_match:
-                    self.hot[token] = value.copy()     # a view would keep all rows alive
-                else:
-                    self.cold.add(token)
-
-    def sentences(self, text: str, tokens: list[str]) -> np.ndarray:
-        """One row per sentence with a match; none for a text without."""
-        spelled = [m.group() for m in SPELLED.finditer(text)]
-        found, hot = [], self.hot
-        if any(t in hot for t in set(tokens)):
-            best = None
-            for token in (t for line in text.split("\n") for t in (*line.split(), "\n")):
-                if token in hot:
-                    best = hot[token] if best is None else np.maximum(best, hot[token])
-                if best is not None and (token == "\n" or END.search(token)):
-                    found.append(best)
-                    best = None
-        if spelled:
-            values = self.landmarks.values([unit_of(s) for s in spelled])
-            found += [v for v in values if v.any()]
-        return np.array(found).reshape(-1, len(self.landmarks.strings))
+            some = new[at:at + 5000]
+            units = [unit_of(t) for t in some]
+            values = self.landmarks.values(units)
+            matched = values.any(axis=1)
+            row = np.where(matched, len(self.hot) + np.cumsum(matched) - 1, -1)
+            self.words.update(zip(some, range(len(self.units), len(self.units) + len(some))))
+            self.units += units
+            cut = [u[:self.landmarks.k.window] for u in units]
+            self.masks = np.concatenate([self.masks, _masks(codes(cut, self.landmarks.k.window))])
+            self.sizes = np.concatenate([self.sizes, [len(u) for u in units]])
+            self.ends = np.concatenate([self.ends, [END.search(t) is not None for t in some]])
+            self.row, self.hot = np.concatenate([self.row, row]), np.concatenate([self.hot, values[matched]])
+
+    def joined(self, ids: np.ndarray, sentence: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+        """(sentence, vector) of every window of neighbouring words that matches a landmark."""
+        k, marks = self.landmarks.k, self.landmarks
+        sizes, masks = self.sizes[ids], self.masks[ids]
+        short = (sizes > 0) & (sizes <= k.chunk)
+        low, high = np.ceil(k.letters * marks.sizes), k.stretch * marks.sizes
+        wanted: list[tuple[int, tuple[int, ...]]] = []
+        for n in range(2, k.joined + 1):
+            starts = len(ids) - n + 1
+            if starts < 1:
+                break
+            together, small = sentence[:starts] == sentence[n - 1:], np.ones(starts, bool)
+            mask, size = np.zeros(starts, np.uint64), np.zeros(starts, np.int64)
+            for i in range(n):
+                small &= short[i:i + starts]
+                mask |= masks[i:i + starts]
+                size += sizes[i:i + starts]
+            open_to = together & (small | (n == 2 and bool(marks.pairs.any()))) & (size >= low.min(initial=0)) & (size <= high.max(initial=0))
+            chosen = np.flatnonzero(open_to)
+            for at in range(0, len(chosen), 50_000):
+                w = chosen[at:at + 50_000]
+                fits = np.bitwise_count(mask[w, None] & marks.masks) >= marks.needed
+                fits &= (size[w, None] >= low) & (size[w, None] <= high) & (small[w, None] | marks.pairs)
+                wanted += [(int(sentence[i]), tuple(ids[i:i + n].tolist())) for i in w[fits.any(axis=1)]]
+        for at in range(0, len(wanted), 50_000):
+            part = wanted[at:at + 50_000]
+            new = list({key for _, key in part} - self.windows.keys())
+            if self.windows and len(self.windows) + len(new) > self.most:
+                self.windows = {}
+                new = list({key for _, key in part})
+            for some in (new[i:i + 5000] for i in range(0, len(new), 5000)):
+                values = marks.values(["".join([self.units[i] for i in key]) for key in some])
+                # an insult in pieces may match any landmark, two whole words only landmarks of two
+                pieces = np.array([max([len(self.units[i]) for i in key]) <= k.chunk for key in some])
+                values[(values < k.joined_floor) | ~(pieces[:, None] | marks.pairs)] = 0
+                self.windows.update((key, v.copy() if any_match else None) for key, v, any_match in zip(some, values, values.any(axis=1).tolist()))
+            for number, key in part:
+                if (found := self.windows[key]) is not None:
+                    yield number, found
 
     def describe(self, texts: list[str]) -> list[np.ndarray]:
-        tokens = [t.split() for t in texts]
-        self.learn({w for t in tokens for w in t})
-        return [self.sentences(text, own) for text, own in zip(texts, tokens)]
+        """Of every text one row per sentence with a match; none for a text without."""
+        lines = [[line.split() for line in text.split("\n")] for text in texts]
+        self.learn({t for text in lines for line in text for t in line})
+        out: list[list[np.ndarray]] = [[] for _ in texts]
+        held = [(number, line) for number, text in enumerate(lines) for line in text if line]
+        if held and self.landmarks.strings:
+            ids = np.fromiter(map(self.words.__getitem__, chain.from_iterable(line for _, line in held)), np.int64)
+            ends = self.ends[ids]
+            ends[np.cumsum([len(line) for _, line in held]) - 1] = True        # a line ends a sentence
+            sentence = np.cumsum(ends) - ends
+            of_text = np.repeat([number for number, _ in held], [len(line) for _, line in held])[ends]
+            best: dict[int, np.ndarray] = {}
+            matched = np.flatnonzero(self.row[ids] >= 0)
+            for number, vector in (*zip(sentence[matched].tolist(), self.hot[self.row[ids[matched]]]), *self.joined(ids, sentence)):
+                best[number] = np.maximum(best[number], vector) if number in best else vector
+            for number in sorted(best):
+                out[of_text[number]].append(best[number])
+        for found, text in zip(out, texts):
+            spelled = [unit_of(m.group()) for m in SPELLED.finditer(text)]
+            if spelled:
+                found += [v for v in self.landmarks.values(spelled) if v.any()]
+        return [np.array(found).reshape(-1, len(self.landmarks.strings)) for found in out]
 
 
 def _candidates(sample: DataFrame, fit: Fit) -> list[tuple[str, float]]:
-    """Strings that occur in more toxic than other documents of the sample: whole words, and beginnings of words."""
+    """Strings that occur in more toxic than other documents of the sample: whole words, beginnings of words from four
+    characters up, and two neighbouring words that say more than twice as much as either."""
     bare = F.regexp_replace(F.lower("w"), r"[^\p{L}\p{N}]+", "")
-    seen = (sample.select("toxic", F.explode(F.array_distinct(words(F.col("text")))).alias("w"), "doc_id")
-            .select("doc_id", "toxic", bare.alias("w")).where("length(w) BETWEEN 3 AND 24")
-            .select("doc_id", "toxic", F.explode(F.expr("array_distinct(transform(sequence(3, length(w)), n -> left(w, CAST(n AS INT))))")).alias("w"))
-            .distinct())
-    counts = seen.groupBy("w").agg(F.sum("toxic").alias("p"), F.sum(1 - F.col("toxic")).alias("q"))
+    line = sample.select("doc_id", "toxic", words(F.col("text")).alias("ws"))
+    single = (line.select("doc_id", "toxic", F.explode(F.array_distinct("ws")).alias("w")).select("doc_id", "toxic", bare.alias("w")).where("length(w) BETWEEN 3 AND 24")
+              .select("doc_id", "toxic", F.explode(F.expr("transform(sequence(least(4, length(w)), length(w)), n -> left(w, n))")).alias("w")))
+    # neighbours, the first of them without punctuation behind it
+    two = (line.select("doc_id", "toxic", F.explode(F.expr("array_distinct(zip_with(ws, slice(ws, 2, greatest(size(ws) - 1, 0)), (a, b) -> concat(a, ' ', b)))")).alias("w"))
+           .where("w IS NOT NULL").select("doc_id", "toxic", F.lower("w").alias("w"))
+           .select("doc_id", "toxic", F.regexp_extract("w", r"^[^\p{L}\p{N}]*([\p{L}\p{N}]+ [\p{L}\p{N}]+)[^\p{L}\p{N}]*$", 1).alias("w"))
+           .where("length(w) BETWEEN 4 AND 25"))
+    counts = single.unionByName(two).distinct().groupBy("w").agg(F.sum("toxic").alias("p"), F.sum(1 - F.col("toxic")).alias("q")).where("p >= 3")
     sizes = sample.agg(F.sum("toxic").alias("p"), F.sum(1 - F.col("toxic")).alias("q")).first()
     odds = F.log((F.col("p") + 0.5) / (sizes["p"] + 1)) - F.log((F.col("q") + 0.5) / (sizes["q"] + 1))
-    best = (counts.where("p >= 3").withColumn("score", F.col("p") * odds).where("score > 0")
-            .orderBy(F.desc("score"), F.desc(F.length("w")), "w").limit(fit.candidates).collect())
+    scores = stage(counts.withColumn("odds", odds).withColumn("score", F.col("p") * F.col("odds")).where(f"score > 0 AND (length(w) > 3 OR odds >= {fit.short_odds})")
+                   .select("w", "score"), "candidates")
+    alone = scores.where("NOT contains(w, ' ')")
+    word = lambda n: alone.select(F.col("w").alias(f"w{n}"), F.col("score").alias(f"score{n}"))
+    pairs = (scores.where("contains(w, ' ')").withColumn("w1", F.substring_index("w", " ", 1)).withColumn("w2", F.substring_index("w", " ", -1))
+             .join(word(1), "w1", "left").join(word(2), "w2", "left")
+             .where("score > 2 * greatest(coalesce(score1, 0), coalesce(score2, 0))").select("w", "score"))
+    best = alone.unionByName(pairs).orderBy(F.desc("score"), F.desc(F.length("w")), "w").limit(fit.candidates).collect()
     return [(r["w"], r["score"]) for r in best]
 
 
@@ -201,9 +278,10 @@ def choose_landmarks(candidates: list[tuple[str, float]], fit: Fit, k: Kernel) -
     for string, _ in candidates:
         if len(chosen) >= fit.landmarks:
             break
-        if len(string) < max(k.order, 4):
+        bare = string.replace(" ", "")
+        if len(bare) < k.order:
             continue
-        if not chosen or Landmarks(chosen, k).values([string]).max() < fit.apart:
+        if not chosen or Landmarks(chosen, k).values([bare]).max() < fit.apart:
             chosen.append(string)
     return chosen
 
@@ -287,7 +365,8 @@ def fitted(labelled: DataFrame, fit: Fit = Fit(), k: Kernel = Kernel(), texts: D
     chosen = F.broadcast(stage(part[0].unionByName(part[1]), "sample-ids"))
     given = (labelled if texts is None else texts).select("doc_id", "text")
     sample = stage(given.join(chosen, "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).repartition(SPREAD, "doc_id"), "labelled-sample")
-    strings = choose_landmarks(_candidates(sample, fit), fit, k)
+    candidates = _candidates(sample, fit)
+    strings = choose_landmarks(candidates, fit, k)
     if not strings:
         return None
     rows = _described(sample, strings, k).orderBy("doc_id").collect()
@@ -295,9 +374,10 @@ def fitted(labelled: DataFrame, fit: Fit = Fit(), k: Kernel = Kernel(), texts: D
     bags = [np.frombuffer(r["matches"], np.float32).reshape(-1, len(strings)).astype(float) for r in rows]
     weight = np.array([sizes[c] / max((y == c).sum(), 1) for c in (0, 1)])[y]
     own = Landmarks(strings, k)
-    values, vectors = np.linalg.eigh(own.values(strings) + 1e-6 * np.eye(len(strings)))
+    values, vectors = np.linalg.eigh(own.values(own.strings) + 1e-6 * np.eye(len(strings)))
     root = vectors @ np.diag(1 / np.sqrt(np.maximum(values, 1e-4))) @ vectors.T
-    weights = np.ones(len(strings))
+    telling = dict(candidates)
+    weights = np.array([telling[s] for s in strings])       # decides on the worst sentences of the first round
     offset = 0.0
     for _ in range(fit.rounds):
         x, side, load = [np.zeros(len(strings))], [-1.0], [float(weight[y == 0].sum())]

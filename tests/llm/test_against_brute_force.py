@@ -137,6 +137,38 @@ def test_toxicity_tolerates_inserted_characters_and_new_endings(spark):
     assert toxicity.fitted(spark.createDataFrame(train[:1], "doc_id long, text string, toxic int")) is None
 
 
+def test_toxicity_finds_insults_in_pieces_short_ones_and_pairs_of_words(spark):
+    clean = ["the onth of reat and inger tho wherea.", "of the red and it on to be.", "loud inger the empty reat onth.", "tho drum of wherea reat."]
+    bad = ["zorgak", "vix", "empty drum"]
+    around = [w.strip(".") for s in clean for w in s.split()]       # an insult's neighbours differ, so that they tell nothing
+    train = [(i, " ".join(clean[:i % 4 + 1]) + (f" {around[i % 23]} {bad[i // 3 % 3]} {around[i % 19]}" if i % 3 == 0 else ""), int(i % 3 == 0)) for i in range(360)]
+    model = toxicity.fitted(spark.createDataFrame(train, "doc_id long, text string, toxic int"))
+    assert any(" " in m for m in model.landmarks) and "vix" in model.landmarks
+    asked = ["zor gak", "zo rg ak", "vix!", "empty drum", "Empty, drum", "empty dirum", "empty reat drum", "onth drum the inger", "of the red zo", ""]
+    rows = [(i, "tho onth " + a + " reat") for i, a in enumerate(asked)]
+    score = [r.score for r in toxicity.scored(spark.createDataFrame(rows, "doc_id long, text string"), model).orderBy("doc_id").collect()]
+    assert min(score[:6]) > 0.3 > max(score[6:])
+
+
+def test_descriptions_do_not_depend_on_the_batch():
+    draw = np.random.default_rng(3)
+    marks = toxicity.Landmarks(["zorgak", "vix", "empty drum"], toxicity.Kernel())
+    tokens = ["zor", "gak", "vix", "empty", "drum", "the", "of.", "zorgakim", "--", "a\nb", "\n", "v", "i", "x"]
+    texts = ["", " ", "\n\n", "vix"] + [" ".join(draw.choice(tokens, n)) for n in (1, 2, 3, 9, 40, 400) for _ in range(5)]
+    whole = toxicity.Describer(marks).describe(texts)
+    small = toxicity.Describer(marks, most=3)
+    for text, found in zip(texts, whole):
+        assert np.array_equal(found, toxicity.Describer(marks).describe([text])[0]) and np.array_equal(found, small.describe([text])[0])
+
+
+def test_toxicity_of_held_out_documents(spark):
+    folder = "/root/testdata/sf0.01"
+    rows = toxicity.toxicity(spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/labels.parquet"))
+    seen = rows.where("held_out").join(spark.read.parquet(f"{folder}/labels.parquet").select("doc_id", "toxic"), "doc_id").collect()
+    toxic, hits = sum(r.toxic == 1 for r in seen), sum(r.toxic == 1 and r.predicted == 1 for r in seen)
+    assert toxic >= 10 and hits >= 0.6 * toxic and sum(r.toxic == 0 and r.predicted == 1 for r in seen) <= 0.02 * len(seen)
+
+
 def test_pieces_match_the_library(spark, folder):
     texts, path = texts_of(spark, folder), public_tokenizers.path(MODEL)
     library = SentencePieceProcessor(model_file=path)
