@@ -29,8 +29,9 @@ class Kernel:
     before the kernel is computed.
 
     A sentence's windows are up to ``joined`` neighbouring words of at most ``chunk`` characters each, for an insult in
-    pieces, and any two neighbours for landmarks of two words. They match from ``joined_floor`` up, and are not looked at
-    if they are shorter than ``letters`` of a landmark or longer than ``stretch`` times it."""
+    pieces, and any two neighbours for landmarks of two words. They match from ``joined_floor`` up; the kernel is computed for
+    those that hold ``letters`` of a landmark's characters in its order and are at most ``stretch`` times as long: what is
+    longer holds a word more, and the window without that word is looked at itself."""
 
     order: int = 3
     decay: float = 0.6
@@ -40,7 +41,7 @@ class Kernel:
     joined: int = 4
     chunk: int = 4
     joined_floor: float = 0.5
-    stretch: float = 2.0
+    stretch: float = 1.5
 
 
 @dataclass(frozen=True)
@@ -99,8 +100,22 @@ class Landmarks:
         w = self.k.window
         return [unit] if len(unit) <= w else [unit[i:i + w] for i in range(0, len(unit) - w // 2, w // 2)]
 
-    def values(self, units: list[str]) -> np.ndarray:
-        """Matrix of units by landmarks; a unit longer than the window takes the best of its windows."""
+    def in_order(self, rows: np.ndarray, z: np.ndarray) -> np.ndarray:
+        """How many characters of landmark ``z`` each of the rows holds in the landmark's order: the longest common
+        subsequence, a bit of one number per character of the landmark."""
+        marks = self.codes[z]
+        bits = np.uint64(1) << np.arange(marks.shape[1], dtype=np.uint64)
+        open_to = np.full(len(rows), np.uint64(2 ** 64 - 1))
+        for column in rows.T:
+            at = np.where((marks == column[:, None]) & (marks >= 0), bits, np.uint64(0)).sum(axis=1, dtype=np.uint64)
+            hit = open_to & at
+            open_to = (open_to + hit) | (open_to - hit)
+        return np.bitwise_count(~open_to & (bits.sum(dtype=np.uint64)))
+
+    def values(self, units: list[str], ordered: bool = False) -> np.ndarray:
+        """Matrix of units by landmarks; a unit longer than the window takes the best of its windows.
+
+        ``ordered`` asks for units of landmarks' lengths, which must hold the needed characters in order."""
         pieces, owner = [], []
         for i, unit in enumerate(units):
             for piece in self.windows(unit):
@@ -112,15 +127,30 @@ class Landmarks:
         owner, rows = np.array(owner), codes(pieces, self.k.window)
         p, z = np.nonzero(np.bitwise_count(_masks(rows)[:, None] & self.masks[None, :]) >= self.needed[None, :])
         sizes = np.fromiter(map(len, pieces), int, len(pieces))
-        for low, high in ((0, 8), (8, 12), (12, 16), (16, self.k.window)):     # short units need few columns
-            some = np.flatnonzero((sizes[p] > low) & (sizes[p] <= high))
-            for at in range(0, len(some), 1024):
-                chosen = some[at:at + 1024]
-                x = rows[p[chosen], :high]
-                distinct, back = np.unique(p[chosen], return_inverse=True)
-                own = np.sqrt(kernel(rows[distinct, :high], rows[distinct, :high], self.k))[back]
-                value = kernel(x, self.codes[z[chosen]], self.k) / np.maximum(own * self.own[z[chosen]], 1e-300)
-                np.maximum.at(out, (owner[p[chosen]], z[chosen]), value)
+        if ordered:
+            k = self.k
+            fits = (sizes[p] >= np.ceil(k.letters * self.sizes)[z]) & (sizes[p] <= k.stretch * self.sizes[z])
+            p, z = p[fits], z[fits]
+            width = int(sizes[p].max(initial=0))
+            kept = [self.in_order(rows[p[at:at + 4096], :width], z[at:at + 4096]) >= np.ceil(k.letters * self.sizes)[z[at:at + 4096]]
+                    for at in range(0, len(p), 4096)]
+            kept = np.concatenate(kept) if kept else np.empty(0, bool)
+            p, z = p[kept], z[kept]
+        own = np.zeros(len(pieces))
+        steps = (0, 5, 6, 8, 12, 16, 24, max(self.k.window, 24))
+        met = np.unique(p)
+        for low, high in zip(steps, steps[1:]):     # short units need few columns, short landmarks too
+            of_size = met[(sizes[met] > low) & (sizes[met] <= high)]
+            for at in range(0, len(of_size), 512):
+                mine = rows[of_size[at:at + 512], :high]
+                own[of_size[at:at + 512]] = np.sqrt(kernel(mine, mine, self.k))
+            of_unit = np.flatnonzero((sizes[p] > low) & (sizes[p] <= high))
+            for short, long in zip(steps, steps[1:]):
+                some = of_unit[(self.sizes[z[of_unit]] > short) & (self.sizes[z[of_unit]] <= long)]
+                for at in range(0, len(some), 512):
+                    chosen = some[at:at + 512]
+                    value = kernel(rows[p[chosen], :high], self.codes[z[chosen], :long], self.k)
+                    np.maximum.at(out, (owner[p[chosen]], z[chosen]), value / np.maximum(own[p[chosen]] * self.own[z[chosen]], 1e-300))
         return np.where(out >= self.k.floor, out, 0)
 
 
@@ -137,7 +167,8 @@ END = re.compile(r"[.!?…]+[\"'»”)]*$")
 
 def unit_of(token: str) -> str:
     """A token in lower case without its punctuation."""
-    return OUTSIDE.sub("", token.lower())
+    low = token.lower()
+    return low if low.isalnum() else OUTSIDE.sub("", low)
 
 
 class Describer:
@@ -174,7 +205,7 @@ class Describer:
             cut = [u[:self.landmarks.k.window] for u in units]
             self.masks = np.concatenate([self.masks, _masks(codes(cut, self.landmarks.k.window))])
             self.sizes = np.concatenate([self.sizes, [len(u) for u in units]])
-            self.ends = np.concatenate([self.ends, [END.search(t) is not None for t in some]])
+            self.ends = np.concatenate([self.ends, [not t[-1].isalnum() and END.search(t) is not None for t in some]])
             self.row, self.hot = np.concatenate([self.row, row]), np.concatenate([self.hot, values[matched]])
 
     def joined(self, ids: np.ndarray, sentence: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
@@ -183,6 +214,7 @@ class Describer:
         sizes, masks = self.sizes[ids], self.masks[ids]
         short = (sizes > 0) & (sizes <= k.chunk)
         low, high = np.ceil(k.letters * marks.sizes), k.stretch * marks.sizes
+        lengths = np.arange(int(high.max(initial=0)) + 1)[:, None]
         wanted: list[tuple[int, tuple[int, ...]]] = []
         for n in range(2, k.joined + 1):
             starts = len(ids) - n + 1
@@ -198,9 +230,12 @@ class Describer:
             chosen = np.flatnonzero(open_to)
             for at in range(0, len(chosen), 50_000):
                 w = chosen[at:at + 50_000]
-                fits = np.bitwise_count(mask[w, None] & marks.masks) >= marks.needed
-                fits &= (size[w, None] >= low) & (size[w, None] <= high) & (small[w, None] | marks.pairs)
-                wanted += [(int(sentence[i]), tuple(ids[i:i + n].tolist())) for i in w[fits.any(axis=1)]]
+                letters, back = np.unique(mask[w], return_inverse=True)       # far fewer than windows
+                fits = np.packbits(np.bitwise_count(letters[:, None] & marks.masks) >= marks.needed, axis=1)[back]
+                fits &= np.packbits((lengths >= low) & (lengths <= high), axis=1)[size[w]]
+                fits[~small[w]] &= np.packbits(marks.pairs)
+                w = w[fits.any(axis=1)]
+                wanted += zip(sentence[w].tolist(), map(tuple, ids[w[:, None] + np.arange(n)].tolist()))
         for at in range(0, len(wanted), 50_000):
             part = wanted[at:at + 50_000]
             new = list({key for _, key in part} - self.windows.keys())
@@ -208,7 +243,7 @@ class Describer:
                 self.windows = {}
                 new = list({key for _, key in part})
             for some in (new[i:i + 5000] for i in range(0, len(new), 5000)):
-                values = marks.values(["".join([self.units[i] for i in key]) for key in some])
+                values = marks.values(["".join([self.units[i] for i in key]) for key in some], ordered=True)
                 # an insult in pieces may match any landmark, two whole words only landmarks of two
                 pieces = np.array([max([len(self.units[i]) for i in key]) <= k.chunk for key in some])
                 values[(values < k.joined_floor) | ~(pieces[:, None] | marks.pairs)] = 0
