@@ -89,3 +89,22 @@ def test_cells_exist_below_crowded_ones_only(spark):
     assert all(c["_leaf"] == (size[c["_level"], c["_cx"], c["_cy"]] <= 16) for c in cells)
     assert all(size[c["_level"] - 1, c["_ux"], c["_uy"]] > 16 for c in cells if c["_level"])
     assert sum(size[c["_level"], c["_cx"], c["_cy"]] for c in cells if c["_leaf"]) == len(spots)
+
+
+def test_nothing_is_sorted_while_points_descend(spark):
+    """A point meets many cells and places on its way; a sort or window over them held them all in one task."""
+    rng = np.random.default_rng(3)
+    spots = [(1, i, x, y) for i, (x, y) in enumerate(scattered(rng, 300, 0.01))]
+    frame = spark.createDataFrame(spots, "g int, id long, x double, y double")
+    found = nearest_place(frame, frame, "g", "id", leaf_limit=4)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "SortAggregate" not in plan
+    assert {(r["x"], r["y"]): r["id"] for r in found.collect()} == {(x, y): i for _, i, x, y in spots}
+
+
+def test_coordinates_that_are_no_numbers_hide_no_place(spark):
+    nan = float("nan")
+    places = spark.createDataFrame([(1, 7, nan, 1.0), (1, 8, 2.0, 1.0), (2, 9, nan, nan)], "g int, id long, x double, y double")
+    points = spark.createDataFrame([(1, 0.5, 1.0), (1, nan, 1.0), (2, 0.0, 0.0)], "g int, x double, y double")
+    got = nearest_place(points, places, "g", "id").collect()
+    assert sorted((r["g"], repr(r["x"]), r["id"]) for r in got) == [(1, "0.5", 8), (1, "nan", 7), (2, "0.0", 9)]
