@@ -116,18 +116,20 @@ def mixed(docs: DataFrame, domain: Column, lang: Column, source: Column, mix: Mi
     # one row per id of the cut slices: the tokens of the leaf before it
     ids = inside.where("cut").groupBy(*levels, "slice", "at", "id").agg(F.sum("n_tokens").alias("n"), F.max("before").alias("before"), F.max("rest").alias("rest"))
     line = Window.partitionBy(*levels, "slice").orderBy("at", "id")
-    cut = (ids.withColumn("start", F.col("before") + F.sum("n").over(line) - F.col("n")).where("start < rest")
-           .select(*levels, "id", "n", F.least("n", F.col("rest") - F.col("start")).alias("room")))
-    cut = stage(cut, "cut-documents")
-    slots = (rows.join(plan, levels)
-             .withColumn("slice", F.when(F.col("rest") > 0, F.floor(keyed_unit(mix.seed, F.col("whole").cast("string"), F.coalesce("id", F.lit(""))) / F.lit(2 ** 52) * F.col("slices")).cast("long")))
-             .join(bounds.select(*levels, "slice", "cut"), [*levels, "slice"], "left"))
-    edge = cut.select(*[F.col(n).alias(f"{n}_") for n in levels], F.col("id").alias("id_"), F.col("n").alias("n_"), "room")
-    same = [F.col(n) == F.col(f"{n}_") for n in levels] + [F.col("id").eqNullSafe(F.col("id_"))]
-    part = F.expr("CAST(room AS DECIMAL(19, 0)) * CAST(n_tokens AS DECIMAL(19, 0)) DIV n_")      # all of a row but at the edge
-    met = slots.where("cut").join(edge, same, "left").withColumn("room", F.when(part > 0, part)).drop(*[f"{n}_" for n in levels], "id_", "n_")
-    sure = slots.where("cut IS NULL OR NOT cut").withColumn("room", F.when(~F.col("cut"), F.col("n_tokens")))
-    every = sure.unionByName(met).withColumn("copies", F.col("whole") + F.col("room").isNotNull().cast("int")).where("copies > 0")
+    # one row per leaf: the last id that begins within the rest; the ones before it fit, the ones behind it do not
+    name = F.struct(F.col("id").isNotNull().alias("known"), F.coalesce("id", F.lit("")).alias("id"))
+    edge = (ids.withColumn("start", F.col("before") + F.sum("n").over(line) - F.col("n")).where("start < rest")
+            .groupBy(*levels).agg(F.max(F.struct("at", name.alias("name"), F.col("n").alias("n_"), F.least("n", F.col("rest") - F.col("start")).alias("room"))).alias("edge")))
+    edge = stage(edge, "cut-documents")
+    slots = (rows.join(plan, levels).withColumn("at", F.when(F.col("rest") > 0, order))
+             .withColumn("slice", F.floor(F.col("at") / F.lit(2 ** 52) * F.col("slices")).cast("long"))
+             .join(bounds.select(*levels, "slice", "cut"), [*levels, "slice"], "left").join(edge, levels, "left"))
+    # texts stay where they are: all they are compared with is their leaf's edge
+    here, last = F.struct("at", name.alias("name")), F.struct("edge.at", "edge.name")
+    part = F.expr("CAST(edge.room AS DECIMAL(19, 0)) * CAST(n_tokens AS DECIMAL(19, 0)) DIV edge.n_")
+    room = (F.when(F.col("cut") & (here == last), F.when(part > 0, part))
+            .when(~F.col("cut") | (here < last), F.col("n_tokens")))
+    every = slots.withColumn("room", room).withColumn("copies", F.col("whole") + F.col("room").isNotNull().cast("int")).where("copies > 0")
     return (every.withColumn("epoch", F.explode(F.expr("sequence(0, copies - 1)")))
             .select("r", *levels, "n_tokens", F.col("epoch").cast("long").alias("epoch"),
                     F.when(F.col("epoch") == F.col("whole"), F.least("n_tokens", "room")).otherwise(F.col("n_tokens")).alias("taken")))

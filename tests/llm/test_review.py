@@ -72,3 +72,15 @@ def test_payloads_are_marked_alike_sent_or_shuffled(spark, monkeypatch):
     for i in range(60):
         last[None if i % 5 == 0 else i % 7] = i
     assert sent == [(i, *(("response", None) if last[k] == i else ("revisit", last[k]))) for i, k in ((i, None if i % 5 == 0 else i % 7) for i in range(60))]
+
+
+def test_mixing_leaves_texts_where_they_are(spark, no_broadcast):
+    """The rows of a cut leaf are compared with its edge alone, however many documents are chosen of it."""
+    docs = spark.createDataFrame([(i % 400 if i % 9 else None, "w " * (1 + i % 7), "en", f"src{i % 3}") for i in range(900)], "doc_id long, text string, lang string, source string")
+    got = mixing.mixed(docs, F.lit("d"), docs["lang"], docs["source"], mixing.Mix(share=40, epochs=2, slice_rows=50))
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "id_" not in plan and plan.count("Join") == 3          # plan, slices and edges, each a row per leaf or slice
+    edges = got.where("taken < n_tokens").groupBy("source").agg(F.countDistinct(F.coalesce("r.doc_id", F.lit(-1))).alias("n")).collect()
+    assert all(r.n == 1 for r in edges)
+    short = docs.withColumn("n", F.size(F.split(F.trim("text"), " "))).agg(F.sum("n")).first()[0] * 40 // 100 - got.agg(F.sum("taken")).first()[0]
+    assert 0 <= short < 300
