@@ -36,6 +36,9 @@ _FOOT = """greatest(0D, least(1D, try_divide(
     (e.x2 - e.x1)*(e.x2 - e.x1) + (e.y2 - e.y1)*(e.y2 - e.y1))))"""
 _GAP = bind({"foot": {"t": _FOOT}},
             "hypot(at.x - e.x1 - foot.t*(e.x2 - e.x1), at.y - e.y1 - foot.t*(e.y2 - e.y1))")
+# The point is in the edge's box, which is widened beyond rounding.
+_BESIDE = " and ".join(f"at.{a} between least(e.{a}1, e.{a}2) - {2 * EDGE_METRES!r} and greatest(e.{a}1, e.{a}2) + {2 * EDGE_METRES!r}"
+                       for a in "xy")
 # A ray to the right of the point meets the edge.
 _MEETS = """((e.y1 > at.y) != (e.y2 > at.y)
     and at.x < try_divide((e.x2 - e.x1)*(at.y - e.y1), e.y2 - e.y1) + e.x1)"""
@@ -46,6 +49,13 @@ def position_of(edges: str, x: str, y: str) -> Column:
     return F.expr(_position({"at": {"x": x, "y": y}}, edges))
 
 
+def held_by(edges: str, x: str, y: str) -> Column:
+    """``inside`` and ``on_edge`` of ``position_of``; the distance is worked out for edges whose box is that close only."""
+    return F.expr(bind({"at": {"x": x, "y": y}, "near": {"on_edge": f"exists({edges}, e -> {_BESIDE} and {_GAP} <= {EDGE_METRES!r})",
+                                                         "odd": f"size(filter({edges}, e -> {_MEETS})) % 2 = 1"}},
+                       named_values({"inside": "near.odd and not near.on_edge", "on_edge": "near.on_edge"})))
+
+
 def position_in(edges: str, longitude: str = "longitude", latitude: str = "latitude") -> Column:
     """``position_of`` a point in degrees, projected."""
     return F.expr(_position(bng_levels(longitude, latitude), edges))

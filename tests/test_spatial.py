@@ -184,3 +184,31 @@ def test_malformed_outlines_become_null_and_are_listed(spark):
     assert {r.name for r in wkt.vertices(frame, "name", "wkt").collect()} - {"short"} == {"good"}
     point = spark.createDataFrame([(1, 2.0, 1.5)], "id int, longitude double, latitude double")
     assert "good" in {r.name for r in zones.zones_of(point, frame, "name").collect()}
+
+
+def test_points_at_one_spot_are_judged_together(spark):
+    """Their other columns, and the points themselves, meet the zones of their spot after the edges were looked at."""
+    frame = spark.createDataFrame(list(ZONES.items()), "name string, wkt string")
+    points = spark.createDataFrame([(i, -1.905, 52.395, "x" * 50) for i in range(40)] + [(40, -1.905, 52.395, None)] * 2,
+                                   "id int, longitude double, latitude double, note string")
+    got = zones.zones_of(points, frame, "name")
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    judged = plan[plan.index("exists("):]
+    assert "Aggregate [_lon" in judged and "note" not in judged.split("Aggregate [_lon")[0]
+    assert sorted((r.id, r.name, r.on_edge) for r in got.collect()) == sorted(
+        (i, n, False) for i in [*range(40), 40, 40] for n in {r.name for r in got.collect()})
+
+
+def test_an_outline_is_read_where_it_was_dealt_to(spark):
+    """Text of a few megabytes comes in one file split, but its vertices are long work."""
+    frame = spark.createDataFrame([(i, f"POLYGON({square(-1.9, 52.4, 0.01)})") for i in range(64)], "id long, wkt string").coalesce(1)
+    points = spark.createDataFrame([(1, -1.905, 52.395)], "id int, longitude double, latitude double")
+    seen = []
+    real, zones.stage = zones.stage, lambda df, name: seen.append(df) or real(df, name)
+    try:
+        zones.zones_of(points, frame.withColumnRenamed("id", "zone"), "zone")
+    finally:
+        zones.stage = real
+    plan = seen[0]._jdf.queryExecution().executedPlan().toString()
+    exchange = plan.index("Exchange hashpartitioning(zone")
+    assert plan.count("Exchange") == 1 and "Generate" in plan[:exchange] and "Generate" not in plan[exchange:]
