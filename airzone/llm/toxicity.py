@@ -12,10 +12,12 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cache, lru_cache
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from airzone.llm.common import only, sliced, words
@@ -60,8 +62,8 @@ class Fit:
 
 
 def codes(units: list[str], width: int) -> np.ndarray:
-    """Characters of every unit, of ``width`` at most and none of them NUL, as a row, padded with -1."""
-    out = np.frombuffer("".join([u.ljust(width, "\0") for u in units]).encode("utf-32-le"), np.int32).reshape(len(units), width)
+    """The first ``width`` characters of every unit, none of them NUL, as a row, padded with -1."""
+    out = np.array(units, f"<U{width}").view(np.int32).reshape(len(units), width)
     return np.where(out == 0, np.int32(-1), out)
 
 
@@ -84,6 +86,14 @@ def kernel(s: np.ndarray, t: np.ndarray, k: Kernel) -> np.ndarray:
     return ending.sum((0, 1))
 
 
+@cache
+def least_own(k: Kernel) -> np.ndarray:
+    """Root of the kernel of a string with itself by its length, if no character occurs twice in it; others have more."""
+    place = np.arange(k.window, dtype=np.int32)
+    rows = np.where(place < np.arange(k.window + 1)[:, None], place, np.int32(-1))
+    return np.sqrt(kernel(rows, rows, k))
+
+
 class Landmarks:
     """Normalised kernel values of strings against a fixed list of landmarks; one of two words holds a blank between them."""
 
@@ -94,7 +104,15 @@ class Landmarks:
         self.sizes = np.array([len(s) for s in self.strings])
         self.own = np.sqrt(kernel(self.codes, self.codes, k)) if strings else np.empty(0)
         self.masks = _masks(self.codes)
-        self.needed = np.ceil(k.letters * np.bitwise_count(self.masks))
+        self.needed = np.ceil(k.letters * np.bitwise_count(self.masks)).astype(np.uint8)
+        # number of every character that is in a landmark, the rest share the last; its places in each landmark, as bits
+        known = np.unique(self.codes[self.codes >= 0])
+        self.letter = np.full(int(known.max(initial=0)) + 2, len(known), np.int32)
+        self.letter[known] = np.arange(len(known))
+        self.places = np.zeros((len(strings), len(known) + 1), np.uint64)
+        for i, column in enumerate(self.codes.T):
+            held = np.flatnonzero(column >= 0)
+            self.places[held, self.letter[column[held]]] |= np.uint64(1 << i)
 
     def windows(self, unit: str) -> list[str]:
         w = self.k.window
@@ -103,79 +121,128 @@ class Landmarks:
     def in_order(self, rows: np.ndarray, z: np.ndarray) -> np.ndarray:
         """How many characters of landmark ``z`` each of the rows holds in the landmark's order: the longest common
         subsequence, a bit of one number per character of the landmark."""
-        marks = self.codes[z]
-        bits = np.uint64(1) << np.arange(marks.shape[1], dtype=np.uint64)
+        letters = self.letter[np.minimum(rows.T, len(self.letter) - 1)]        # -1 is the last one too
+        places, first = self.places.ravel(), z * self.places.shape[1]
         open_to = np.full(len(rows), np.uint64(2 ** 64 - 1))
-        for column in rows.T:
-            at = np.where((marks == column[:, None]) & (marks >= 0), bits, np.uint64(0)).sum(axis=1, dtype=np.uint64)
-            hit = open_to & at
+        for column in letters:
+            hit = open_to & places[first + column]
             open_to = (open_to + hit) | (open_to - hit)
-        return np.bitwise_count(~open_to & (bits.sum(dtype=np.uint64)))
+        return np.bitwise_count(~open_to & np.uint64((1 << self.codes.shape[1]) - 1))
 
     def values(self, units: list[str], ordered: bool = False) -> np.ndarray:
         """Matrix of units by landmarks; a unit longer than the window takes the best of its windows.
 
         ``ordered`` asks for units of landmarks' lengths, which must hold the needed characters in order."""
-        pieces, owner = [], []
-        for i, unit in enumerate(units):
-            for piece in self.windows(unit):
-                pieces.append(piece)
-                owner.append(i)
         out = np.zeros((len(units), len(self.strings)))
-        if not pieces or not self.strings:
-            return out
-        owner, rows = np.array(owner), codes(pieces, self.k.window)
-        p, z = np.nonzero(np.bitwise_count(_masks(rows)[:, None] & self.masks[None, :]) >= self.needed[None, :])
-        sizes = np.fromiter(map(len, pieces), int, len(pieces))
+        unit, z, value = self.matches(units, ordered)
+        np.maximum.at(out, (unit, z), value)
+        return out
+
+    def matches(self, units: list[str], ordered: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(unit, landmark, value) of the values of ``values`` that are not 0; of a unit longer than the window, of every window."""
+        k, none = self.k, (np.empty(0, np.intp), np.empty(0, np.intp), np.empty(0))
+        if not units or not self.strings:
+            return none
+        sizes, owner, pieces = np.fromiter(map(len, units), np.intp, len(units)), np.arange(len(units)), units
+        if len(long := np.flatnonzero(sizes > k.window)):
+            cut, whole = [self.windows(units[i]) for i in long], np.flatnonzero(sizes <= k.window)
+            pieces = [units[i] for i in whole] + list(chain.from_iterable(cut))
+            owner = np.concatenate([whole, np.repeat(long, [len(c) for c in cut])])
+            sizes = np.fromiter(map(len, pieces), np.intp, len(pieces))
+        rows = codes(pieces, k.window)
+        masks = _masks(rows)
+        near = [np.nonzero(np.bitwise_count(masks[at:at + 2048, None] & self.masks) >= self.needed) for at in range(0, len(masks), 2048)]
+        p, z = np.concatenate([i * 2048 + x for i, (x, _) in enumerate(near)]), np.concatenate([x for _, x in near])
+        # without a common subsequence of the kernel's order the kernel is 0
+        enough = np.full(len(self.sizes), k.order)
         if ordered:
-            k = self.k
+            enough = np.maximum(enough, np.ceil(k.letters * self.sizes))
             fits = (sizes[p] >= np.ceil(k.letters * self.sizes)[z]) & (sizes[p] <= k.stretch * self.sizes[z])
             p, z = p[fits], z[fits]
-            width = int(sizes[p].max(initial=0))
-            kept = [self.in_order(rows[p[at:at + 4096], :width], z[at:at + 4096]) >= np.ceil(k.letters * self.sizes)[z[at:at + 4096]]
-                    for at in range(0, len(p), 4096)]
-            kept = np.concatenate(kept) if kept else np.empty(0, bool)
-            p, z = p[kept], z[kept]
-        own = np.zeros(len(pieces))
-        steps = (0, 5, 6, 8, 12, 16, 24, max(self.k.window, 24))
-        met = np.unique(p)
+        steps = (0, 5, 6, 8, 12, 16, 24, max(k.window, 24))
+        found = [none]
         for low, high in zip(steps, steps[1:]):     # short units need few columns, short landmarks too
-            of_size = met[(sizes[met] > low) & (sizes[met] <= high)]
-            for at in range(0, len(of_size), 512):
-                mine = rows[of_size[at:at + 512], :high]
-                own[of_size[at:at + 512]] = np.sqrt(kernel(mine, mine, self.k))
             of_unit = np.flatnonzero((sizes[p] > low) & (sizes[p] <= high))
+            kept = [at[self.in_order(rows[p[at], :high], z[at]) >= enough[z[at]]] for at in _parts(of_unit, 4096)]
+            of_unit = np.concatenate([of_unit[:0], *kept])
+            value = np.zeros(len(of_unit))
             for short, long in zip(steps, steps[1:]):
-                some = of_unit[(self.sizes[z[of_unit]] > short) & (self.sizes[z[of_unit]] <= long)]
-                for at in range(0, len(some), 512):
-                    chosen = some[at:at + 512]
-                    value = kernel(rows[p[chosen], :high], self.codes[z[chosen], :long], self.k)
-                    np.maximum.at(out, (owner[p[chosen]], z[chosen]), value / np.maximum(own[p[chosen]] * self.own[z[chosen]], 1e-300))
-        out = np.round(out, 9)      # sums of other numbers of rows differ in the last place
-        return np.where(out >= self.k.floor, out, 0)
+                some = np.flatnonzero((self.sizes[z[of_unit]] > short) & (self.sizes[z[of_unit]] <= long))
+                for at in _parts(some, 512):
+                    chosen = of_unit[at]
+                    value[at] = kernel(rows[p[chosen], :high], self.codes[z[chosen], :long], k) / np.maximum(self.own[z[chosen]], 1e-300)
+            # the unit's own kernel is computed for those that may reach the floor
+            able = np.flatnonzero(value >= (k.floor - 1e-6) * least_own(k)[sizes[p[of_unit]]])
+            met, back = np.unique(p[of_unit[able]], return_inverse=True)
+            own = np.concatenate([np.empty(0), *(np.sqrt(kernel(rows[at, :high], rows[at, :high], k)) for at in _parts(met, 512))])
+            # sums of other numbers of rows differ in the last place
+            value = np.round(value[able] / np.maximum(own[back], 1e-300), 9)
+            reached = value >= k.floor
+            found.append((owner[p[of_unit[able[reached]]]], z[of_unit[able[reached]]], value[reached]))
+        return tuple(map(np.concatenate, zip(*found)))
+
+
+def _parts(numbers: np.ndarray, most: int) -> Iterator[np.ndarray]:
+    return (numbers[at:at + most] for at in range(0, len(numbers), most))
 
 
 def _masks(rows: np.ndarray) -> np.ndarray:
-    bits = np.where(rows >= 0, np.uint64(1) << (rows & 63).astype(np.uint64), np.uint64(0))
-    return np.bitwise_or.reduce(bits, axis=1) if rows.shape[1] else np.zeros(len(rows), np.uint64)
+    out = np.zeros(len(rows), np.uint64)
+    for column in rows.T:
+        out |= np.where(column >= 0, np.uint64(1) << (column & 63).astype(np.uint64), np.uint64(0))
+    return out
 
 
 OUTSIDE = re.compile(r"[\W_]+")
 #: Single characters with one or two others between them: a spaced-out word.
 SPELLED = re.compile(r"(?<!\w)\w(?:[^\w\n]{1,2}\w(?!\w)){2,}")
+ALONE = re.compile(r"(?<!\w)\w(?!\w)")
 END = re.compile(r"[.!?…]+[\"'»”)]*$")
+#: Punctuation that is taken off the ends of a token without a search.
+MARKS = ".,;:!?\"'()-"
 
 
 def unit_of(token: str) -> str:
     """A token in lower case without its punctuation."""
-    low = token.lower()
+    low = token.lower().strip(MARKS)
     return low if low.isalnum() else OUTSIDE.sub("", low)
 
 
+@lru_cache(50_000)
+def told_by(token: str) -> tuple[str, bool, int]:
+    """A token's unit, whether it ends a sentence, and how many characters of words stand alone in it, up to three."""
+    return unit_of(token), END.search(token) is not None, min(len(ALONE.findall(token)), 3)
+
+
+def _strings(column: pa.StringArray) -> list[str]:
+    return column.to_numpy(zero_copy_only=False).tolist()       # to_pylist makes a scalar of every value first
+
+
+def read_tokens(tokens: pa.StringArray) -> tuple[pa.StringArray, np.ndarray, np.ndarray]:
+    """``told_by`` of every token; Arrow reads those of Latin letters and digits between punctuation."""
+    units = pc.ascii_trim(pc.utf8_lower(tokens), MARKS)
+    plain = pc.match_substring_regex(units, "^[0-9a-zß-öø-ž]+$")
+    ends = pc.match_substring_regex(tokens, r"[.!?]+[\"')]*$").to_numpy(zero_copy_only=False).copy()
+    alone = (pc.utf8_length(units).to_numpy() == 1).astype(np.int8)
+    if len(other := np.flatnonzero(~plain.to_numpy(zero_copy_only=False))):
+        told = [told_by(t) for t in _strings(tokens.take(pa.array(other)))]
+        units = pc.replace_with_mask(units, pc.invert(plain), pa.array([unit for unit, _, _ in told], pa.string()))
+        ends[other], alone[other] = [end for _, end, _ in told], [n for _, _, n in told]
+    return units, ends, alone
+
+
+def may_be_spelled(alone: np.ndarray, line: np.ndarray) -> np.ndarray:
+    """Places of words at which a spaced-out word may begin: neighbours in a line that hold three characters which
+    stand alone, every one of them at least one. ``alone`` counts them by word."""
+    one, two = [np.append(np.where(line[i:] == line[:-i], alone[i:], 0), np.zeros(min(i, len(line)), alone.dtype)) for i in (1, 2)]
+    together = alone + one + np.where(one > 0, two, 0)
+    return np.flatnonzero((alone > 0) & (together >= 3))
+
+
 class Describer:
     """Sentence vectors of texts: the best match of a sentence's words and windows with every landmark.
 
-    A worker remembers the words and windows it has met, and the vectors of those that match; each memory is started
+    A worker remembers the units and windows it has met, and the vectors of those that match; each memory is started
     anew when it grows beyond ``most`` entries.
     """
 
@@ -184,97 +251,108 @@ class Describer:
         self.forget()
 
     def forget(self) -> None:
-        self.words: dict[str, int] = {}
+        self.numbers: dict[str, int] = {}
         self.units: list[str] = []
-        self.masks, self.sizes, self.ends = np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, bool)
-        self.row, self.hot = np.empty(0, np.int64), np.empty((0, len(self.landmarks.strings)))      # row of a word in hot, or -1
+        self.masks, self.sizes = np.empty(0, np.uint64), np.empty(0, np.int64)
+        self.row, self.hot = np.empty(0, np.int64), np.empty((0, len(self.landmarks.strings)))      # row of a unit in hot, or -1
         self.windows: dict[tuple[int, ...], np.ndarray | None] = {}
 
-    def learn(self, tokens: set[str]) -> None:
-        new = [t for t in tokens if t not in self.words]
-        if self.words and len(self.words) + len(new) > self.most:
+    def learn(self, units: list[str]) -> np.ndarray:
+        """Numbers of units, none of them named twice."""
+        numbers = np.array([self.numbers.get(u, -1) for u in units], np.int64)
+        new = np.flatnonzero(numbers < 0)
+        if self.units and len(self.units) + len(new) > self.most:
             self.forget()
-            new = list(tokens)
-        for at in range(0, len(new), 5000):
-            some = new[at:at + 5000]
-            units = [unit_of(t) for t in some]
-            values = self.landmarks.values(units)
-            matched = values.any(axis=1)
-            row = np.where(matched, len(self.hot) + np.cumsum(matched) - 1, -1)
-            self.words.update(zip(some, range(len(self.units), len(self.units) + len(some))))
-            self.units += units
-            cut = [u[:self.landmarks.k.window] for u in units]
-            self.masks = np.concatenate([self.masks, _masks(codes(cut, self.landmarks.k.window))])
-            self.sizes = np.concatenate([self.sizes, [len(u) for u in units]])
-            self.ends = np.concatenate([self.ends, [not t[-1].isalnum() and END.search(t) is not None for t in some]])
-            self.row, self.hot = np.concatenate([self.row, row]), np.concatenate([self.hot, values[matched]])
+            new = np.arange(len(units))
+        numbers[new] = np.arange(len(self.units), len(self.units) + len(new))
+        for some in _parts(new, 20_000):
+            found = [units[i] for i in some]
+            unit, z, value = self.landmarks.matches(found)
+            met, back = np.unique(unit, return_inverse=True)
+            hot = np.zeros((len(met), len(self.landmarks.strings)))
+            np.maximum.at(hot, (back, z), value)
+            row = np.full(len(found), -1)
+            row[met] = np.arange(len(self.hot), len(self.hot) + len(met))
+            self.numbers.update(zip(found, range(len(self.units), len(self.units) + len(found))))
+            self.units += found
+            self.masks = np.concatenate([self.masks, _masks(codes(found, self.landmarks.k.window))])
+            self.sizes = np.concatenate([self.sizes, np.fromiter(map(len, found), np.int64, len(found))])
+            self.row, self.hot = np.concatenate([self.row, row]), np.concatenate([self.hot, hot])
+        return numbers
 
     def joined(self, ids: np.ndarray, sentence: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-        """(sentence, vector) of every window of neighbouring words that matches a landmark."""
+        """(sentence, vector) of every window of neighbouring words, given by their units, that matches a landmark."""
         k, marks = self.landmarks.k, self.landmarks
         sizes, masks = self.sizes[ids], self.masks[ids]
         short = (sizes > 0) & (sizes <= k.chunk)
         low, high = np.ceil(k.letters * marks.sizes), k.stretch * marks.sizes
         lengths = np.arange(int(high.max(initial=0)) + 1)[:, None]
         wanted: list[tuple[int, tuple[int, ...]]] = []
+        small, mask, size = short, masks, sizes         # of the windows that begin at a word
         for n in range(2, k.joined + 1):
             starts = len(ids) - n + 1
             if starts < 1:
                 break
-            together, small = sentence[:starts] == sentence[n - 1:], np.ones(starts, bool)
-            mask, size = np.zeros(starts, np.uint64), np.zeros(starts, np.int64)
-            for i in range(n):
-                small &= short[i:i + starts]
-                mask |= masks[i:i + starts]
-                size += sizes[i:i + starts]
-            open_to = together & (small | (n == 2 and bool(marks.pairs.any()))) & (size >= low.min(initial=0)) & (size <= high.max(initial=0))
-            chosen = np.flatnonzero(open_to)
-            for at in range(0, len(chosen), 50_000):
-                w = chosen[at:at + 50_000]
+            small, mask, size = small[:starts] & short[n - 1:], mask[:starts] | masks[n - 1:], size[:starts] + sizes[n - 1:]
+            open_to = small | (n == 2 and bool(marks.pairs.any()))
+            chosen = np.flatnonzero(open_to & (sentence[:starts] == sentence[n - 1:]) & (size >= low.min(initial=0)) & (size <= high.max(initial=0)))
+            for w in _parts(chosen, 50_000):
                 letters, back = np.unique(mask[w], return_inverse=True)       # far fewer than windows
                 fits = np.packbits(np.bitwise_count(letters[:, None] & marks.masks) >= marks.needed, axis=1)[back]
                 fits &= np.packbits((lengths >= low) & (lengths <= high), axis=1)[size[w]]
                 fits[~small[w]] &= np.packbits(marks.pairs)
                 w = w[fits.any(axis=1)]
-                wanted += zip(sentence[w].tolist(), map(tuple, ids[w[:, None] + np.arange(n)].tolist()))
+                wanted += zip(sentence[w].tolist(), zip(*(ids[w + i].tolist() for i in range(n))))
         for at in range(0, len(wanted), 50_000):
             part = wanted[at:at + 50_000]
-            new = list({key for _, key in part} - self.windows.keys())
+            keys = dict.fromkeys(key for _, key in part)
+            new = [key for key in keys if key not in self.windows]
             if self.windows and len(self.windows) + len(new) > self.most:
-                self.windows = {}
-                new = list({key for _, key in part})
+                self.windows, new = {}, list(keys)
             for some in (new[i:i + 5000] for i in range(0, len(new), 5000)):
-                values = marks.values(["".join([self.units[i] for i in key]) for key in some], ordered=True)
+                self.windows.update(dict.fromkeys(some))
+                unit, z, value = marks.matches(["".join([self.units[i] for i in key]) for key in some], ordered=True)
                 # an insult in pieces may match any landmark, two whole words only landmarks of two
-                pieces = np.array([max([len(self.units[i]) for i in key]) <= k.chunk for key in some])
-                values[(values < k.joined_floor) | ~(pieces[:, None] | marks.pairs)] = 0
-                self.windows.update((key, v.copy() if any_match else None) for key, v, any_match in zip(some, values, values.any(axis=1).tolist()))
+                pieces = np.array([max([len(self.units[i]) for i in key]) <= k.chunk for key in (some[i] for i in unit.tolist())], bool)
+                told = (value >= k.joined_floor) & (pieces | marks.pairs[z])
+                for i, mark, v in zip(unit[told].tolist(), z[told].tolist(), value[told].tolist()):
+                    if self.windows[some[i]] is None:
+                        self.windows[some[i]] = np.zeros(len(marks.strings))
+                    self.windows[some[i]][mark] = max(self.windows[some[i]][mark], v)
             for number, key in part:
                 if (found := self.windows[key]) is not None:
                     yield number, found
 
     def describe(self, texts: list[str]) -> list[np.ndarray]:
         """Of every text one row per sentence with a match; none for a text without."""
-        lines = [[line.split() for line in text.split("\n")] for text in texts]
-        self.learn({t for text in lines for line in text for t in line})
         out: list[list[np.ndarray]] = [[] for _ in texts]
-        held = [(number, line) for number, text in enumerate(lines) for line in text if line]
-        if held and self.landmarks.strings:
-            ids = np.fromiter(map(self.words.__getitem__, chain.from_iterable(line for _, line in held)), np.int64)
-            ends = self.ends[ids]
-            ends[np.cumsum([len(line) for _, line in held]) - 1] = True        # a line ends a sentence
+        lines = pc.split_pattern(pa.array(texts, pa.string()), "\n")
+        tokens = pc.utf8_split_whitespace(lines.flatten())     # at the same characters as str.split
+        line = np.repeat(np.arange(len(tokens)), pc.list_value_length(tokens).to_numpy())
+        of_text = np.repeat(np.arange(len(texts)), pc.list_value_length(lines).to_numpy())[line]
+        tokens = tokens.flatten().dictionary_encode()
+        place = tokens.indices.to_numpy()
+        if (blank := tokens.dictionary.index("").as_py()) >= 0:        # white space at a line's ends leaves empty words
+            line, of_text, place = line[place != blank], of_text[place != blank], place[place != blank]
+        units, ends, alone = read_tokens(tokens.dictionary)
+        units = units.dictionary_encode()
+        ids = self.learn(_strings(units.dictionary))[units.indices.to_numpy()][place]
+        if len(ids) and self.landmarks.strings:
+            ends = ends[place]
+            ends[np.flatnonzero(line[1:] != line[:-1])] = ends[-1] = True        # a line ends a sentence
             sentence = np.cumsum(ends) - ends
-            of_text = np.repeat([number for number, _ in held], [len(line) for _, line in held])[ends]
-            best: dict[int, np.ndarray] = {}
             matched = np.flatnonzero(self.row[ids] >= 0)
-            for number, vector in (*zip(sentence[matched].tolist(), self.hot[self.row[ids[matched]]]), *self.joined(ids, sentence)):
+            first = np.flatnonzero(np.diff(sentence[matched], prepend=-1))       # of a sentence's matches
+            best = dict(zip(sentence[matched[first]].tolist(), np.maximum.reduceat(self.hot[self.row[ids[matched]]], first))) if len(first) else {}
+            for number, vector in self.joined(ids, sentence):
                 best[number] = np.maximum(best[number], vector) if number in best else vector
+            owner = of_text[ends]
             for number in sorted(best):
-                out[of_text[number]].append(best[number])
-        for found, text in zip(out, texts):
-            spelled = [unit_of(m.group()) for m in SPELLED.finditer(text)]
+                out[owner[number]].append(best[number])
+        for number in np.unique(of_text[may_be_spelled(alone[place], line)]):
+            spelled = [unit_of(m.group()) for m in SPELLED.finditer(texts[number])]
             if spelled:
-                found += [v for v in self.landmarks.values(spelled) if v.any()]
+                out[number] += [v for v in self.landmarks.values(spelled) if v.any()]
         return [np.array(found).reshape(-1, len(self.landmarks.strings)) for found in out]
 
 
